@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorewright.llm import op03_packing, op04_langid, op06_minhash, op09_bpe
+from lorewright.llm import op03_packing, op04_langid, op06_minhash, op09_bpe, op10_substrings
 from lorewright.llm.common import crc32_mod
 
 TOKENIZER = "word_bpe_49k.json"
@@ -38,11 +38,16 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op09_bpe.bpe_digests(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER)).withColumnRenamed("id", "doc_id")
 
 
+def op10_substrings_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op10_substrings.cut_digests(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_packing": op3_packing,
     "op4_language_id": op4_language_id,
     "op6_minhash": op6_minhash,
     "op9_bpe": op9_bpe,
+    "op10_substrings": op10_substrings_query,
 }
 
 ORACLE_SQL: dict[str, str] = {}
