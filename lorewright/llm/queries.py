@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorewright.llm import op03_packing, op04_langid, op06_minhash, op09_bpe, op10_substrings
+from lorewright.llm import op02_lines, op03_packing, op04_langid, op05_fingerprints, op06_minhash, op09_bpe, op10_substrings
 from lorewright.llm.common import crc32_mod
 
 TOKENIZER = "word_bpe_49k.json"
@@ -18,6 +18,42 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = op02_lines.dedup_lines(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.col("lw_lines").alias("n_lines"), F.col("lw_removed").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
+#: Lines alike are those within one edit: equal up to some place, and after it but for one character of either or of one.
+OP2_SQL = """
+WITH lines AS (
+    SELECT doc_id, no - 1 AS no, string_split(text, chr(10))[no] AS line
+    FROM (SELECT doc_id, text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS no FROM documents)
+), solid AS (SELECT *, length(line) AS n FROM lines WHERE regexp_matches(line, '[^ \t\n\x0B\f\r]')),
+firsts AS (SELECT line, n, min(struct_pack(doc_id := doc_id, no := no)) AS pos FROM solid GROUP BY line, n),
+pairs AS (
+    SELECT a.line AS a, b.line AS b, b.pos AS pos FROM firsts a JOIN firsts b ON b.n = a.n AND left(a.line, a.n // 2) = left(b.line, a.n // 2) AND a.pos < b.pos WHERE a.n >= 10
+    UNION SELECT a.line, b.line, b.pos FROM firsts a JOIN firsts b ON b.n = a.n AND right(a.line, a.n - a.n // 2) = right(b.line, a.n - a.n // 2) AND a.pos < b.pos WHERE a.n >= 10
+    UNION SELECT a.line, b.line, greatest(a.pos, b.pos) FROM firsts a JOIN firsts b ON b.n = a.n + 1 AND left(a.line, a.n // 2) = left(b.line, a.n // 2) WHERE a.n >= 10
+    UNION SELECT a.line, b.line, greatest(a.pos, b.pos) FROM firsts a JOIN firsts b ON b.n = a.n + 1 AND right(a.line, a.n - a.n // 2) = right(b.line, a.n - a.n // 2) WHERE a.n >= 10
+), common AS (
+    SELECT a, b, pos, list_max(list_filter(range(0, length(a) + 1), lambda k: left(a, k) = left(b, k))) AS k FROM pairs
+), near AS (
+    SELECT DISTINCT pos FROM common
+    WHERE (length(a) = length(b) AND substring(a, k + 2) = substring(b, k + 2)) OR (length(a) < length(b) AND substring(a, k + 1) = substring(b, k + 2))
+), kept AS (SELECT pos FROM firsts WHERE pos NOT IN (SELECT pos FROM near)),
+marked AS (
+    SELECT l.doc_id, l.no, l.line, regexp_matches(l.line, '[^ \t\n\x0B\f\r]') AS solid, k.pos IS NOT NULL AS stays
+    FROM lines l LEFT JOIN kept k ON k.pos.doc_id = l.doc_id AND k.pos.no = l.no
+), counted AS (
+    SELECT doc_id, count(*) FILTER (solid) AS n_lines, count(*) FILTER (solid AND NOT stays) AS n_removed,
+           sha256(coalesce(string_agg(line, chr(10) ORDER BY no) FILTER (stays OR NOT solid), '')) AS kept_sha256
+    FROM marked GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, coalesce(kept_sha256, sha256('')) AS kept_sha256
+FROM documents LEFT JOIN counted USING (doc_id)
+"""
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = op03_packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
     return pieces.select(F.col("id").alias("doc_id"), "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -30,6 +66,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), (crc32_mod("id", 3) == 1).alias("held_out"), "lang_pred", "score", "cosine", "rejected")
 
 
+def op5_fingerprints_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op05_fingerprints.edit_report(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op06_minhash.near_duplicates(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
@@ -43,11 +83,13 @@ def op10_substrings_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_line_dedup": op2_line_dedup,
     "op3_packing": op3_packing,
     "op4_language_id": op4_language_id,
+    "op5_fingerprints": op5_fingerprints_query,
     "op6_minhash": op6_minhash,
     "op9_bpe": op9_bpe,
     "op10_substrings": op10_substrings_query,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op2_line_dedup": OP2_SQL}
