@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorewright.llm import op02_lines, op03_packing, op04_langid, op05_fingerprints, op06_minhash, op09_bpe, op10_substrings
+from lorewright.llm import op02_lines, op03_packing, op04_langid, op05_fingerprints, op06_minhash, op07_vectors, op09_bpe, op10_substrings
 from lorewright.llm.common import crc32_mod
 
 TOKENIZER = "word_bpe_49k.json"
@@ -74,6 +74,27 @@ def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op06_minhash.near_duplicates(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op7_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op07_vectors.near_vectors(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
+#: Links with equal vectors included; components by repeated rounds over the links.
+OP7_SQL = """
+WITH RECURSIVE good AS (
+    SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS (
+    SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.vec_id <> b.vec_id
+    WHERE list_cosine_similarity(a.v, b.v) >= 0.9
+), reach AS (
+    SELECT a AS node, b AS other FROM links UNION SELECT r.node, l.b FROM reach r JOIN links l ON l.a = r.other
+)
+SELECT e.vec_id, coalesce(n.n, 0) AS n_links, least(e.vec_id, coalesce(m.m, e.vec_id)) AS component_id, least(e.vec_id, coalesce(m.m, e.vec_id)) = e.vec_id AS kept
+FROM embeddings e LEFT JOIN (SELECT a, count(*) AS n FROM links GROUP BY a) n ON n.a = e.vec_id
+LEFT JOIN (SELECT node, min(other) AS m FROM reach GROUP BY node) m ON m.node = e.vec_id
+"""
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op09_bpe.bpe_digests(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER)).withColumnRenamed("id", "doc_id")
 
@@ -88,8 +109,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_language_id": op4_language_id,
     "op5_fingerprints": op5_fingerprints_query,
     "op6_minhash": op6_minhash,
+    "op7_vectors": op7_vectors,
     "op9_bpe": op9_bpe,
     "op10_substrings": op10_substrings_query,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_line_dedup": OP2_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_line_dedup": OP2_SQL, "op7_vectors": OP7_SQL}
