@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorewright.llm import op02_lines, op03_packing, op04_langid, op05_fingerprints, op06_minhash, op07_vectors, op09_bpe, op10_substrings
+from lorewright.llm import op02_lines, op03_packing, op04_langid, op05_fingerprints, op06_minhash, op07_vectors, op08_lm, op09_bpe, op10_substrings
 from lorewright.llm.common import crc32_mod
 
 TOKENIZER = "word_bpe_49k.json"
@@ -95,6 +95,13 @@ LEFT JOIN (SELECT node, min(other) AS m FROM reach GROUP BY node) m ON m.node =
 """
 
 
+def op8_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    model, rare = op08_lm.fit(documents.where(crc32_mod("doc_id", 7) != 2))
+    found = op08_lm.score(documents, model, rare)
+    return found.select(F.col("id").alias("doc_id"), (crc32_mod("id", 7) == 2).alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op09_bpe.bpe_digests(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER)).withColumnRenamed("id", "doc_id")
 
@@ -110,6 +117,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_fingerprints": op5_fingerprints_query,
     "op6_minhash": op6_minhash,
     "op7_vectors": op7_vectors,
+    "op8_lm": op8_lm,
     "op9_bpe": op9_bpe,
     "op10_substrings": op10_substrings_query,
 }
