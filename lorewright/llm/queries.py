@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorewright.llm import op02_lines, op03_packing, op04_langid, op05_fingerprints, op06_minhash, op07_vectors, op08_lm, op09_bpe, op10_substrings
+from lorewright.llm import op01_warc, op02_lines, op03_packing, op04_langid, op05_fingerprints, op06_minhash, op07_vectors, op08_lm, op09_bpe, op10_substrings
 from lorewright.llm.common import crc32_mod
 
 TOKENIZER = "word_bpe_49k.json"
@@ -18,6 +18,44 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = op01_warc.derivatives(op01_warc.responses(table(spark, sf_dir, "pages"), "page_id", "url", "html"))
+    return found.withColumnRenamed("source_id", "page_id")
+
+
+def _sql_text(html: str) -> str:
+    """plain_text() in DuckDB's SQL, from the same fixed patterns."""
+    quote = lambda s: "'" + s.replace("'", "''") + "'"
+    for pattern in op01_warc.CUT:
+        html = f"regexp_replace({html}, {quote(pattern)}, ' ', 'g')"
+    html = f"regexp_replace(regexp_replace({html}, {quote(op01_warc.LINE_END)}, chr(10), 'g'), {quote(op01_warc.TAG)}, ' ', 'g')"
+    for entity, character in op01_warc.ENTITIES:
+        html = f"replace({html}, {quote(entity)}, {quote(character)})"
+    html = f"regexp_replace({html}, '[ \\t\\r\\f]+', ' ', 'g')"
+    return f"trim(regexp_replace(regexp_replace({html}, ' ?\\n ?', chr(10), 'g'), '\\n+', chr(10), 'g'), ' ' || chr(10))"
+
+
+def _sql_uuid(text: str) -> str:
+    return f"(SELECT '<urn:uuid:' || h[1:8] || '-' || h[9:12] || '-' || h[13:16] || '-' || h[17:20] || '-' || h[21:32] || '>' FROM (SELECT md5({text}) AS h))"
+
+
+OP1_SQL = f"""
+WITH made AS (
+    SELECT page_id, url, html, {_sql_uuid("'response ' || page_id || ' ' || coalesce(url, '')")} AS refers_to, strlen(html) AS bytes, {_sql_text("html")} AS body FROM pages WHERE html IS NOT NULL AND page_id IS NOT NULL
+), named AS (
+    SELECT *, {_sql_uuid("'metadata of ' || refers_to")} AS meta_id, {_sql_uuid("'conversion of ' || refers_to")} AS text_id,
+           'HTTP/1.1 200 OK' || chr(13) || chr(10) || 'Content-Type: text/html; charset=utf-8' || chr(13) || chr(10) || 'Content-Length: ' || bytes || chr(13) || chr(10) || chr(13) || chr(10) || html AS response FROM made
+), records AS (
+    SELECT page_id, 'conversion' AS record_type, text_id AS record_id, refers_to, url, html, 'text/plain; charset=utf-8' AS content_type, body AS block FROM named
+    UNION ALL
+    SELECT page_id, 'metadata', meta_id, refers_to, url, html, 'application/warc-fields', array_to_string(['http-status-line: HTTP/1.1 200 OK', 'http-header-content-type: text/html; charset=utf-8', 'http-header-content-length: ' || bytes, 'response-block-digest: sha256:' || sha256(response), 'response-payload-digest: sha256:' || sha256(html), 'conversion-record-id: ' || text_id, 'conversion-length: ' || strlen(body), ''], chr(13) || chr(10)) FROM named
+)
+SELECT page_id, record_type, record_id, refers_to, url AS target_uri, '2024-01-01T00:00:00Z' AS date, content_type, block,
+       'sha256:' || sha256(block) AS block_digest, 'sha256:' || sha256(html) AS payload_digest, CAST(strlen(block) AS BIGINT) AS content_length
+FROM records
+"""
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = op02_lines.dedup_lines(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.col("lw_lines").alias("n_lines"), F.col("lw_removed").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
@@ -111,6 +149,7 @@ def op10_substrings_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc": op1_warc,
     "op2_line_dedup": op2_line_dedup,
     "op3_packing": op3_packing,
     "op4_language_id": op4_language_id,
@@ -122,4 +161,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_substrings": op10_substrings_query,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_line_dedup": OP2_SQL, "op7_vectors": OP7_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_warc": OP1_SQL, "op2_line_dedup": OP2_SQL, "op7_vectors": OP7_SQL}
