@@ -26,16 +26,18 @@ from pyspark.sql import functions as F
 from lorewright.llm.common import materialize
 
 #: Words whose ids are kept in a worker; an entry only saves work.
-MEMO = 700_000
-#: Characters that every tokenizer file here drops between words. Others might be tokens, so the text isn't split there.
-SPACE = re.compile("[ \t\n\r]+")
+MEMO = 1_200_000
+#: ASCII characters that are neither letters, digits nor spaces; and a text that ends in a letter of Latin-1.
+SYMBOLS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+LATIN = re.compile(rb"\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]$")
 
 
 class WordEncoder:
     """Ids of whole texts by the tokenizers library, as little-endian unsigned 32-bit bytes.
 
-    The file's rules drop white space and never look across it, so a text's ids are those of its words one after the
-    other, and each distinct word goes to the library once.
+    The file's rules lower-case text, drop white space and never look across it, so a text's ids are those of its words one
+    after the other, and each distinct word goes to the library once. Texts that might hold a special token go to it whole,
+    and texts with combining marks, which lower-casing can join, keep their case.
     """
 
     def __init__(self, path: str):
@@ -45,20 +47,47 @@ class WordEncoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.memo: dict[str, bytes] = {}
+        self.mark = self.library.encode("0", add_special_tokens=False).ids[0]
+        self.memo: dict[bytes, bytes] = {}
 
-    def learn(self, words: set[str]) -> None:
+    def learn(self, words: set[bytes]) -> None:
+        """A word that ends in symbols after a letter is its stem and these symbols, which are never joined."""
         if len(self.memo) + len(words) > MEMO:
             self.memo.clear()
-        new = list(words)
-        for word, found in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.memo[word] = np.array(found.ids, "<u4").tobytes()
+        parts = {}
+        for word in words:
+            stem = word.rstrip(SYMBOLS)
+            if len(stem) < len(word) and (stem[-1:].isalpha() or LATIN.search(stem)):
+                parts[word] = stem, word[len(stem) :]
+        memo = self.memo
+        self.ask({x for w in parts.values() for x in w if x not in memo} | (words - parts.keys()))
+        for word, (stem, tail) in parts.items():
+            memo[word] = memo[stem] + memo[tail]
+
+    def ask(self, words: set[bytes]) -> None:
+        """One call for many words, set apart by a digit, which is always one id; those that hold that digit go by themselves."""
+        new = [w for w in words if b"0" not in w and b"<|" not in w]
+        if new:
+            ids = np.array(self.library.encode_batch_fast([b" 0 ".join(new).decode("utf-8", "surrogatepass")], add_special_tokens=False)[0].ids, "<u4")
+            cuts = (4 * np.flatnonzero(ids == self.mark)).tolist()
+            raw = ids.tobytes()
+            self.memo.update(zip(new, [raw[a + 4 : b] for a, b in zip([-4, *cuts], [*cuts, len(raw)], strict=True)], strict=True))
+        for word in words - set(new):
+            self.memo[word] = np.array(self.library.encode(word.decode("utf-8", "surrogatepass"), add_special_tokens=False).ids, "<u4").tobytes()
+
+    def words(self, text: str) -> list[bytes]:
+        raw = text.encode("utf-8", "surrogatepass")
+        if b"<|" in raw:
+            return [raw]
+        if b"\xcc" in raw or b"\xcd" in raw:
+            return raw.split()
+        return raw.lower().split()
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """Ids of each text. Words of up to 200 texts that aren't known yet go to the library together."""
         it = iter(texts)
         while block := list(itertools.islice(it, 200)):
-            split = [t.split() if t.isascii() and not any(c in t for c in "\x1c\x1d\x1e\x1f\x0b\x0c") else [w for w in SPACE.split(t) if w] for t in block]
+            split = [self.words(t) for t in block]
             if new := {w for words in split for w in words if w not in self.memo}:
                 self.learn(new)
             for words in split:
