@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lorewright.llm.common import _checked, anti_join, materialize, semi_join
+from lorewright.llm.common import _checked, anti_join, checked_lists, materialize, semi_join
 
 BLOCKS, FINER = 4, 8
 
@@ -108,7 +108,7 @@ def dedup_lines(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
     # For each kept number the false values before it and itself; so a line's flag is found by its index.
     before = lambda k: F.when(k > 0, F.get("lw_kept", k - 1)).otherwise(F.lit(-1))
     flags = F.flatten(F.transform("lw_kept", lambda x, k: F.concat(F.array_repeat(F.lit(False), x - before(k) - 1), F.array(F.lit(True)))))
-    cut = semi_join(rows, keys, "lw_id").join(short, "lw_id").withColumn("lw_flags", flags)
+    cut = rows.join(checked_lists(short, "lw_kept"), "lw_id").withColumn("lw_flags", flags)
     cut = cut.withColumns({"lw_lines": counted, text_col: F.array_join(F.filter(lines, lambda x, k: blank(x) | F.coalesce(F.get("lw_flags", k), F.lit(False))), "\n")})
     left = F.size(F.filter(lines, lambda x: ~blank(x)))
     cut = cut.withColumn("lw_removed", F.col("lw_lines") - left)
