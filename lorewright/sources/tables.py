@@ -77,10 +77,9 @@ def append_jsonl(df: DataFrame, path: str) -> None:
 
 def read_cases(spark: SparkSession, path: str, fields: str = schemas.EVALUATION) -> DataFrame:
     """Evaluation cases of a JSON list, or of an object with a list of cases (SRC12, D20)."""
-    rows = whole(spark, path)
     kind = f"array<struct<{','.join(f.strip().replace(' ', ':', 1) for f in fields.split(', '))}>>"
-    listed = F.coalesce(F.from_json("value", kind), F.from_json(F.get_json_object("value", "$.cases"), kind))
-    return rows.select(F.posexplode(listed).alias("ord", "c")).select("ord", "c.*")
+    listed = F.when(F.ltrim(F.regexp_replace("value", r"^\s+", "")).startswith("["), F.from_json("value", kind)).otherwise(F.from_json("value", f"struct<cases:{kind}>")["cases"])
+    return whole(spark, path).select(F.posexplode(listed).alias("ord", "c")).select("ord", "c.*")
 
 
 def read_registry(spark: SparkSession, path: str) -> DataFrame:
