@@ -27,24 +27,28 @@ from lorewright.llm.common import _checked, anti_join, checked_lists, materializ
 BLOCKS, FINER = 4, 8
 
 
-def _key(line: str, r: Column, start: Column, width: Column, *more: Column) -> Column:
-    """Hash of line without width characters from start on, as if it had r characters (the rest counts from the end)."""
-    text = F.col(line)
+def _wide(line: str) -> Column:
+    """A line with four bytes for each character, so that cutting it at a character takes no search for the place."""
+    return F.encode(line, "UTF-32")
+
+
+def _key(n: Column, r: Column, start: Column, width: Column, *more: Column) -> Column:
+    """Hash of the line in column wide, of n characters, without width of them from start on, as if it had r (the rest counts from the end)."""
     after = F.greatest(r - start - width, F.lit(0))
-    return F.xxhash64(r, start, width, *more, F.substr(text, F.lit(1), start), F.when(after > 0, F.substr(text, -after, after)).otherwise(""))
+    return F.xxhash64(r, start, width, *more, F.substr("wide", F.lit(1), 4 * start), F.substr("wide", 4 * (n - after) + 1, 4 * after))
 
 
 def line_variants(documents: DataFrame, id_col: str, text_col: str, min_fuzzy: int) -> DataFrame:
     """Per line that isn't blank: id, no, n (characters), h1 and h2 (its two hashes), keys (those of BLOCKS blocks for R = n, then R = n - 1)."""
     rows = documents.select(documents[id_col].cast("long").alias("id"), documents[text_col].alias("text")).where("id is not null")
     lines = rows.select("id", F.posexplode(F.split("text", "\n", -1)).alias("no", "line")).where(F.col("line").rlike(r"\S"))
-    lines = lines.withColumn("n", F.length("line"))
+    lines = lines.withColumns({"n": F.length("line"), "wide": _wide("line")})
     keys = []
     for less in (0, 1):
         r = F.col("n") - less
         g = F.ceil(r / BLOCKS).cast("int")
         for i in range(BLOCKS):
-            keys.append(F.when(r >= min_fuzzy, _key("line", r, g * i, g)))
+            keys.append(F.when(r >= min_fuzzy, _key(F.col("n"), r, g * i, g)))
     return lines.select("id", "no", "n", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), F.when(F.col("n") >= min_fuzzy, F.array(*keys)).alias("keys"))
 
 
@@ -68,14 +72,15 @@ def removed_near(documents: DataFrame, variants: DataFrame, id_col: str, text_co
     g = F.ceil(r / BLOCKS).cast("int")
     rows = found.join(lines, ["id", "no"]).select("h1", "h2", "n", "id", "no", "line", r.alias("r"), (g * (F.col("at") % BLOCKS)).alias("lo"), g.alias("g"))
     rows = materialize(rows.withColumn("s", F.ceil(F.col("g") / FINER).cast("int")), "line-rows")
+    rows = rows.withColumn("wide", _wide("line"))
     finer = rows.withColumn("start", F.explode(F.filter(F.transform(F.sequence(F.lit(0), F.lit(FINER - 1)), lambda j: F.col("lo") + j * F.col("s")), lambda c: (c < F.col("lo") + F.col("g")) & (c < F.col("r")))))
-    finer = finer.withColumn("key", _key("line", F.col("r"), F.col("start"), F.col("s"), F.lit(2)))
+    finer = finer.withColumn("key", _key(F.col("n"), F.col("r"), F.col("start"), F.col("s"), F.lit(2)))
     shared = materialize(_shared(finer, "key"), "line-keys")
-    fine = materialize(finer.join(shared, "key", "left_semi").select("h1", "h2", "n", "id", "no", "line", "r", "start", "s"), "line-fine")
+    fine = materialize(finer.join(shared, "key", "left_semi").select("h1", "h2", "n", "id", "no", "line", "r", "start", "s"), "line-fine").withColumn("wide", _wide("line"))
     # Single characters: substitutions have a key with their place; an insertion's key is the shorter line itself.
     end = F.least(F.col("start") + F.col("s"), F.col("r"))
     same = fine.where("r = n").withColumn("c", F.explode(F.sequence(F.col("start"), end - 1)))
-    same = same.select("h1", "h2", "id", "no", _key("line", F.col("r"), F.col("c"), F.lit(1), F.lit(3)).alias("key"))
+    same = same.select("h1", "h2", "id", "no", _key(F.col("n"), F.col("r"), F.col("c"), F.lit(1), F.lit(3)).alias("key"))
     shorter = fine.where("r = n").select("h1", "h2", "id", "no", F.xxhash64("r", "line").alias("key"))
     longer = fine.where("r < n").withColumn("c", F.explode(F.sequence(F.col("start"), end)))
     longer = longer.select("h1", "h2", "id", "no", F.xxhash64("r", F.concat(F.substr("line", F.lit(1), F.col("c")), F.expr("substr(line, c + 2)"))).alias("key"))
