@@ -1,0 +1,73 @@
+"""The registered queries: SQL where SQL can express them, contracts elsewhere, and the pipeline by brute force."""
+
+import collections
+import hashlib
+
+import numpy as np
+import pytest
+from compare import assert_same, sql_rows
+from pyspark.sql import functions as F
+from test_operators import LIBRARY, cut_words, kept_lines, near_components, words
+
+from lorewright.llm import op04_langid, queries
+
+SCHEMAS = {
+    "op3_packing": {"doc_id": "bigint", "start": "bigint", "length": "bigint", "ids_crc32": "bigint", "doc_tokens": "bigint", "sequence_id": "bigint", "offset": "bigint"},
+    "op4_language_id": {"doc_id": "bigint", "held_out": "boolean", "lang_pred": "string", "score": "double"},
+    "op5_fingerprints": {"doc_id": "bigint", "n_chars": "bigint", "edited_sha256": "string", "fingerprint": "string", "edited_fingerprint": "string", "near_edited": "double", "near_next": "double"},
+    "op6_minhash": {"doc_id": "bigint", "n_shingles": "bigint", "component_id": "bigint", "kept": "boolean"},
+    "op7_vectors": {"vec_id": "bigint", "n_links": "bigint", "component_id": "bigint", "kept": "boolean"},
+    "op8_lm": {"doc_id": "bigint", "held_out": "boolean", "n_tokens": "bigint", "n_known": "bigint", "train_tokens": "bigint", "base_score": "double", "score": "double"},
+    "op9_bpe": {"doc_id": "bigint", "n_tokens": "bigint", "ids_sha256": "string", "decoded_sha256": "string"},
+    "op10_substrings": {"doc_id": "bigint", "n_words": "bigint", "n_removed": "bigint", "kept_sha256": "string"},
+}
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_same_as_sql(spark, small, name):
+    assert_same(queries.QUERIES[name](spark, small).toPandas(), sql_rows(small, queries.ORACLE_SQL[name]))
+
+
+@pytest.mark.parametrize("name", sorted(SCHEMAS))
+def test_contract(spark, small, name):
+    found = queries.QUERIES[name](spark, small)
+    kinds = dict(found.dtypes)
+    assert {c: kinds.get(c) for c in SCHEMAS[name]} == SCHEMAS[name]
+    key = "vec_id" if "vec_id" in kinds else "doc_id"
+    table = spark.read.parquet(f"{small}/{'embeddings' if key == 'vec_id' else 'documents'}.parquet")
+    assert found.select(key).distinct().count() == table.count()
+
+
+def texts(docs):
+    return [(r["doc_id"], r["text"]) for r in docs.collect()]
+
+
+def test_pipeline_stages(spark, small):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    stages = dict(corpus_pipeline.STAGES)
+    docs = spark.read.parquet(f"{small}/documents.parquet").union(spark.createDataFrame([(9001, None, None, "x", None), (9002, "12 34", "en", "x", 5), (9003, "日本語 テキスト", None, "x", 8)], "doc_id long, text string, lang string, source string, n_chars long"))
+    kept = stages["language_id"](spark, docs, small)
+    assert kept.columns == docs.columns and not {9001, 9002, 9003} & {i for i, _ in texts(kept)} and kept.count() > 0.95 * docs.count()
+    assert op04_langid.UND == "und"
+
+    wanted = {i: t for i, t in kept_lines(texts(kept)).items() if words(t)}
+    lines = stages["line_dedup"](spark, kept, small)
+    assert dict(texts(lines)) == wanted and lines.where(F.col("n_chars") != F.length("text")).count() == 0
+
+    near = {i for i, (_, c) in near_components(texts(kept)).items() if i == c}
+    assert {i for i, _ in texts(stages["minhash_dedup"](spark, kept, small))} == near
+
+    cut = {i: n for i, n in cut_words(texts(kept)).items() if n[1] < n[0] or not n[0]}
+    found = texts(stages["substring_dedup"](spark, kept, small))
+    assert {i: hashlib.sha256(b" ".join(words(t))).hexdigest() for i, t in found} == {i: n[2] for i, n in cut.items()}
+
+    pieces = collections.defaultdict(list)
+    for p in stages["packing"](spark, kept, small).collect():
+        pieces[p["doc_id"]].append((p["start"], bytes(p["ids"])))
+    assert {i: b"".join(b for _, b in sorted(x)) for i, x in pieces.items()} == {i: np.array([*LIBRARY.encode(t, add_special_tokens=False).ids, 2], "<u4").tobytes() for i, t in texts(kept)}
+
+
+def test_pipeline_runs(spark, small):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    found = corpus_pipeline.run(spark, small)
+    assert found.count() > 0 and {"doc_id", "sequence_id", "offset", "ids"} <= set(found.columns)
