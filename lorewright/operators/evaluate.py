@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from lorewright.functions import text as T
 
@@ -41,26 +45,28 @@ def summary(cases: DataFrame) -> DataFrame:
     return out.na.fill(0.0)
 
 
-def lcs_length(a: Column, b: Column) -> Column:
-    """Length of the longest common subsequence of two word lists, row by row of the usual table."""
-    start = F.array_repeat(F.lit(0), F.size(b) + 1)
+def lcs_length(a: list[str], b: list[str]) -> int:
+    """Length of the longest common subsequence, a row of the usual table in one integer's bits."""
+    masks: dict[str, int] = {}
+    for k, word in enumerate(b):
+        masks[word] = masks.get(word, 0) | 1 << k
+    full = (1 << len(b)) - 1
+    row = full
+    for word in a:
+        hit = row & masks.get(word, 0)
+        row = ((row + hit) | (row - hit)) & full
+    return len(b) - row.bit_count()
 
-    def row(above: Column, word: Column) -> Column:
-        cells = F.aggregate(
-            F.sequence(F.lit(1), F.size(b)), F.array(F.lit(0)),
-            lambda acc, j: F.concat(acc, F.array(F.when(F.get(b, j - 1) == word, F.get(above, j - 1) + 1).otherwise(F.greatest(F.get(above, j), F.element_at(acc, -1))))),
-        )
-        return F.when(F.size(b) > 0, cells).otherwise(above)
 
-    return F.element_at(F.aggregate(a, start, row), -1)
+@F.pandas_udf(DoubleType())
+def rouge_l(candidate: pd.Series, gold: pd.Series) -> pd.Series:
+    """F-measure of the longest common subsequence of lower-case words (Q15). Model-based measures are hooks."""
 
+    def one(c: str | None, g: str | None) -> float:
+        a, b = re.findall("[a-z0-9]+", (c or "").lower()), re.findall("[a-z0-9]+", (g or "").lower())
+        return 2.0 * lcs_length(a, b) / (len(a) + len(b)) if a and b else 0.0
 
-def rouge_l(candidate: Column, gold: Column) -> Column:
-    """F-measure of the longest common subsequence of lower-case words (Q15). Model-based measures are hooks."""
-    words = lambda c: F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0))
-    a, b = words(candidate), words(gold)
-    n = lcs_length(a, b)
-    return F.when((F.size(a) > 0) & (F.size(b) > 0) & (n > 0), 2.0 * n / (F.size(a) + F.size(b))).otherwise(0.0)
+    return pd.Series([one(c, g) for c, g in zip(candidate, gold, strict=True)], dtype="float64")
 
 
 def compare_systems(cases: DataFrame, systems: list[str], gold: str = "answer_gold") -> DataFrame:

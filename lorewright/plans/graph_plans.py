@@ -312,14 +312,11 @@ def tx44_snapshot(spark, sf):
     return graph.snapshot(*graph.parse_extractions(extractions(spark, sf)))
 
 
-@query(
-    "flt7_referential",
-    """WITH refs AS (SELECT DISTINCT 'v' AS v, conv_id % 700 AS seg FROM conversations) SELECT source AS video_name, count(*) AS n FROM documents WHERE doc_id % 700 IN (SELECT seg FROM refs) AND doc_id < 700 GROUP BY source""",
-)
+@query("flt7_referential", "SELECT source AS video_name, count(*) AS n FROM documents WHERE doc_id IN (SELECT conv_id FROM conversations) GROUP BY source")
 def flt7_referential(spark, sf):
-    docs = table(spark, sf, "documents").where("doc_id < 700").select(F.col("source").alias("video_name"), F.col("doc_id").cast("string").alias("segment_idx"))
-    convs = table(spark, sf, "conversations").select((F.col("conv_id") % 700).cast("string").alias("seg")).distinct()
-    chunks = docs.select("video_name").distinct().crossJoin(convs).select("video_name", F.array(F.concat("video_name", F.lit("_"), "seg")).alias("video_segment_id"))
+    docs = table(spark, sf, "documents").select(F.col("source").alias("video_name"), F.col("doc_id").cast("string").alias("segment_idx"))
+    refs = table(spark, sf, "conversations").select(F.col("conv_id").cast("string").alias("segment_idx")).distinct().join(docs, "segment_idx")
+    chunks = refs.select("video_name", F.array(F.concat("video_name", F.lit("_"), "segment_idx")).alias("video_segment_id"))
     return sanitize.referenced_segments(docs, chunks).groupBy("video_name").agg(F.count("*").alias("n"))
 
 

@@ -385,7 +385,10 @@ def q14_evaluation(spark, sf):
 
 @query("q15_compare")
 def q15_compare(spark, sf):
-    w = table(spark, sf, "conversations").where("turn = 0").select(F.col("text").alias("answer_gold"), F.substr("text", F.lit(1), F.lit(80)).alias("rag_answer"), F.lit("").alias("weak_llm_answer"))
+    """Each turn of a conversation as the gold answer; the turn before it and an empty answer as two systems."""
+    from pyspark.sql import Window
+
+    w = table(spark, sf, "conversations").select(F.col("text").alias("answer_gold"), F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn")).alias("rag_answer"), F.lit("").alias("weak_llm_answer"))
     return evaluate.compare_systems(w, ["rag_answer", "weak_llm_answer"])
 
 

@@ -288,8 +288,3 @@ def flt1_quarantine(spark, sf):
 def flt3_clamp(spark, sf):
     span = F.struct(F.lit(10.0).alias("start"), F.lit(60.0).alias("end"))
     return table(spark, sf, "events").select("event_id", T.clamp_times(F.array(F.col("value"), F.col("value") * 3, F.lit(-1.0)), span).alias("times"))
-
-
-@query("flt4_render")
-def flt4_render(spark, sf):
-    return table(spark, sf, "events").select("event_id", T.render_time(F.struct((F.col("event_id") / 4).alias("start"), (F.col("event_id") + 30).cast("double").alias("end"))).alias("time"))

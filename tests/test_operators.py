@@ -280,3 +280,47 @@ def test_cache_completes_each_prompt_once(spark):
     out, known = hooks.cached(rows, spark.createDataFrame([], "hash string, return string, model string"), "p", complete)
     assert sorted(r["raw"] for r in out.collect()) == ["X", "X", "Y"] and sorted(asked) == ["x", "y"]
     assert known.count() == 2
+
+
+def test_multiple_choice_asks_again(spark):
+    turns = []
+
+    def complete(rows):
+        turns.append(sorted(r["query_id"] for r in rows.collect()))
+        good = F.col("query_id") < len(turns)
+        return rows.withColumn("raw", F.when(good, '{"Answer":"A","Explanation":"e"}').otherwise('{"Answer":"A"}'))
+
+    rows = spark.createDataFrame([(0, "p"), (1, "p"), (9, "p")], "query_id int, prompt string")
+    found = {r["query_id"]: r["answer"] for r in answer.multiple_choice(rows, complete, 2).collect()}
+    assert found == {0: "A", 1: "A", 9: "No Content"} and turns[:2] == [[0, 1, 9], [1, 9]]
+
+
+def test_knowledge_base_round_trip(spark, tmp_path):
+    from lorewright.engine import KnowledgeBase
+
+    vectors = spark.createDataFrame([("v", "c1", "A", [1.0] + [0.0] * 63)], "video_name string, id string, entity_name string, vector array<float>")
+    base = KnowledgeBase(
+        segments=spark.createDataFrame([("v", "0", "0-30")], "video_name string, segment_idx string, time string"),
+        frames=spark.createDataFrame([("v", "0_0", "0", "a red icon", "")], "video_name string, frame_key string, segment_idx string, vlm_output string, transcript string"),
+        chunks=spark.createDataFrame([("v", "c1", "pyke throws a red hook", ["v_0"])], "video_name string, chunk_id string, content string, video_segment_id array<string>"),
+        nodes=spark.createDataFrame([("v", 0, "A", "c1"), ("v", 1, "B", "c1")], "video_name string, node_ord long, id string, source_id string"),
+        edges=spark.createDataFrame([("v", "A", "B", 2.0, "c1")], "video_name string, src string, dst string, weight double, source_id string"),
+        chunk_vectors=vectors, entity_vectors=vectors, global_nodes=spark.createDataFrame([(0, "PYKE", "a fisher", "c1")], "node_ord long, id string, description string, source_id string"),
+        registry=spark.createDataFrame([("v", "http://u")], "video_name string, url string"),
+    )
+    base.save(str(tmp_path))
+    loaded = KnowledgeBase.load(spark, str(tmp_path), str(tmp_path))
+    asked = spark.createDataFrame([("q", "what color icon does pyke have")], "query_id string, query string")
+    found = loaded.answer(asked).first()
+    assert found["enough"] and "dense_chunk|entity_graph|global_graph|visual_support" in found["context"]
+
+
+def test_lcs():
+    draw = random.Random(1)
+    for _ in range(50):
+        a, b = ([draw.choice("abc") for _ in range(draw.randint(0, 12))] for _ in range(2))
+        table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
+        assert evaluate.lcs_length(a, b) == table[-1][-1]
