@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lorewright import shared
 from lorewright.functions import text as T
 from lorewright.functions import vectors as V
 from lorewright.schemas import Settings
@@ -48,11 +49,19 @@ def diversify(hits: DataFrame, cap: Column, final_k: int = Settings.final_k) ->
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= final_k).drop("in_video")
 
 
+def focused(queries: DataFrame, videos: DataFrame) -> DataFrame:
+    """query_id and single: whether the query names exactly one of the videos (TX38). Each video meets the query batch; a row per query comes out."""
+    asked = shared.checked(queries.select("query_id", F.lower("query").alias("q")))
+    named = videos.select(F.replace(F.lower("video_name"), F.lit("_"), F.lit(" ")).alias("slug"), "video_name").distinct().crossJoin(asked).where(F.contains("q", F.col("slug")))
+    return named.groupBy("query_id").agg((F.count("*") == 1).alias("single"))
+
+
 def rerank(hits: DataFrame, queries: DataFrame, videos: DataFrame, settings: Settings | None = None) -> DataFrame:
     """Q4. queries: query_id, query, intent; videos: video_name, the engine's list of sources."""
     s = settings or Settings()
-    listed = videos.agg(F.array_sort(F.collect_set("video_name")).alias("videos"))  # names only, one row
-    asked = queries.crossJoin(F.broadcast(listed)).select("query_id", "query", F.col("intent.entity_focus_terms").alias("terms"), F.when(T.single_focus(F.col("query"), F.col("videos")), s.final_k).when(F.col("intent.is_cross_video"), s.per_video_cross).otherwise(s.per_video).alias("cap"))
+    asked = queries.join(focused(queries, videos), "query_id", "left")
+    cap = F.when(F.coalesce("single", F.lit(False)), s.final_k).when(F.col("intent.is_cross_video"), s.per_video_cross).otherwise(s.per_video)
+    asked = asked.select("query_id", "query", F.col("intent.entity_focus_terms").alias("terms"), cap.alias("cap"))
     rows = component_scores(dedupe_hits(hits).join(asked, "query_id"))
     rows = rows.withColumn("final_score", V.weighted(F.col("score_semantic"), F.col("score_entity"), F.col("score_graph"), s))
     return diversify(rows, F.col("cap"), s.final_k).drop("query", "terms", "cap")

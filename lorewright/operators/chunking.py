@@ -2,41 +2,50 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorewright.functions import text as T
 
-FOLD = "struct<acc:string,ids:array<string>,out:array<struct<content:string,ids:array<string>>>>"
+def chunk_numbers(segments: DataFrame, limit: int) -> DataFrame:
+    """video_name, ord and k, the chunk each segment falls in. segments: video_name, ord, n (characters).
+
+    Each step depends on the one before it, so a video's segments are folded in one place; only an ordinal and a length of
+    each go there, never a text.
+    """
+
+    def fold(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("ord", kind="stable")
+        held, k, out = 0, 0, []
+        for n in rows["n"].tolist():
+            if held + n <= limit:
+                held += 1 + n
+            else:
+                held, k = n, k + 1
+            out.append(k)
+        return pd.DataFrame({"video_name": rows["video_name"], "ord": rows["ord"], "k": out})
+
+    kinds = dict(segments.dtypes)
+    return segments.select("video_name", "ord", "n").groupBy("video_name").applyInPandas(fold, f"video_name {kinds['video_name']}, ord {kinds['ord']}, k bigint")
 
 
 def chunk_pack(segments: DataFrame, max_tokens: int = 1200) -> DataFrame:
-    """Chunks of a video's segments in order (AG1, AG2's id, WN6). segments: video_name, ord, ref, text.
+    """Chunks of a video's segments in order (AG1, AG2's id, WN6). segments: video_name, ord (one of each in a video), ref, text.
 
     A segment is clipped to the limit of 4 characters a token. It joins the chunk, after a space, if both lengths without that
     space are within the limit; so a first chunk counts its leading space, and a chunk may pass the limit by one.
-    The fold runs over one video's segments, as each step depends on the one before it.
     """
     limit = 4 * max_tokens
-    docs = F.array_sort(F.collect_list(F.struct("ord", "ref", F.substr(F.col("text"), F.lit(1), F.lit(limit)).alias("text"))))
-    empty = F.struct(F.lit("").alias("acc"), F.array().cast("array<string>").alias("ids"), F.array().cast("array<struct<content:string,ids:array<string>>>").alias("out"))
-
-    def step(s: Column, d: Column) -> Column:
-        fits = F.length(s["acc"]) + F.length(d["text"]) <= limit
-        done = F.concat(s["out"], F.array(F.struct(s["acc"].alias("content"), s["ids"].alias("ids"))))
-        return F.when(
-            fits, F.struct(F.concat(s["acc"], F.lit(" "), d["text"]).alias("acc"), F.concat(s["ids"], F.array(d["ref"])).alias("ids"), s["out"].alias("out"))
-        ).otherwise(F.struct(d["text"].alias("acc"), F.array(d["ref"]).alias("ids"), done.alias("out")))
-
-    def last(s: Column) -> Column:
-        return F.when(F.length(s["acc"]) > 0, F.concat(s["out"], F.array(F.struct(s["acc"].alias("content"), s["ids"].alias("ids"))))).otherwise(s["out"])
-
-    folded = segments.groupBy("video_name").agg(F.aggregate(docs, empty.cast(FOLD), step, last).alias("chunks"))
-    rows = folded.select("video_name", F.posexplode("chunks").alias("chunk_order_index", "c"))
-    content = T.strip(F.col("c.content"))
+    docs = segments.select("video_name", "ord", "ref", F.substr(F.col("text"), F.lit(1), F.lit(limit)).alias("text"))
+    docs = docs.join(chunk_numbers(docs.withColumn("n", F.length("text")), limit), ["video_name", "ord"])
+    parts = docs.groupBy("video_name", "k").agg(F.array_sort(F.collect_list(F.struct("ord", "ref", "text"))).alias("d"))
+    content = F.concat(F.when(F.col("k") == 0, " ").otherwise(""), F.array_join(F.transform("d", lambda x: x["text"]), " "))
+    rows = parts.withColumn("content", content).where(F.col("content") != "")
+    bare = T.strip(F.col("content"))
     return rows.select(
-        "video_name", F.col("chunk_order_index").cast("long"), T.md5_id(content).alias("chunk_id"), F.floor(F.length("c.content") / 4).cast("long").alias("tokens"),
-        content.alias("content"), F.col("c.ids").alias("video_segment_id"),
+        "video_name", F.col("k").alias("chunk_order_index"), T.md5_id(bare).alias("chunk_id"), F.floor(F.length("content") / 4).cast("long").alias("tokens"),
+        bare.alias("content"), F.transform("d", lambda x: x["ref"]).alias("video_segment_id"),
     )
 
 

@@ -11,12 +11,15 @@ from pyspark.sql import functions as F
 
 #: Where tables were written, to be removed when the interpreter ends.
 _written: list[tuple[SparkSession, str]] = []
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where it is unset, one of our own in local mode only."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="lorewright-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -38,11 +41,18 @@ atexit.register(_remove_written)
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back.
 
-    Cuts the lineage: a lost executor costs the running stage only, never the stages before it.
+    Cuts the lineage: a lost executor costs the running stage only, never the stages before it. Meanwhile Python workers get
+    at most 1000 rows at a time, as whole texts may be long.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lorewright/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    rows = spark.conf.get(BATCH_ROWS)
+    if not 0 < int(rows) <= 1000:
+        spark.conf.set(BATCH_ROWS, "1000")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(BATCH_ROWS, rows)
     _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
