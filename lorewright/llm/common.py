@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +16,9 @@ from pyspark.sql import functions as F
 _written: list[tuple[SparkSession, str]] = []
 
 
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -38,11 +44,18 @@ atexit.register(_remove_written)
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back.
 
-    Cuts the lineage: a lost executor costs the running stage only, never the stages before it.
+    Cuts the lineage: a lost executor costs the running stage only, never the stages before it. Meanwhile Python workers get
+    at most 1000 rows at a time, as whole texts may be long.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lorewright/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    rows = spark.conf.get(BATCH_ROWS)
+    if not 0 < int(rows) <= 1000:
+        spark.conf.set(BATCH_ROWS, "1000")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(BATCH_ROWS, rows)
     _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
@@ -58,6 +71,27 @@ def discard(df: DataFrame) -> None:
             _written.remove(entry)
 
 
+#: What the operator that ran last in this worker keeps: memos and tables.
+_kept: dict = {}
+
+
+def worker_state(key, make):
+    """make()'s result, kept in this worker for calls with the same key until another operator asks for its own.
+
+    Workers serve many stages; without this each operator's memo would stay beside the next one's.
+    """
+    if key not in _kept:
+        if others := [k for k in _kept if k[0] != key[0]]:
+            for other in others:
+                del _kept[other]
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+                trim(0)
+        _kept[key] = make()
+    return _kept[key]
+
+
 def crc32_mod(column: str, modulus: int):
     """crc32 of the column's decimal text, modulo modulus."""
     return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(modulus))

@@ -11,7 +11,6 @@ Other columns are ignored. An empty table gives no pieces.
 
 from __future__ import annotations
 
-import functools
 import itertools
 import os
 import re
@@ -23,10 +22,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorewright.llm.common import materialize
+from lorewright.llm.common import materialize, worker_state
 
 #: Words whose ids are kept in a worker; an entry only saves work.
-MEMO = 1_200_000
+MEMO = 800_000
 #: ASCII characters that are neither letters, digits nor spaces; and a text that ends in a letter of Latin-1.
 SYMBOLS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 LATIN = re.compile(rb"\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]$")
@@ -57,7 +56,7 @@ class WordEncoder:
         parts = {}
         for word in words:
             stem = word.rstrip(SYMBOLS)
-            if len(stem) < len(word) and (stem[-1:].isalpha() or LATIN.search(stem)):
+            if len(stem) < len(word) and b"<|" not in word and (stem[-1:].isalpha() or LATIN.search(stem)):
                 parts[word] = stem, word[len(stem) :]
         memo = self.memo
         self.ask({x for w in parts.values() for x in w if x not in memo} | (words - parts.keys()))
@@ -98,9 +97,8 @@ class WordEncoder:
                     yield b"".join(map(self.memo.__getitem__, words))
 
 
-@functools.lru_cache(maxsize=2)
 def word_encoder(path: str) -> WordEncoder:
-    return WordEncoder(path)
+    return worker_state(("packing", path), lambda: WordEncoder(path))
 
 
 def tokenize(documents: DataFrame, tokenizer_path: str, end_id: int | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lorewright.llm.common import worker_state
+
 BITS = 13
 UND = "und"
 #: Vectors made at once.
@@ -123,6 +125,7 @@ def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_c
     rows = train.select(train[id_col].cast("string").alias("id"), train[text_col].alias("text"), train[lang_col].alias("lang")).where("text is not null and lang is not null")
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state(("langid",), dict)
         total, n = np.zeros(1 << BITS, np.int64), 0
         for batch in batches:
             for text in batch.column(0):
@@ -161,6 +164,7 @@ def predict(documents: DataFrame, model: CentroidModel, id_col: str = "doc_id",
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state(("langid",), dict)
         for whole in batches:
             for lo in range(0, whole.num_rows, 1000):
                 batch = whole.slice(lo, 1000)
@@ -178,6 +182,7 @@ def flag(documents: DataFrame, model: CentroidModel, text_col: str = "text") ->
     at = schema.fieldNames().index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state(("langid",), dict)
         for whole in batches:
             for lo in range(0, whole.num_rows, 1000):
                 batch = whole.slice(lo, 1000)

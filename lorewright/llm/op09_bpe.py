@@ -12,7 +12,6 @@ Null texts count as empty. Whole texts are encoded; other columns are ignored; r
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import json
 import unicodedata
@@ -21,6 +20,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from lorewright.llm.common import worker_state
+
 SPACES = "\t\n\x0b\x0c\r \x85\xa0                　"
 #: Control characters that str.split() takes for spaces and the tokenizer doesn't.
 NO_SPACES = "\x1c\x1d\x1e\x1f"
@@ -183,9 +184,8 @@ class BacktrackingBpe:
         return sum([x[0] for x in found]), " ".join([x[1] for x in found if x[0]]), " ".join([x[2] for x in found if x[0]])
 
 
-@functools.lru_cache(maxsize=2)
 def encoder(path: str) -> BacktrackingBpe:
-    return BacktrackingBpe(path)
+    return worker_state(("bpe", path), lambda: BacktrackingBpe(path))
 
 
 def bpe_round_trip(documents: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

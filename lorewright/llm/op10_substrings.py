@@ -20,7 +20,6 @@ Rows with a null id are left as they are. Texts shorter than a window lose nothi
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import re
 from collections.abc import Iterator
@@ -31,12 +30,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorewright.llm.common import anti_join, discard, materialize, semi_join
+from lorewright.llm.common import anti_join, discard, materialize, semi_join, worker_state
 
 WINDOW = 20
 #: Starts of symbols that are alike in all copies of a window: from 3 words in, with 6 words that the window still holds.
 FIRST, REACH = 3, 6
-MEMO = 1_000_000
+MEMO = 200_000
 #: Words handled at once, and the bits that hold a position among them.
 CHUNK, PLACE_BITS = 200_000, 28
 #: Repeated names up to this number are told by a bitmap of 2^27 bits (16 MB); beyond it by a join.
@@ -70,9 +69,8 @@ class WordHashes:
             return np.array(list(map(memo.__getitem__, words)), np.uint64)
 
 
-@functools.lru_cache(maxsize=1)
 def word_hashes() -> WordHashes:
-    return WordHashes()
+    return worker_state(("substrings", "words"), WordHashes)
 
 
 def split(text: str | None) -> list[bytes]:
