@@ -1,75 +1,16 @@
-"""What the training-data operators share: the shared folder, lineage cuts and connected components."""
+"""What the training-data operators share: the library's lineage cuts and joins, and what a worker keeps."""
 
 from __future__ import annotations
 
-import atexit
 import ctypes
 import gc
-import tempfile
-import uuid
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Where tables were written, to be removed when the interpreter ends.
-_written: list[tuple[SparkSession, str]] = []
-
-
-BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="lorewright-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def _remove_written() -> None:
-    for spark, path in _written:
-        try:
-            jvm = spark.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-        except Exception:  # the session may be gone; the shared folder's owner clears it then
-            return
-
-
-atexit.register(_remove_written)
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back.
-
-    Cuts the lineage: a lost executor costs the running stage only, never the stages before it. Meanwhile Python workers get
-    at most 1000 rows at a time, as whole texts may be long.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lorewright/{name}-{uuid.uuid4().hex}"
-    rows = spark.conf.get(BATCH_ROWS)
-    if not 0 < int(rows) <= 1000:
-        spark.conf.set(BATCH_ROWS, "1000")
-    try:
-        df.write.option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.set(BATCH_ROWS, rows)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def discard(df: DataFrame) -> None:
-    """Remove a table that materialize() wrote, once nothing reads it any more."""
-    spark = df.sparkSession
-    files = df.inputFiles()
-    for entry in list(_written):
-        if entry[0] is spark and any(entry[1].rsplit("/", 1)[-1] in f for f in files[:1]):
-            target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(entry[1])
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-            _written.remove(entry)
+from lorewright.shared import anti_join, checked, checked_lists, connected_components, discard, materialize, semi_join, shared_dir
 
+__all__ = ["anti_join", "checked", "checked_lists", "connected_components", "crc32_mod", "discard", "materialize", "semi_join", "shared_dir", "worker_state"]
 
 #: What the operator that ran last in this worker keeps: memos and tables.
 _kept: dict = {}
@@ -95,57 +36,3 @@ def worker_state(key, make):
 def crc32_mod(column: str, modulus: int):
     """crc32 of the column's decimal text, modulo modulus."""
     return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(modulus))
-
-
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """Components of an undirected graph: (node, component = smallest node reachable), for every node in edges (a, b).
-
-    Large-star / small-star in turn: each round every node is relinked to the smallest neighbour seen, so that chains
-    shorten by a constant factor; rows never exceed twice the edges and no group is gathered (min is a partial aggregate).
-    """
-    pairs = edges.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).where("lo < hi").distinct()
-    pairs = materialize(pairs, "cc")
-    for _ in range(max_rounds):
-        # Large star: every larger neighbour of a node is linked to the node's smallest neighbour (itself included).
-        both = pairs.select(F.col("lo").alias("u"), F.col("hi").alias("v")).union(pairs.select(F.col("hi").alias("u"), F.col("lo").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("m").alias("lo"), F.col("v").alias("hi")).where("lo < hi").distinct()
-        # Small star: a node and its smaller neighbours are linked to the smallest of them.
-        low = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        small = large.join(low, "hi").select(F.col("m").alias("lo"), F.explode(F.array("lo", "hi")).alias("hi")).where("lo < hi").distinct()
-        new = materialize(small, "cc")
-        # Stars only, and every node in one star: done.
-        moved = new.join(new.select(F.col("hi").alias("lo")).distinct(), "lo", "left_semi").limit(1).count() + new.groupBy("hi").count().where("count > 1").limit(1).count()
-        discard(pairs)
-        pairs = new
-        if not moved:
-            break
-    else:
-        raise RuntimeError("components did not settle")
-    return pairs.select(F.col("hi").alias("node"), F.col("lo").alias("component")).union(pairs.select(F.col("lo").alias("node"), F.col("lo").alias("component")).distinct())
-
-
-#: Keys up to this number are broadcast (8 MB of longs); beyond it the join shuffles.
-BROADCAST_KEYS = 1_000_000
-
-
-def _checked(keys: DataFrame) -> DataFrame:
-    few = keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
-    return F.broadcast(keys) if few else keys
-
-
-def checked_lists(rows: DataFrame, column: str, per_row: int = 4) -> DataFrame:
-    """rows with a broadcast hint if they number at most BROADCAST_KEYS and their lists hold at most per_row times as many
-    elements; else unchanged, for a shuffle join."""
-    found = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size(column)), F.lit(0)).alias("elements")).first()
-    return F.broadcast(rows) if found["n"] <= BROADCAST_KEYS and found["elements"] <= per_row * BROADCAST_KEYS else rows
-
-
-def semi_join(rows: DataFrame, keys: DataFrame, on: str) -> DataFrame:
-    """Rows whose key is among keys; broadcasts keys only if their counted number is within BROADCAST_KEYS."""
-    return rows.join(_checked(materialize(keys.select(on).distinct(), "keys")), on, "left_semi")
-
-
-def anti_join(rows: DataFrame, keys: DataFrame, on: str) -> DataFrame:
-    """Rows whose key isn't among keys; broadcasts keys only if their counted number is within BROADCAST_KEYS."""
-    return rows.join(_checked(materialize(keys.select(on).distinct(), "keys")), on, "left_anti")

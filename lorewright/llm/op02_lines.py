@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lorewright.llm.common import _checked, anti_join, checked_lists, materialize, semi_join
+from lorewright.llm.common import anti_join, checked, checked_lists, materialize, semi_join
 
 BLOCKS, FINER = 4, 8
 
@@ -60,7 +60,7 @@ def _shared(rows: DataFrame, key: str) -> DataFrame:
 def removed_near(documents: DataFrame, variants: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """h1 and h2 of lines that an earlier line within one edit removes."""
     keyed = variants.where("keys is not null").select("id", "no", "n", "h1", "h2", F.posexplode("keys").alias("at", "key")).where("key is not null")
-    coarse = _checked(materialize(_shared(keyed, "key"), "line-keys"))
+    coarse = checked(materialize(_shared(keyed, "key"), "line-keys"))
     found = keyed.join(coarse, "key", "left_semi").groupBy("h1", "h2", "n", "at").agg(F.min(F.struct("id", "no")).alias("pos"))
     found = materialize(found.select("h1", "h2", "n", "at", F.col("pos.id").alias("id"), F.col("pos.no").alias("no")), "line-found")
     places = materialize(found.select("id", "no").distinct(), "line-places")

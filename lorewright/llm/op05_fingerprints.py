@@ -16,7 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lorewright.llm.common import _checked, materialize, semi_join
+from lorewright.llm.common import checked, materialize, semi_join
 
 NFKC = "com.ibm.icu.text.Normalizer", "compose"
 FOLD = "com.ibm.icu.lang.UCharacter", "foldCase"
@@ -112,7 +112,7 @@ def edit_report(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
     def texts_of(keys: DataFrame) -> DataFrame:
         kind = lambda k: keys.where(F.col("key.kind") == k).select(F.col("key.id").alias("id")).distinct()
         own = semi_join(texts, kind(0), "id").select(F.struct(F.lit(0).alias("kind"), "id").alias("key"), "text")
-        some = materialize(pairs.join(_checked(materialize(kind(1), "keys")), "id", "left_semi"), "pairs")
+        some = materialize(pairs.join(checked(materialize(kind(1), "keys")), "id", "left_semi"), "pairs")
         both = semi_join(texts, some.select(F.explode(F.array("id", "next_id")).alias("id")), "id")
         return own.union(edited(both, some, []).select(F.struct(F.lit(1).alias("kind"), "id"), "edited"))
 
