@@ -5,7 +5,10 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,14 +71,43 @@ def discard(df: DataFrame) -> None:
             _written.remove(entry)
 
 
+#: Graphs of up to so many edges (16 MB of ids) are labelled by one task; larger ones by rounds of joins.
+ONE_TASK_EDGES = 1_000_000
+
+
+def _label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Nodes and components of the edges in one partition: labels fall along edges and jump to their label's label."""
+    rows = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+    if not rows:
+        return
+    lo, hi = np.concatenate([r[0] for r in rows]), np.concatenate([r[1] for r in rows])
+    nodes, at = np.unique(np.concatenate((lo, hi)), return_inverse=True)
+    a, b = at[: len(lo)], at[len(lo) :]
+    label = np.arange(len(nodes))
+    while True:
+        new = label.copy()
+        np.minimum.at(new, label[a], label[b])
+        np.minimum.at(new, label[b], label[a])
+        np.minimum.at(new, a, label[b])
+        np.minimum.at(new, b, label[a])
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    yield pa.record_batch([pa.array(nodes), pa.array(nodes[label])], ["node", "component"])
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Components of an undirected graph: (node, component = smallest node reachable), for every node in edges (a, b).
 
-    Large-star / small-star in turn: each round every node is relinked to the smallest neighbour seen, so that chains
-    shorten by a constant factor; rows never exceed twice the edges and no group is gathered (min is a partial aggregate).
+    Graphs of at most ONE_TASK_EDGES edges, by count, are labelled by one task. Beyond it, large-star / small-star in turn:
+    each round every node is relinked to the smallest neighbour seen, so that chains shorten by a constant factor; rows never
+    exceed twice the edges and no group is gathered (min is a partial aggregate).
     """
-    pairs = edges.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).where("lo < hi").distinct()
+    pairs = edges.select(F.least("a", "b").cast("long").alias("lo"), F.greatest("a", "b").cast("long").alias("hi")).where("lo < hi").distinct()
     pairs = materialize(pairs, "cc")
+    if pairs.limit(ONE_TASK_EDGES + 1).count() <= ONE_TASK_EDGES:
+        return pairs.coalesce(1).mapInArrow(_label, "node bigint, component bigint")
     for _ in range(max_rounds):
         # Large star: every larger neighbour of a node is linked to the node's smallest neighbour (itself included).
         both = pairs.select(F.col("lo").alias("u"), F.col("hi").alias("v")).union(pairs.select(F.col("hi").alias("u"), F.col("lo").alias("v")))

@@ -177,7 +177,9 @@ def test_an_unknown_first_node_bridges_types(spark):
     assert again.count() == 3
 
 
-def test_components_of_chains_and_cycles(spark):
+@pytest.mark.parametrize("bound", [1_000_000, 10])
+def test_components_of_chains_and_cycles(spark, monkeypatch, bound):
+    monkeypatch.setattr(shared, "ONE_TASK_EDGES", bound)
     draw = random.Random(3)
     pairs = [(k, k + 1) for k in range(300)] + [(1000 + k, 1000 + (k + 1) % 50) for k in range(50)] + [(draw.randrange(2000, 2600), draw.randrange(2000, 2600)) for _ in range(300)]
     parent = {}
