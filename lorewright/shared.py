@@ -17,6 +17,12 @@ _written: list[tuple[SparkSession, str]] = []
 BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Python workers get 1000 rows at a time from now on, as whole texts may be long, unless the session has a number of its own."""
+    if spark.conf.get(BATCH_ROWS) == "10000":  # Spark's default
+        spark.conf.set(BATCH_ROWS, "1000")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir; where it is unset, one of our own in local mode only."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -44,18 +50,12 @@ atexit.register(_remove_written)
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back.
 
-    Cuts the lineage: a lost executor costs the running stage only, never the stages before it. Meanwhile Python workers get
-    at most 1000 rows at a time, as whole texts may be long.
+    Cuts the lineage: a lost executor costs the running stage only, never the stages before it.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lorewright/{name}-{uuid.uuid4().hex}"
-    rows = spark.conf.get(BATCH_ROWS)
-    if not 0 < int(rows) <= 1000:
-        spark.conf.set(BATCH_ROWS, "1000")
-    try:
-        df.write.option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.set(BATCH_ROWS, rows)
+    bound_batches(spark)
+    df.write.option("compression", "zstd").parquet(path)
     _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
