@@ -8,9 +8,9 @@ import gc
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from lorewright.shared import anti_join, checked, checked_lists, connected_components, discard, materialize, semi_join, shared_dir
+from lorewright.shared import anti_join, bound_batches, checked, checked_lists, connected_components, discard, materialize, semi_join, shared_dir
 
-__all__ = ["anti_join", "checked", "checked_lists", "connected_components", "crc32_mod", "discard", "materialize", "semi_join", "shared_dir", "worker_state"]
+__all__ = ["anti_join", "bound_batches", "checked", "checked_lists", "connected_components", "crc32_mod", "discard", "materialize", "semi_join", "shared_dir", "worker_state"]
 
 #: What the operator that ran last in this worker keeps: memos and tables.
 _kept: dict = {}

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from lorewright.llm.common import materialize, worker_state
 
 #: Words whose ids are kept in a worker; an entry only saves work.
-MEMO = 800_000
+MEMO = 400_000
 #: ASCII characters that are neither letters, digits nor spaces; and a text that ends in a letter of Latin-1.
 SYMBOLS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 LATIN = re.compile(rb"\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]$")
@@ -51,8 +51,8 @@ class WordEncoder:
 
     def learn(self, words: set[bytes]) -> None:
         """A word that ends in symbols after a letter is its stem and these symbols, which are never joined."""
-        if len(self.memo) + len(words) > MEMO:
-            self.memo.clear()
+        if len(self.memo) + len(words) > MEMO:  # the words met first are the frequent ones
+            self.memo = dict(itertools.islice(self.memo.items(), MEMO // 2))
         parts = {}
         for word in words:
             stem = word.rstrip(SYMBOLS)
@@ -83,16 +83,16 @@ class WordEncoder:
         return raw.lower().split()
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
-        """Ids of each text. Words of up to 200 texts that aren't known yet go to the library together."""
+        """Ids of each text. Words of up to 100 texts that aren't known yet go to the library together."""
         it = iter(texts)
-        while block := list(itertools.islice(it, 200)):
+        while block := list(itertools.islice(it, 100)):
             split = [self.words(t) for t in block]
             if new := {w for words in split for w in words if w not in self.memo}:
                 self.learn(new)
             for words in split:
                 try:
                     yield b"".join(map(self.memo.__getitem__, words))
-                except KeyError:  # the memo was cleared for this block
+                except KeyError:  # the memo was cut for this block
                     self.learn(set(words) - self.memo.keys())
                     yield b"".join(map(self.memo.__getitem__, words))
 

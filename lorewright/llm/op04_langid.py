@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorewright.llm.common import worker_state
+from lorewright.llm.common import bound_batches, worker_state
 
 BITS = 13
 UND = "und"
@@ -122,6 +122,7 @@ def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_c
     cosine to its nearest centroid that a language's sample shows to the language's rejection bound.
     """
     spark = train.sparkSession
+    bound_batches(spark)
     rows = train.select(train[id_col].cast("string").alias("id"), train[text_col].alias("text"), train[lang_col].alias("lang")).where("text is not null and lang is not null")
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,6 +162,7 @@ def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_c
 
 def predict(documents: DataFrame, model: CentroidModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: id, lang_pred, score (0 to 1), cosine, rejected. The model is a fixed number of short vectors."""
+    bound_batches(documents.sparkSession)
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,6 +180,7 @@ def predict(documents: DataFrame, model: CentroidModel, id_col: str = "doc_id",
 
 def flag(documents: DataFrame, model: CentroidModel, text_col: str = "text") -> DataFrame:
     """The documents' own columns and a boolean column lw_rejected; one pass without a join, for filtering stages."""
+    bound_batches(documents.sparkSession)
     shared, schema = documents.sparkSession.sparkContext.broadcast(model), documents.schema
     at = schema.fieldNames().index(text_col)
 

@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lorewright.llm.common import worker_state
+from lorewright.llm.common import bound_batches, worker_state
 
 SPACES = "\t\n\x0b\x0c\r \x85\xa0                　"
 #: Control characters that str.split() takes for spaces and the tokenizer doesn't.
@@ -201,6 +201,7 @@ def bpe_round_trip(documents: DataFrame, tokenizer_path: str, id_col: str = "doc
             )
 
     rows = documents.select(documents[id_col].alias("id"), documents[text_col].alias("text"))
+    bound_batches(documents.sparkSession)
     kind = rows.schema["id"].dataType.simpleString()
     return rows.mapInArrow(run, f"id {kind}, n_tokens bigint, token_ids array<int>, decoded string")
 
@@ -220,5 +221,6 @@ def bpe_digests(documents: DataFrame, tokenizer_path: str, id_col: str = "doc_id
             yield pa.record_batch([batch.column(0), pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     rows = documents.select(documents[id_col].alias("id"), documents[text_col].alias("text"))
+    bound_batches(documents.sparkSession)
     kind = rows.schema["id"].dataType.simpleString()
     return rows.mapInArrow(run, f"id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")

@@ -8,8 +8,8 @@ has 1 to 4 words; within a window of 20 words, the starts 3 to 14 words in are t
 
 Each window is represented by one such symbol start, that with the smallest hash of the `reach` words from it (its high-level
 name). Names are counted over all documents; a window that occurs twice has a name that occurs twice. Only windows with
-such a name are hashed (128 bits), and the earliest of each is found; words under the others are removed. A fixed-size
-bitmap (see BITMAP_KEYS) tells repeated names, or a join where there are more of them; it may take in too many names, which
+such a name are hashed (128 bits), and the earliest of each is found; words under the others are removed. A bitmap
+of bounded size (see BITMAP_KEYS) tells repeated names, or a join where there are more of them; it may take in too many names, which
 costs time and changes nothing.
 
 Exact copies of a text (by two 64-bit hashes) skip all this: every window of theirs starts earlier in the first copy.
@@ -37,9 +37,9 @@ WINDOW = 20
 FIRST, REACH = 3, 6
 MEMO = 200_000
 #: Words handled at once, and the bits that hold a position among them.
-CHUNK, PLACE_BITS = 200_000, 28
-#: Repeated names up to this number are told by a bitmap of 2^27 bits (16 MB); beyond it by a join.
-BITMAP_KEYS, BITMAP_BITS = 16_000_000, 27
+CHUNK, PLACE_BITS = 100_000, 28
+#: Repeated names up to this number are told by a bitmap of 16 to 32 bits for each (16 MB at most); beyond it by a join.
+BITMAP_KEYS, BITMAP_BITS = 4_000_000, 27
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
@@ -168,7 +168,7 @@ def candidates(texts: DataFrame, bitmap: np.ndarray | None) -> DataFrame:
                             hot[first[k] + np.array(places.as_py(), np.int64)] = True
                     hit = hot[chosen]
                 else:
-                    bit = (all_names & np.uint64((1 << BITMAP_BITS) - 1)).astype(np.int64)[chosen]
+                    bit = (all_names & np.uint64(8 * len(shared.value) - 1)).astype(np.int64)[chosen]
                     hit = (shared.value[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 > 0
                 s = starts[hit]
                 rows = doc[s]
@@ -196,10 +196,12 @@ def repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     named = names(rest)
     counted = named.select(F.explode("names").alias("name")).groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name")
     repeated = materialize(counted, "names")
-    if repeated.limit(BITMAP_KEYS + 1).count() <= BITMAP_KEYS:
-        bit = F.col("name").bitwiseAND(F.lit((1 << BITMAP_BITS) - 1)) + 1
+    number = repeated.limit(BITMAP_KEYS + 1).count()
+    if number <= BITMAP_KEYS:
+        bits = min(BITMAP_BITS, max(20, (16 * number).bit_length()))
+        bit = F.col("name").bitwiseAND(F.lit((1 << bits) - 1)) + 1
         pages = repeated.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("page")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
-        bitmap = np.zeros(1 << (BITMAP_BITS - 3), np.uint8)
+        bitmap = np.zeros(1 << (bits - 3), np.uint8)
         for r in pages.toLocalIterator():
             page = np.frombuffer(r["bits"], np.uint8)
             bitmap[(r["page"] - 1) * len(page) :][: len(page)] = page
