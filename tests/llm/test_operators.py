@@ -276,6 +276,40 @@ def test_minhash_star_of_near_copies(spark):
     assert found == {i: c for i, (_, c) in near_components(rows).items()}
 
 
+def template_group(n, pairs):
+    """n texts of one template, pairwise at 0.71 and not linked, and some with a copy at 0.76 that meets them in hot buckets only."""
+    texts_ = [[*(f"t{k}" for k in range(150)), *(f"u{c}.{k}" for k in range(30))] for c in range(n)]
+    shingle = op06_minhash.Shingler(5)
+    keys = lambda w: set(op06_minhash.band_keys(op06_minhash.signature(shingle(" ".join(w)))).tolist())
+    count = collections.Counter(k for w in texts_ for k in keys(w))
+    rows, copies = [(c, " ".join(w)) for c, w in enumerate(texts_)], []
+    for c, w in enumerate(texts_):
+        copy = [*w[:157], *(f"v{c}.{k}" for k in range(23))]
+        both = keys(w) & keys(copy)
+        if len(copies) < pairs and c > n // 2 and both and min(count[k] for k in both) > n // 4:
+            copies.append((10_000 + c, " ".join(copy)))
+    assert len(copies) == pairs
+    return rows + copies
+
+
+def test_minhash_pairs_in_hot_buckets(spark):
+    """Near pairs within a large group that is just not linked are all found, whatever the number of pairs."""
+    rows = template_group(400, 4)
+    found = {r["id"]: r["component_id"] for r in op06_minhash.near_duplicates(documents(spark, rows)).collect()}
+    wanted = {i: c for i, (_, c) in near_components(rows).items()}
+    assert sum(i != c for i, c in wanted.items()) == 4 and found == wanted
+
+
+def test_minhash_blocks(spark, monkeypatch):
+    """Buckets dealt in blocks give the same links."""
+    monkeypatch.setattr(op06_minhash, "BLOCK", 2000)
+    monkeypatch.setattr(op06_minhash, "ROUNDS", 0)
+    rows = template_group(100, 2)
+    rows += [(500 + k, " ".join([*(f"s{j}" for j in range(100)), f"e{k}"])) for k in range(40)]
+    found = {r["id"]: r["component_id"] for r in op06_minhash.near_duplicates(documents(spark, rows)).collect()}
+    assert found == {i: c for i, (_, c) in near_components(rows).items()}
+
+
 def test_circulant_signature_estimates_similarity():
     a = op06_minhash.mix(np.arange(1000, dtype=np.uint64))
     b = op06_minhash.mix(np.arange(200, 1200, dtype=np.uint64))
