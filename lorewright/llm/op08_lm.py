@@ -3,8 +3,8 @@
 Words are counted over all training documents. The model predicts a word's class from the classes of the CONTEXT tokens
 before it (frequent words are classes of their own; the rest are dealt by their endings), and the word within its class by
 its smoothed count, so any word has a probability and log-probabilities are normalised over all classes by batched matrix
-products. The log-bilinear part is trained in every partition of the corpus on every STRIDE-th token, from one start, and
-the partitions' parameters are averaged by weight in two steps.
+products. The log-bilinear part is trained in every partition of the corpus on every token, from one start, and the
+partitions' parameters are averaged by weight in two steps.
 
 Counts are held by workers for at most HEAD frequent words, told by a count threshold that is found from the numbers of
 words per count; counts of the others meet the documents' rare words in a shuffle join, so any vocabulary is covered.
@@ -33,7 +33,7 @@ from lorewright.llm.common import materialize, worker_state
 HEAD = 1 << 19
 CLASSES, FREQUENT = 256, 192
 BEGIN, END = 0, 1
-CONTEXT, DIM, STRIDE, BATCH, NOISE, RATE = 3, 32, 4, 512, 64, 0.15
+CONTEXT, DIM, BATCH, NOISE, RATE = 3, 32, 512, 64, 0.15
 #: Distinct words that a task counts before it passes the counts on.
 FLUSH = 400_000
 
@@ -84,6 +84,15 @@ def contexts(classes: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
+def scatter(classes: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """The sum of each class's rows."""
+    out = np.zeros((CLASSES, rows.shape[1]), np.float32)
+    order = np.argsort(classes.astype(np.uint16), kind="stable")
+    kinds, begin = np.unique(classes[order], return_index=True)
+    out[kinds] = np.add.reduceat(rows[order], begin, axis=0)
+    return out
+
+
 class Trainer:
     """Adagrad on the noise-contrastive loss; a batch's noise classes are shared by its tokens."""
 
@@ -102,16 +111,14 @@ class Trainer:
         sigmoid = lambda x: 1 / (1 + np.exp(-np.clip(x, -30, 30)))
         own = (q * p.target[target]).sum(1) + p.bias[target] - self.log_noise[target]
         other = q @ p.target[drawn].T + p.bias[drawn] - self.log_noise[drawn]
-        g = np.zeros((n, CLASSES), np.float32)
-        g[:, kinds] = np.add.reduceat(sigmoid(other), begin, axis=1)
-        g[np.arange(n), target] += sigmoid(own) - 1
-        g /= n
-        dq = g @ p.target
-        grads = [np.zeros_like(p.context), g.T @ q, np.zeros_like(p.position), g.sum(0)]
+        of_own, of_other = (sigmoid(own) - 1) / n, sigmoid(other) / n
+        dq = of_other @ p.target[drawn]
+        dq += of_own[:, None] * p.target[target]
+        grads = [np.empty_like(p.context), scatter(target, of_own[:, None] * q), np.empty_like(p.position), np.bincount(target, of_own, CLASSES).astype(np.float32)]
+        grads[1][kinds] += np.add.reduceat(of_other.T @ q, begin, axis=0)
+        grads[3][kinds] += np.add.reduceat(of_other.sum(0), begin)
+        grads[0] = scatter(context.T.ravel(), np.concatenate([dq * p.position[j] for j in range(CONTEXT)]))
         for j in range(CONTEXT):
-            hot = np.zeros((n, CLASSES), np.float32)
-            hot[np.arange(n), context[:, j]] = 1
-            grads[0] += hot.T @ (dq * p.position[j])
             grads[2][j] = (dq * parts[j]).sum(0)
         grads[3][BEGIN] = 0
         for x, s, d in zip((p.context, p.target, p.position, p.bias), self.squares, grads, strict=True):
@@ -255,7 +262,7 @@ def train_parameters(texts: DataFrame, model: Model) -> Parameters:
             lengths = np.array([len(x) for x in held])
             classes = np.concatenate(held)
             c = contexts(classes, np.repeat(np.cumsum(lengths) - lengths, lengths))
-            at = trainer.draw.permutation(np.arange(trainer.draw.integers(STRIDE), len(classes), STRIDE))
+            at = trainer.draw.permutation(len(classes))
             for lo in range(0, len(at), BATCH):
                 trainer.batch(c[at[lo : lo + BATCH]], classes[at[lo : lo + BATCH]])
             held, size = [], 0

@@ -377,6 +377,13 @@ def test_scores(spark, small, monkeypatch, head):
     assert score > base
 
 
+def test_every_token_is_trained_on(spark, small, monkeypatch):
+    kept, write = {}, op08_lm.materialize
+    monkeypatch.setattr(op08_lm, "materialize", lambda df, name: kept.setdefault(name, write(df, name)))
+    model, _ = op08_lm.fit(spark.read.parquet(f"{small}/documents.parquet"))
+    assert kept["lm-parts"].agg(F.sum("seen")).first()[0] == model.tokens
+
+
 def test_class_probabilities_are_normalised(spark, small):
     model, _ = op08_lm.fit(spark.read.parquet(f"{small}/documents.parquet"))
     context = np.array([5, 9, 200])
