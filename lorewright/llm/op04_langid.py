@@ -4,7 +4,9 @@ Features are the hashed 1-, 2- and 3-grams of a text's lower-cased letters (runs
 Document frequencies are counted over all training rows. Each language's centroids come from spherical k-means over a
 bounded random sample of its labelled rows (`sample` rows expected per language, drawn by a hash of the id). A text gets
 the language of the centroid with the largest cosine; it is rejected if that cosine is below the language's own distance
-bound, which is the lowest cosine in the fitting sample less a margin, so texts unlike anything learned fall out.
+bound, so texts unlike anything learned fall out. The bound is a low quantile of the cosines of the language's rows that
+were drawn beside the sample and kept out of the fit; where these are fewer than CALIBRATION, it is a share of the lowest
+cosine in the sample, which rejects little.
 
 Null texts and texts without letters are `und` and rejected. Without labelled rows every text is `und`. Repeated rows are
 predicted each; other columns are ignored.
@@ -24,6 +26,10 @@ from lorewright.llm.common import bound_batches, worker_state
 
 BITS = 13
 UND = "und"
+#: One of so many drawn rows is kept out of the fit, to set the rejection bound.
+KEPT_OUT = 5
+#: The least number of such rows that tell a quantile.
+CALIBRATION = 15
 #: Vectors made at once.
 ROWS = 128
 
@@ -114,12 +120,13 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 0) ->
     return c
 
 
-def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 4, sample: int = 500, margin: float = 0.4) -> CentroidModel:
+def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 4, sample: int = 500, margin: float = 0.4, quantile: float = 0.01) -> CentroidModel:
     """Learn from rows whose text and lang aren't null.
 
     Document frequencies cover every row. `sample` bounds what the centroids are fitted on: about that many rows of each
-    language, drawn by a hash of the id with a chance that makes the expected number `sample`. margin scales the lowest
-    cosine to its nearest centroid that a language's sample shows to the language's rejection bound.
+    language, drawn by a hash of the id with a chance that makes the expected number `sample`, and a quarter as many beside
+    them that are kept out. The rejection bound is the quantile of the latter's cosines to their language's nearest
+    centroid; where they are too few, margin scales the lowest cosine in the sample to it.
     """
     spark = train.sparkSession
     bound_batches(spark)
@@ -144,19 +151,23 @@ def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_c
     per = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # one row per language
     if not per:
         return CentroidModel([], idf, np.zeros((0, 1 << BITS), np.float32), np.zeros(0))
-    chance = spark.createDataFrame([(k, min(1.0, sample / v)) for k, v in per.items()], "lang string, chance double")
+    chance = spark.createDataFrame([(k, min(1.0, sample / v * KEPT_OUT / (KEPT_OUT - 1))) for k, v in per.items()], "lang string, chance double")
     drawn = rows.join(F.broadcast(chance), "lang").where((F.pmod(F.xxhash64("id", F.lit(7)), F.lit(1 << 30)) / F.lit(float(1 << 30))) < F.col("chance"))
     languages, centroids, floors = [], [], []
-    texts: dict[str, list[tuple[str, str]]] = {}
-    for r in drawn.select("lang", "id", "text").toLocalIterator():
+    texts: dict[str, list[tuple[bool, str, str]]] = {}
+    for r in drawn.select("lang", "id", "text", (F.pmod(F.xxhash64("id", F.lit(8)), F.lit(KEPT_OUT)) == 0).alias("out")).toLocalIterator():
         if has_letter(r["text"]):
-            texts.setdefault(r["lang"], []).append((r["id"], r["text"]))
+            texts.setdefault(r["lang"], []).append((r["out"], r["id"], r["text"]))
     for lang in sorted(texts):
-        x = vectors([t for _, t in sorted(texts[lang])], idf)
+        rows = sorted(texts[lang])
+        x = vectors([t for _, _, t in rows], idf)
+        out = sum(r[0] for r in rows)
+        held, x = (x[len(x) - out :], x[: len(x) - out]) if CALIBRATION <= out < len(x) else (x[:0], x)
         c = spherical_kmeans(x, per_language)
         languages += [lang] * len(c)
         centroids += [*c]
-        floors += [margin * float((x @ c.T).max(1).min())] * len(c)
+        floor = np.quantile((held @ c.T).max(1), quantile) if len(held) else margin * (x @ c.T).max(1).min()
+        floors += [float(floor)] * len(c)
     return CentroidModel(languages, idf, np.array(centroids, np.float32).reshape(len(languages), 1 << BITS), np.array(floors))
 
 

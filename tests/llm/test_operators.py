@@ -165,6 +165,16 @@ def test_language_held_out(spark):
     assert found["score"].between(0, 1).all() and found["rejected"].mean() < 0.02
 
 
+def test_unlearned_latin_texts_are_rejected(spark):
+    """A language left out of the training, and random letters."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = op04_langid.fit(rows.where("lang <> 'es'"))
+    assert np.mean([r["rejected"] for r in op04_langid.predict(rows.where("lang = 'es'"), model).collect()]) > 0.9
+    draw = random.Random(12)
+    noise = documents(spark, [(k, "".join(draw.choice("abcdefghijklmnopqrstuvwxyz    ") for _ in range(50 * k))) for k in range(4, 60)])
+    assert all(r["rejected"] for r in op04_langid.predict(noise, model).collect())
+
+
 def test_language_edges(spark, edge):
     train = documents(spark, [(k, "the cat sat on the mat and then " * 3) for k in range(5)], "en").unionByName(documents(spark, [(9, "der hund und die katze sind nicht da " * 3)], "de")).unionByName(documents(spark, [(11, None)], None).withColumn("lang", F.lit(None).cast("string")))
     model = op04_langid.fit(train)
