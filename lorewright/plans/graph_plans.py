@@ -265,7 +265,7 @@ def gr3_resolution(spark, sf):
 def gr3_unicode(spark, sf):
     from lorewright.functions import unicode as U
 
-    nodes = table(spark, sf, "documents").select(F.substr("text", F.lit(1), F.lit(12)).alias("id"), F.col("doc_id").alias("node_ord"), F.lit("PERSON").alias("entity_type"), F.col("lang").alias("description"), F.col("source").alias("source_id"))
+    nodes = table(spark, sf, "documents").select(F.col("text").alias("id"), F.col("doc_id").alias("node_ord"), F.lit("PERSON").alias("entity_type"), F.col("lang").alias("description"), F.col("source").alias("source_id"))
     nodes = nodes.groupBy("id").agg(F.min_by(F.struct("node_ord", "entity_type", "description", "source_id"), "node_ord").alias("v")).select("id", "v.*")
     return graph.resolve_entities(nodes, spark.createDataFrame([], "src string, dst string"), U.entity_key, U.unquote)[0]
 

@@ -230,7 +230,7 @@ def q3_engine(spark, sf):
     d, k = table(spark, sf, "documents"), F.col("doc_id")
     video, cid = F.col("source").alias("video_name"), F.concat(F.lit("c"), k.cast("string"))
     chunks = d.select(video, cid.alias("chunk_id"), F.col("text").alias("content"), F.array(F.concat("source", F.lit("_"), k.cast("string"))).alias("video_segment_id"))
-    nodes = d.select(video, k.alias("node_ord"), F.concat(F.lit("NODE "), k.cast("string")).alias("id"), F.substr("text", F.lit(1), F.lit(200)).alias("description"), cid.alias("source_id"))
+    nodes = d.select(video, k.alias("node_ord"), F.concat(F.lit("NODE "), k.cast("string")).alias("id"), F.col("text").alias("description"), cid.alias("source_id"))
     ends = nodes.select("video_name", "node_ord", "id", "source_id")
     edges = ends.join(ends.select("video_name", (F.col("node_ord") + 20).alias("node_ord"), F.col("id").alias("dst")), ["video_name", "node_ord"]).select("video_name", F.col("id").alias("src"), "dst", F.lit(2.0).alias("weight"), "source_id")
     base = engine.KnowledgeBase(

@@ -16,6 +16,22 @@ def test_runs(spark, small, name):
     assert catalogue.QUERIES[name](spark, small).count() > 0
 
 
+def test_whole_texts_are_described_and_named(spark, small, monkeypatch):
+    """q3_engine's nodes carry whole documents, gr3_unicode's names are whole values."""
+    from lorewright.plans import graph_plans, more_plans
+
+    texts = {r["text"] for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
+    kept = {}
+    base = more_plans.engine.KnowledgeBase
+    monkeypatch.setattr(more_plans.engine, "KnowledgeBase", lambda **tables: kept.update(tables) or base(**tables))
+    catalogue.QUERIES["q3_engine"](spark, small)
+    assert {r["description"] for r in kept["nodes"].collect()} == texts
+    resolve = graph_plans.graph.resolve_entities
+    monkeypatch.setattr(graph_plans.graph, "resolve_entities", lambda nodes, *more: kept.update(named=nodes) or resolve(nodes, *more))
+    catalogue.QUERIES["gr3_unicode"](spark, small)
+    assert {r["id"] for r in kept["named"].collect()} == texts
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
