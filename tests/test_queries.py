@@ -32,6 +32,25 @@ def test_whole_texts_are_described_and_named(spark, small, monkeypatch):
     assert {r["id"] for r in kept["named"].collect()} == texts
 
 
+def test_components_of_all_orders(spark, small):
+    """gr4_components_all against union-find over every order."""
+    ids = [r[0] for r in spark.read.parquet(f"{small}/customer.parquet").select("c_custkey").collect()]
+    parent = {i: i for i in ids}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for (a,) in spark.read.parquet(f"{small}/orders.parquet").select("o_custkey").collect():
+        b = (a * 7 + 3) % len(ids) + 1
+        if a in parent and b in parent:
+            x, y = find(a), find(b)
+            parent[max(x, y)] = min(x, y)
+    found = {r["id"]: r["component"] for r in catalogue.QUERIES["gr4_components_all"](spark, small).collect()}
+    assert found == {i: find(i) for i in ids}
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
