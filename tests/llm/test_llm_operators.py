@@ -11,7 +11,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
-from conftest import CLASHING  # noqa: F401
+from llm_rows import CLASHING, documents
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -21,12 +21,6 @@ TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 LIBRARY = Tokenizer.from_file(TOKENIZER)
 
 
-def documents(spark, rows, lang="en"):
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    df = df.withColumns({"lang": F.lit(lang), "source": F.lit("s"), "n_chars": F.length("text").cast("long")})
-    return df.withColumns({c: F.lit("clash") for c in CLASHING})
-
-
 def words(text):
     return (text or "").encode().split()
 

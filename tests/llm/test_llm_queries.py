@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from compare import assert_same, sql_rows
 from pyspark.sql import functions as F
-from test_operators import LIBRARY, cut_words, kept_lines, near_components, words
+from test_llm_operators import LIBRARY, cut_words, kept_lines, near_components, words
 
 from lorewright.llm import op04_langid, queries
 
