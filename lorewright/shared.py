@@ -14,13 +14,13 @@ from pyspark.sql import functions as F
 
 #: Where tables were written, to be removed when the interpreter ends.
 _written: list[tuple[SparkSession, str]] = []
-BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Python workers get 1000 rows at a time from now on, as whole texts may be long, unless the session has a number of its own."""
-    if spark.conf.get(BATCH_ROWS) == "10000":  # Spark's default
-        spark.conf.set(BATCH_ROWS, "1000")
+    """Python workers of this session get 8 MB at a time from now on, as texts may be long, unless its setting isn't Spark's default."""
+    if spark.conf.get(BATCH_BYTES) == "67108864b":
+        spark.conf.set(BATCH_BYTES, "8m")
 
 
 def shared_dir(spark: SparkSession) -> str:
