@@ -5,27 +5,29 @@ totals (one row per partition, whatever the documents) are summed to offsets of
 tokens at every seq_len tokens; a document that crosses a boundary gives one piece per sequence. Nothing is sorted and no
 text is shuffled; only the last sequence is short.
 
-Null texts count as empty: they are the end id alone, or no piece where there is no end id. Repeated rows are packed each.
-Other columns are ignored. An empty table gives no pieces.
+Null texts count as empty: they are the end id alone, or no piece where there is no end id. Texts longer than a sequence
+give a piece for each that they reach into, whatever their number. Rows that repeat an id, null ids too, are packed each.
+Other columns are ignored, whatever their names. An empty table gives no pieces.
 """
 
 from __future__ import annotations
 
-import itertools
 import os
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lorewright.llm.common import materialize, worker_state
+from lorewright.llm.wordlists import Memo, Words, joined, slices
 
-#: Words whose ids are kept in a worker; an entry only saves work.
-MEMO = 400_000
+#: Bytes of words and their ids that a worker keeps; an entry only saves work.
+MEMO_BYTES = 80 << 20
 #: ASCII characters that are neither letters, digits nor spaces; and a text that ends in a letter of Latin-1.
 SYMBOLS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 LATIN = re.compile(rb"\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]$")
@@ -36,7 +38,7 @@ class WordEncoder:
 
     The file's rules lower-case text, drop white space and never look across it, so a text's ids are those of its words one
     after the other, and each distinct word goes to the library once. Texts that might hold a special token go to it whole,
-    and texts with combining marks, which lower-casing can join, keep their case.
+    and words with combining marks, which lower-casing can join, keep their case.
     """
 
     def __init__(self, path: str):
@@ -47,54 +49,63 @@ class WordEncoder:
         self.library.no_truncation()
         self.library.no_padding()
         self.mark = self.library.encode("0", add_special_tokens=False).ids[0]
-        self.memo: dict[bytes, bytes] = {}
-
-    def learn(self, words: set[bytes]) -> None:
-        """A word that ends in symbols after a letter is its stem and these symbols, which are never joined."""
-        if len(self.memo) + len(words) > MEMO:  # the words met first are the frequent ones
-            self.memo = dict(itertools.islice(self.memo.items(), MEMO // 2))
-        parts = {}
-        for word in words:
+        self.memo = Memo(MEMO_BYTES, 5)
+
+    def lookup(self, words: list[bytes]) -> list[bytes]:
+        """Ids of each word. A word that ends in symbols after a letter is its stem and these symbols, which are never joined."""
+        found = list(map(self.memo.get, words))
+        new = [k for k, ids in enumerate(found) if ids is None]
+        stems, tails = [], []
+        for k in new:
+            word = words[k]
             stem = word.rstrip(SYMBOLS)
-            if len(stem) < len(word) and b"<|" not in word and (stem[-1:].isalpha() or LATIN.search(stem)):
-                parts[word] = stem, word[len(stem) :]
-        memo = self.memo
-        self.ask({x for w in parts.values() for x in w if x not in memo} | (words - parts.keys()))
-        for word, (stem, tail) in parts.items():
-            memo[word] = memo[stem] + memo[tail]
-
-    def ask(self, words: set[bytes]) -> None:
+            if len(stem) == len(word) or b"<|" in word or not (stem[-1:].isalpha() or LATIN.search(stem)):
+                stem = word
+            stems.append(stem)
+            tails.append(word[len(stem) :])
+        known = {b"": b""}
+        wanted = list({*stems, *tails} - {b""})
+        known.update((w, ids) for w, ids in zip(wanted, map(self.memo.get, wanted), strict=True) if ids is not None)
+        asked = [w for w in wanted if w not in known]
+        answers = self.ask(asked)
+        known.update(zip(asked, answers, strict=True))
+        for k, stem, tail in zip(new, stems, tails, strict=True):
+            found[k] = known[stem] + known[tail]
+        self.memo.add(asked, answers)
+        return found
+
+    def ask(self, words: list[bytes]) -> list[bytes]:
         """One call for many words, set apart by a digit, which is always one id; those that hold that digit go by themselves."""
-        new = [w for w in words if b"0" not in w and b"<|" not in w]
-        if new:
-            ids = np.array(self.library.encode_batch_fast([b" 0 ".join(new).decode("utf-8", "surrogatepass")], add_special_tokens=False)[0].ids, "<u4")
+        plain = [w for w in words if b"0" not in w and b"<|" not in w]
+        answers = {}
+        for lo in range(0, len(plain), 20_000):
+            block = plain[lo : lo + 20_000]
+            ids = np.array(self.library.encode_batch_fast([b" 0 ".join(block).decode("utf-8", "surrogatepass")], add_special_tokens=False)[0].ids, "<u4")
             cuts = (4 * np.flatnonzero(ids == self.mark)).tolist()
             raw = ids.tobytes()
-            self.memo.update(zip(new, [raw[a + 4 : b] for a, b in zip([-4, *cuts], [*cuts, len(raw)], strict=True)], strict=True))
-        for word in words - set(new):
-            self.memo[word] = np.array(self.library.encode(word.decode("utf-8", "surrogatepass"), add_special_tokens=False).ids, "<u4").tobytes()
-
-    def words(self, text: str) -> list[bytes]:
-        raw = text.encode("utf-8", "surrogatepass")
-        if b"<|" in raw:
-            return [raw]
-        if b"\xcc" in raw or b"\xcd" in raw:
-            return raw.split()
-        return raw.lower().split()
-
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
-        """Ids of each text. Words of up to 100 texts that aren't known yet go to the library together."""
-        it = iter(texts)
-        while block := list(itertools.islice(it, 100)):
-            split = [self.words(t) for t in block]
-            if new := {w for words in split for w in words if w not in self.memo}:
-                self.learn(new)
-            for words in split:
-                try:
-                    yield b"".join(map(self.memo.__getitem__, words))
-                except KeyError:  # the memo was cut for this block
-                    self.learn(set(words) - self.memo.keys())
-                    yield b"".join(map(self.memo.__getitem__, words))
+            answers.update(zip(block, [raw[a + 4 : b] for a, b in zip([-4, *cuts], [*cuts, len(raw)], strict=True)], strict=True))
+        return [answers[w] if w in answers else self.whole(w.decode("utf-8", "surrogatepass")) for w in words]
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def encode(self, texts: pa.Array, tail: bytes = b"") -> pa.Array:
+        """Ids of each text and tail, as an array of binary. Texts of a slice; each distinct word is looked up once."""
+        cased = pc.or_(pc.match_substring(texts, "<|"), pc.match_substring_regex(texts, "[\u0300-\u036f]"))
+        cased = pc.fill_null(cased, False)
+        odd = np.flatnonzero(cased.to_numpy(zero_copy_only=False))
+        words = Words(pc.if_else(cased, pa.scalar("", texts.type), texts) if len(odd) else texts, lower=True)
+        codes = np.insert(words.codes, words.first[1:], len(words.distinct))
+        ids, begin = joined([*self.lookup(words.distinct), tail], codes)
+        ends = begin[np.append(0, words.first[1:] + np.arange(1, len(words.first)))]
+        found = pa.Array.from_buffers(pa.large_binary(), len(texts), [None, pa.py_buffer(np.ascontiguousarray(ends)), ids.buffers()[2]])
+        if len(odd):
+            out = found.to_pylist()
+            for k in odd.tolist():
+                text = texts[k].as_py()
+                out[k] = (self.whole(text) if "<|" in text else b"".join(self.lookup(text.encode("utf-8", "surrogatepass").split()))) + tail
+            found = pa.array(out, pa.large_binary())
+        return found.cast(pa.binary())
 
 
 def word_encoder(path: str) -> WordEncoder:
@@ -108,13 +119,12 @@ def tokenize(documents: DataFrame, tokenizer_path: str, end_id: int | None, id_c
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, at = word_encoder(tokenizer_path), TaskContext.get().partitionId(), 0
         for whole in batches:
-            for lo in range(0, whole.num_rows, 1000):
-                batch = whole.slice(lo, 1000)
-                ids = [x + tail for x in encoder.encode([t or "" for t in batch.column(1).to_pylist()])]
-                n = np.array([len(x) // 4 for x in ids], np.int64)
+            for batch in slices(whole):
+                ids = encoder.encode(batch.column(1), tail)
+                n = pc.binary_length(ids).to_numpy(zero_copy_only=False).astype(np.int64) // 4
                 starts = at + np.cumsum(n) - n
                 at += int(n.sum())
-                yield pa.record_batch([batch.column(0), pa.array(ids, pa.binary()), pa.array(n), pa.array(np.full(len(ids), part, np.int64)), pa.array(starts)], ["id", "ids", "n_tokens", "part", "start"])
+                yield pa.record_batch([batch.column(0), ids, pa.array(n), pa.array(np.full(len(ids), part, np.int64)), pa.array(starts)], ["id", "ids", "n_tokens", "part", "start"])
 
     rows = documents.select(documents[id_col].alias("id"), documents[text_col].alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
