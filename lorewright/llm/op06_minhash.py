@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lorewright.llm.common import connected_components, discard, materialize, semi_join, worker_state
+from lorewright.llm.wordlists import Words, slices
 
 BANDS, ROWS = 32, 4
 #: Rounds against one chosen member before all pairs that are left are compared.
@@ -37,8 +38,6 @@ SHARES = 4
 #: Shingles of a block, as expected: a bucket with more is compared by pairs of blocks.
 BLOCK = 1 << 20
 PLACES = 1 << 20
-#: Words whose hash a worker keeps; an entry only saves work.
-MEMO = 200_000
 
 
 def permutations() -> tuple[np.ndarray, np.ndarray]:
@@ -61,39 +60,30 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 class Shingler:
-    """Distinct shingles of a text as sorted unsigned 64-bit hashes."""
+    """Distinct shingles of texts as sorted unsigned 64-bit hashes."""
 
     def __init__(self, size: int):
-        self.size, self.memo = size, {}
+        self.size = size
         self.factors = mix(np.arange(1, size + 1, dtype=np.uint64)) | np.uint64(1)
 
-    def words(self, text: str | None) -> np.ndarray:
-        words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-        memo = self.memo
-        try:
-            return np.array(list(map(memo.__getitem__, words)), np.uint64)
-        except KeyError:
-            if len(memo) > MEMO:
-                memo.clear()
-            for w in words:
-                if w not in memo:
-                    memo[w] = xxhash.xxh3_64_intdigest(w)
-            return np.array(list(map(memo.__getitem__, words)), np.uint64)
+    def sets(self, texts: pa.Array) -> list[np.ndarray]:
+        words = Words(texts, lower=True)
+        w, size, found = words.hashes(), self.size, []
+        h = np.zeros(max(len(w) - size + 1, 0), np.uint64)
+        for k in range(size):
+            h += w[k : len(h) + k] * self.factors[k]
+        h = mix(h)
+        for a, b in zip(words.first[:-1].tolist(), words.first[1:].tolist(), strict=True):
+            if b - a >= size:
+                found.append(np.unique(h[a : b - size + 1]))
+            elif b > a:
+                found.append(mix((w[a:b] * self.factors[: b - a]).sum(keepdims=True) + np.uint64(b - a)))
+            else:
+                found.append(w[:0])
+        return found
 
     def __call__(self, text: str | None) -> np.ndarray:
-        w = self.words(text)
-        if not len(w):
-            return w
-        if len(w) < self.size:
-            return mix((w * self.factors[: len(w)]).sum(keepdims=True) + np.uint64(len(w)))
-        h = w[: len(w) - self.size + 1] * self.factors[0]
-        for k in range(1, self.size):
-            h = h + w[k : len(w) - self.size + 1 + k] * self.factors[k]
-        return np.unique(mix(h))
-
-
-def shingler(size: int) -> Shingler:
-    return worker_state(("minhash", size), lambda: Shingler(size))
+        return self.sets(pa.array([text], pa.string()))[0]
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
@@ -117,13 +107,11 @@ def signatures(documents: DataFrame, id_col: str, text_col: str, size: int) -> D
     """Per document: id, n, hi and lo (digest of the set, null if empty), bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles = shingler(size)
+        shingles = Shingler(size)
         for whole in batches:
-            for begin in range(0, whole.num_rows, 1000):
-                batch = whole.slice(begin, 1000)
+            for batch in slices(whole):
                 n, hi, lo, bands = [], [], [], []
-                for value in batch.column(1):
-                    s = shingles(value.as_py())
+                for s in shingles.sets(batch.column(1)):
                     n.append(len(s))
                     if len(s):
                         digest = np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64)
@@ -144,11 +132,10 @@ def sets(documents: DataFrame, id_col: str, text_col: str, size: int) -> DataFra
     """Per document: id and its set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles = shingler(size)
+        shingles = Shingler(size)
         for whole in batches:
-            for begin in range(0, whole.num_rows, 500):
-                batch = whole.slice(begin, 500)
-                found = [shingles(v.as_py()).view(np.int64) for v in batch.column(1)]
+            for batch in slices(whole):
+                found = [x.view(np.int64) for x in shingles.sets(batch.column(1))]
                 yield pa.record_batch([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["id", "shingles"])
 
     rows = documents.select(documents[id_col].cast("long").alias("id"), documents[text_col].alias("text"))

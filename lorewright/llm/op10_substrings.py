@@ -1,21 +1,26 @@
 """Substring dedup by recompression: rounds give names to runs and pairs of words, alike wherever the words are alike.
 
-A name is the 64-bit hash of what it stands for, so equal runs and pairs get equal names in all tasks without a round of
-numbering. Round 0 marks words that repeat their left neighbour (runs); in each later round every symbol falls on one of
-two sides by its hash, and a left one followed by a right one becomes one symbol. Whether symbols join depends on the two
-alone, so in two equal passages all symbols but the outermost begin at the same words. After two rounds of pairs a symbol
-has 1 to 4 words; within a window of 20 words, the starts 3 to 14 words in are the same in each copy of the window.
-
-Each window is represented by one such symbol start, that with the smallest hash of the `reach` words from it (its high-level
-name). Names are counted over all documents; a window that occurs twice has a name that occurs twice. Only windows with
-such a name are hashed (128 bits), and the earliest of each is found; words under the others are removed. A bitmap
-of bounded size (see BITMAP_KEYS) tells repeated names, or a join where there are more of them; it may take in too many names, which
-costs time and changes nothing.
+Round 0 names words and marks those that repeat their left neighbour (runs); in each later round every symbol falls on one
+of two sides by its name, and a left one followed by a right one becomes one symbol, named by the two. A name is the 64-bit
+hash of what it stands for, so equal runs and pairs get equal names in all tasks. Whether symbols join depends on the two
+alone, so in two equal passages all symbols but the outermost begin and end at the same words. After two rounds of pairs a
+symbol has 1 to 4 words; in a window of 20 words the boundaries from 3 to 17 words in are the same in each copy of it. A
+further round names the shortest row of symbols from each boundary that has at least SPAN words (a high-level symbol, 6 to 9
+words), and one of those that lie within the same boundaries, that with the least name, stands for the window.
+
+A run isn't named by its length: a window that cuts a run sees another length of it.
+
+Spark counts the high-level symbols over all documents; a window that occurs twice has one that occurs twice. Only windows
+whose symbol is shared go on to the last round, which names whole windows by two independent 64-bit names, four symbols of
+five words each; the earliest place of each name is found, and words under the others are removed. A bitmap of bounded size
+(see BITMAP_KEYS) tells shared symbols, or a join where there are more of them; it may take in too many, which costs time
+and changes nothing. Two different windows get one pair of names with a chance of 2**-128 for each pair of windows.
 
 Exact copies of a text (by two 64-bit hashes) skip all this: every window of theirs starts earlier in the first copy.
 
-Null texts count as empty. Rows that repeat an id give repeated results and count once, as one document of that text.
-Rows with a null id are left as they are. Texts shorter than a window lose nothing. Other columns are ignored.
+Null texts count as empty. Rows that repeat an id and its text get the same result; where texts of one id differ, the list
+of starts that sorts first holds for all of them. Rows with a null id are left as they are. Texts shorter than a window lose
+nothing; very long ones are handled whole. Other columns are ignored, whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,18 +31,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorewright.llm.common import anti_join, discard, materialize, semi_join, worker_state
+from lorewright.llm.common import anti_join, discard, materialize, semi_join
+from lorewright.llm.wordlists import Words, slices
 
 WINDOW = 20
-#: Starts of symbols that are alike in all copies of a window: from 3 words in, with 6 words that the window still holds.
-FIRST, REACH = 3, 6
-MEMO = 200_000
-#: Words handled at once, and the bits that hold a position among them.
-CHUNK, PLACE_BITS = 100_000, 28
+#: Boundaries of symbols that are alike in all copies of a window: from FIRST to LAST words in. Words of a high-level symbol.
+FIRST, LAST, SPAN = 3, 17, 6
 #: Repeated names up to this number are told by a bitmap of 16 to 32 bits for each (16 MB at most); beyond it by a join.
 BITMAP_KEYS, BITMAP_BITS = 4_000_000, 27
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -52,27 +54,6 @@ def mix(h: np.ndarray) -> np.ndarray:
 FACTORS = mix(np.arange(100, 164, dtype=np.uint64)) | np.uint64(1)
 
 
-class WordHashes:
-    def __init__(self) -> None:
-        self.memo: dict[bytes, int] = {}
-
-    def __call__(self, words: list[bytes]) -> np.ndarray:
-        memo = self.memo
-        try:
-            return np.array(list(map(memo.__getitem__, words)), np.uint64)
-        except KeyError:
-            if len(memo) > MEMO:
-                memo.clear()
-            for w in words:
-                if w not in memo:
-                    memo[w] = xxhash.xxh3_64_intdigest(w)
-            return np.array(list(map(memo.__getitem__, words)), np.uint64)
-
-
-def word_hashes() -> WordHashes:
-    return worker_state(("substrings", "words"), WordHashes)
-
-
 def split(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").split()
 
@@ -85,8 +66,8 @@ def gram(w: np.ndarray, n: int, at: int) -> np.ndarray:
     return mix(h)
 
 
-def symbol_starts(w: np.ndarray, doc: np.ndarray, rounds: int = 2) -> np.ndarray:
-    """Words at which a symbol begins after the rounds; doc tells which document a word is of."""
+def symbols(w: np.ndarray, doc: np.ndarray, rounds: int = 2) -> tuple[np.ndarray, np.ndarray]:
+    """Names of the symbols after the rounds, and the word at which each begins; doc tells which document a word is of."""
     again = np.zeros(len(w), np.uint64)
     again[1:] = (w[1:] == w[:-1]) & (doc[1:] == doc[:-1])
     name, first = mix(w + again * FACTORS[60]), np.arange(len(w))
@@ -98,40 +79,48 @@ def symbol_starts(w: np.ndarray, doc: np.ndarray, rounds: int = 2) -> np.ndarray
         follows[1:] = joined[:-1]
         pair = np.where(joined, mix(name * FACTORS[62] + np.append(name[1:], name[:1]) * FACTORS[63]), name)
         name, first = pair[~follows], first[~follows]
-    return first
+    return name, first
 
 
-def windows_and_names(w: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts of all windows, the word at which each one's name begins, and the names of the words from every position."""
-    none = np.zeros(0, np.int64)
-    if len(w) < WINDOW:
-        return none, none, none.astype(np.uint64)
-    names = gram(w, REACH, 0)
-    low = np.uint64((1 << PLACE_BITS) - 1)
-    v = np.full(len(names), np.uint64(2**64 - 1))
-    at = symbol_starts(w, doc)
-    at = at[at < len(names)]
-    v[at] = (names[at] & ~low) | at.astype(np.uint64)
-    span = WINDOW - REACH - FIRST + 1  # starts that a window may choose from
-    least, have = v, 1
-    while have * 2 <= span:
-        least = np.minimum(least[: len(least) - have], least[have:])
-        have *= 2
-    least = np.minimum(least[: len(least) - (span - have)], least[span - have :]) if span > have else least
-    starts = np.flatnonzero(doc[: len(w) - WINDOW + 1] == doc[WINDOW - 1 :])
-    return starts, (least[starts + FIRST] & low).astype(np.int64), names
+def high_symbols(w: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The shortest rows of symbols with at least SPAN words: names, first words, and the words after their last ones."""
+    name, first = symbols(w, doc)
+    bounds = np.append(first, len(w))
+    end = np.minimum(np.searchsorted(bounds, first + SPAN), len(first))  # the symbol after the row
+    number = end - np.arange(len(first))
+    high = mix(number.astype(np.uint64))
+    for k in range(SPAN):
+        take = np.minimum(np.arange(len(first)) + k, len(first) - 1)
+        high = np.where(k < number, high + name[take] * FACTORS[40 + k], high)
+    return mix(high), first, bounds[end]
 
 
-def chunks(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
-    """First row, end row, word hashes of these rows, row of each word, first word of each row."""
-    hashes, begin, parts, size = word_hashes(), 0, [], 0
-    for k, value in enumerate(batch.column(1)):
-        parts.append(hashes(split(value.as_py())))
-        size += len(parts[-1])
-        if size >= CHUNK or k + 1 == batch.num_rows:
-            lengths = np.array([len(x) for x in parts])
-            yield begin, k + 1, np.concatenate(parts), np.repeat(np.arange(len(parts)), lengths), np.cumsum(lengths) - lengths
-            begin, parts, size = k + 1, [], 0
+def windows_and_names(w: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Starts of all windows, the high-level symbol that stands for each, and all such symbols' names and first words."""
+    if len(w) < WINDOW:
+        none = np.zeros(0, np.int64)
+        return none, none, none.astype(np.uint64), none
+    names, first, after = high_symbols(w, doc)
+    starts = np.flatnonzero(doc[: len(w) - WINDOW + 1] == doc[WINDOW - 1 :])
+    # Of the symbols lo to hi - 1, at most LAST - FIRST - SPAN + 1, that with the least name; ties are equal names.
+    lo, hi = np.searchsorted(first, starts + FIRST), np.searchsorted(after, starts + LAST, "right")
+    level, best = np.frexp(hi - lo)[1] - 1, np.zeros(len(starts), np.int64)
+    least = np.arange(len(names))
+    for k in range(int(level.max(initial=0)) + 1):
+        at = np.flatnonzero(level == k)
+        a, b = least[lo[at]], least[hi[at] - (1 << k)]
+        best[at] = np.where(names[b] < names[a], b, a)
+        a, b = least[: max(len(least) - (1 << k), 0)], least[1 << k :]
+        least = np.where(names[b] < names[a], b, a)
+    return starts, best, names, first
+
+
+def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
+    """Slices of the batches, word hashes of their texts (column 1), row of each word, first word of each row."""
+    for whole in batches:
+        for batch in slices(whole, size=2 << 20):
+            words = Words(batch.column(1), lower=False)
+            yield batch, words.hashes(), words.rows(), words.first[:-1]
 
 
 def lists(values: np.ndarray, rows: np.ndarray, n: int) -> pa.Array:
@@ -143,12 +132,11 @@ def names(texts: DataFrame) -> DataFrame:
     """The names that represent each row's windows: id, names (array of long), places (array of int, words in the row)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for begin, end, w, doc, first in chunks(batch):
-                _, chosen, all_names = windows_and_names(w, doc)
-                at = np.unique(chosen)
-                rows = doc[at]
-                yield pa.record_batch([batch.column(0).slice(begin, end - begin), lists(all_names[at].view(np.int64), rows, end - begin), lists((at - first[rows]).astype(np.int32), rows, end - begin)], ["id", "names", "places"])
+        for batch, w, doc, first in parsed(batches):
+            _, chosen, all_names, begin = windows_and_names(w, doc)
+            at = np.flatnonzero(np.bincount(chosen, minlength=len(all_names)))
+            rows, n = doc[begin[at]], batch.num_rows
+            yield pa.record_batch([batch.column(0), lists(all_names[at].view(np.int64), rows, n), lists((begin[at] - first[rows]).astype(np.int32), rows, n)], ["id", "names", "places"])
 
     return texts.mapInArrow(run, "id bigint, names array<bigint>, places array<int>")
 
@@ -158,29 +146,26 @@ def candidates(texts: DataFrame, bitmap: np.ndarray | None) -> DataFrame:
     shared = None if bitmap is None else texts.sparkSession.sparkContext.broadcast(bitmap)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for begin, end, w, doc, first in chunks(batch):
-                starts, chosen, all_names = windows_and_names(w, doc)
-                if shared is None:
-                    hot = np.zeros(len(w), bool)
-                    for k, places in enumerate(batch.column(2).slice(begin, end - begin)):
-                        if places.is_valid:
-                            hot[first[k] + np.array(places.as_py(), np.int64)] = True
-                    hit = hot[chosen]
-                else:
-                    bit = (all_names & np.uint64(8 * len(shared.value) - 1)).astype(np.int64)[chosen]
-                    hit = (shared.value[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 > 0
-                s = starts[hit]
-                rows = doc[s]
-                hashes = []
-                for at in (0, 30):
-                    five = gram(w, 5, at) if len(s) else np.zeros(0, np.uint64)
-                    hashes.append(mix(sum(five[s + 5 * k] * FACTORS[at + 10 + k] for k in range(4))) if len(s) else five)
-                n = end - begin
-                some = np.unique(rows)
-                back = np.searchsorted(some, rows)
-                ids = batch.column(0).slice(begin, n).take(pa.array(some))
-                yield pa.record_batch([ids, lists((s - first[rows]).astype(np.int32), back, len(some)), *(lists(h.view(np.int64), back, len(some)) for h in hashes)], ["id", "starts", "h1", "h2"])
+        for batch, w, doc, first in parsed(batches):
+            starts, chosen, all_names, begin = windows_and_names(w, doc)
+            if shared is None:
+                hot = np.zeros(len(w), bool)
+                for k, places in enumerate(batch.column(2)):
+                    if places.is_valid:
+                        hot[first[k] + np.array(places.as_py(), np.int64)] = True
+                hit = hot[begin[chosen]]
+            else:
+                bit = (all_names & np.uint64(8 * len(shared.value) - 1)).astype(np.int64)
+                hit = ((shared.value[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 > 0)[chosen]
+            s = starts[hit]
+            rows, found = doc[s], []
+            for at in (0, 30):
+                five = gram(w, 5, at) if len(s) else np.zeros(0, np.uint64)
+                found.append(mix(sum(five[s + 5 * k] * FACTORS[at + 10 + k] for k in range(4))) if len(s) else five)
+            some = np.unique(rows)
+            back = np.searchsorted(some, rows)
+            ids = batch.column(0).take(pa.array(some))
+            yield pa.record_batch([ids, lists((s - first[rows]).astype(np.int32), back, len(some)), *(lists(h.view(np.int64), back, len(some)) for h in found)], ["id", "starts", "h1", "h2"])
 
     return texts.mapInArrow(run, "id bigint, starts array<int>, h1 array<bigint>, h2 array<bigint>")
 
@@ -217,7 +202,7 @@ def repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     later = found.select("id", "starts").join(firsts, "id", "left").select("id", F.lit(False).alias("whole"), F.array_except("starts", F.coalesce("firsts", F.array().cast("array<int>"))).alias("starts")).where(F.size("starts") > 0)
     later = materialize(later, "repeats")
     discard(found)
-    return later.dropDuplicates(["id"]).union(copies.select("id", F.lit(True), F.array().cast("array<int>")))
+    return later.groupBy("id").agg(F.first("whole").alias("whole"), F.min("starts").alias("starts")).union(copies.select("id", F.lit(True), F.array().cast("array<int>")))
 
 
 def removed_mask(n: int, whole: bool, starts: list[int] | None) -> np.ndarray:
