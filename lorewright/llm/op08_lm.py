@@ -1,16 +1,23 @@
 """Language-model scoring: a log-bilinear neural model in numpy, trained by noise-contrastive estimation.
 
-Words are counted over all training documents. The model predicts a word's class from the classes of the CONTEXT tokens
-before it (frequent words are classes of their own; the rest are dealt by their endings), and the word within its class by
-its smoothed count, so any word has a probability and log-probabilities are normalised over all classes by batched matrix
-products. The log-bilinear part is trained in every partition of the corpus on every token, from one start, and the
-partitions' parameters are averaged by weight in two steps.
-
-Counts are held by workers for at most HEAD frequent words, told by a count threshold that is found from the numbers of
-words per count; counts of the others meet the documents' rare words in a shuffle join, so any vocabulary is covered.
-
-Null texts count as empty: one end token. Repeated rows are scored each; other columns are ignored. With no training
-documents every count is 0 and the classes are predicted evenly.
+Words are counted over all training documents. P(word | context) = P(class | context) P(word | class): the neural model
+predicts a word's class from the vectors of the CONTEXT tokens before it, normalised over all classes by batched matrix
+products; the word within its class has its smoothed count's share. So any word has a probability, and those of all words
+sum to 1. Classes are the FREQUENT most frequent words, and buckets of endings for the rest. Vectors of context words are
+more: the number of words with a vector of their own grows with the vocabulary (one in OWN_SHARE, up to OWN); the rest have
+that of their class.
+
+The log-bilinear part is trained in every partition of the corpus on every token, from one start, and the partitions'
+parameters are averaged by weight in steps of GROUP. Scores so depend on how the corpus is partitioned; counts and base
+scores don't.
+
+Counts are held by workers for at most HEAD frequent words of HEAD_BYTES in all, told by a count threshold that is found
+from the numbers of words per count; counts of the others meet the documents' rare words in a shuffle join, so any
+vocabulary is covered.
+
+Null texts count as empty: one end token. Whole texts of any length are scored, a few megabytes at a time. Repeated rows are
+scored each; other columns are ignored, whatever their names. With no training documents every count is 0 and the classes
+are predicted evenly. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -18,28 +25,28 @@ from __future__ import annotations
 import dataclasses
 import math
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lorewright.llm.common import materialize, worker_state
+from lorewright.llm.wordlists import Words, slices
 
-HEAD = 1 << 19
+HEAD, HEAD_BYTES = 1 << 19, 16 << 20
 CLASSES, FREQUENT = 256, 192
+#: Of so many distinct words one has a context vector of its own, up to OWN words.
+OWN_SHARE, OWN = 32, 1 << 14
 BEGIN, END = 0, 1
 CONTEXT, DIM, BATCH, NOISE, RATE = 3, 32, 512, 64, 0.15
+#: Tokens that are shuffled at once in training; parameters that one task averages.
+BLOCK, GROUP = 200_000, 8
 #: Distinct words that a task counts before it passes the counts on.
-FLUSH = 400_000
-
-
-def words_of(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+FLUSH = 200_000
 
 
 def ending_class(word: bytes) -> int:
@@ -47,9 +54,15 @@ def ending_class(word: bytes) -> int:
     return first + zlib.crc32(word.rstrip(b".,;:!?*#$%&\"')")[-2:]) % (CLASSES - first)
 
 
+def count_class(n: Column) -> Column:
+    """A count, rounded down to a multiple of the 1024th part of its power of two, so that there are few of them."""
+    part = F.pow(F.lit(2.0), F.greatest(F.floor(F.log2(n)) - 10, F.lit(0)))
+    return (F.floor(n / part) * part).cast("long")
+
+
 @dataclasses.dataclass
 class Parameters:
-    """Word-class vectors of contexts and targets, a weight vector for each context position, and biases."""
+    """Vectors of contexts (those of the classes first) and of target classes, a weight vector for each context position, and biases."""
 
     context: np.ndarray
     target: np.ndarray
@@ -60,21 +73,26 @@ class Parameters:
         return np.concatenate([x.ravel() for x in (self.context, self.target, self.position, self.bias)])
 
     @staticmethod
-    def start(class_counts: np.ndarray) -> Parameters:
+    def start(class_counts: np.ndarray, own: np.ndarray) -> Parameters:
+        """own: the classes of the words that have a context vector besides those of the classes; they start from these."""
         draw = np.random.default_rng(8)
         bias = np.log((class_counts + 1) / (class_counts + 1).sum())
         bias[BEGIN] = -1e9  # never predicted
         small = lambda *shape: draw.normal(0, 0.1, shape)
-        return Parameters(small(CLASSES, DIM), small(CLASSES, DIM), np.ones((CONTEXT, DIM)) / CONTEXT, bias)
+        context, target = small(CLASSES, DIM), small(CLASSES, DIM)
+        return Parameters(np.concatenate((context, context[own])), target, np.ones((CONTEXT, DIM)) / CONTEXT, bias)
 
-    @staticmethod
-    def of(flat: np.ndarray) -> Parameters:
-        n = CLASSES * DIM
-        return Parameters(flat[:n].reshape(CLASSES, DIM), flat[n : 2 * n].reshape(CLASSES, DIM), flat[2 * n : 2 * n + CONTEXT * DIM].reshape(CONTEXT, DIM), flat[2 * n + CONTEXT * DIM :])
+    def like(self, flat: np.ndarray) -> Parameters:
+        """Parameters of the same shapes from flat()."""
+        parts, at = [], 0
+        for x in dataclasses.astuple(self):
+            parts.append(flat[at : at + x.size].reshape(x.shape))
+            at += x.size
+        return Parameters(*parts)
 
 
 def contexts(classes: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """The classes of the CONTEXT tokens before each token; first: where its document begins."""
+    """The context numbers of the CONTEXT tokens before each token; first: where its document begins."""
     at = np.arange(len(classes))
     out = np.full((len(classes), CONTEXT), BEGIN, np.int64)
     for j in range(CONTEXT):
@@ -84,13 +102,13 @@ def contexts(classes: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
-def scatter(classes: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """The sum of each class's rows."""
-    out = np.zeros((CLASSES, rows.shape[1]), np.float32)
-    order = np.argsort(classes.astype(np.uint16), kind="stable")
-    kinds, begin = np.unique(classes[order], return_index=True)
-    out[kinds] = np.add.reduceat(rows[order], begin, axis=0)
-    return out
+def scatter(numbers: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different numbers, and the sum of each one's rows."""
+    numbers = numbers.astype(np.uint16)
+    order = np.argsort(numbers, kind="stable")
+    numbers = numbers[order]
+    begin = np.flatnonzero(np.append(True, numbers[1:] != numbers[:-1]))
+    return numbers[begin], np.add.reduceat(rows.take(order, 0), begin, axis=0)
 
 
 class Trainer:
@@ -99,31 +117,42 @@ class Trainer:
     def __init__(self, start: Parameters, noise: np.ndarray, seed: int):
         self.p = Parameters(*(x.astype(np.float32).copy() for x in dataclasses.astuple(start)))
         self.squares = [np.full_like(x, 1e-2) for x in dataclasses.astuple(self.p)]
-        self.noise, self.draw, self.seen = noise, np.random.default_rng(seed), 0
+        self.draw, self.seen, self.upto = np.random.default_rng(seed), 0, np.cumsum(noise) / noise.sum()
         self.log_noise = (np.log(NOISE) + np.log(np.maximum(noise, 1e-12))).astype(np.float32)
 
     def batch(self, context: np.ndarray, target: np.ndarray) -> None:
+        """context: numbers of the CONTEXT tokens before (a row for each position)."""
         p, n = self.p, len(target)
-        parts = [p.context[context[:, j]] for j in range(CONTEXT)]
-        q = sum(parts[j] * p.position[j] for j in range(CONTEXT))
-        drawn = np.sort(self.draw.choice(CLASSES, NOISE, p=self.noise))
-        kinds, begin = np.unique(drawn, return_index=True)
-        sigmoid = lambda x: 1 / (1 + np.exp(-np.clip(x, -30, 30)))
-        own = (q * p.target[target]).sum(1) + p.bias[target] - self.log_noise[target]
-        other = q @ p.target[drawn].T + p.bias[drawn] - self.log_noise[drawn]
-        of_own, of_other = (sigmoid(own) - 1) / n, sigmoid(other) / n
-        dq = of_other @ p.target[drawn]
-        dq += of_own[:, None] * p.target[target]
-        grads = [np.empty_like(p.context), scatter(target, of_own[:, None] * q), np.empty_like(p.position), np.bincount(target, of_own, CLASSES).astype(np.float32)]
-        grads[1][kinds] += np.add.reduceat(of_other.T @ q, begin, axis=0)
-        grads[3][kinds] += np.add.reduceat(of_other.sum(0), begin)
-        grads[0] = scatter(context.T.ravel(), np.concatenate([dq * p.position[j] for j in range(CONTEXT)]))
-        for j in range(CONTEXT):
-            grads[2][j] = (dq * parts[j]).sum(0)
-        grads[3][BEGIN] = 0
-        for x, s, d in zip((p.context, p.target, p.position, p.bias), self.squares, grads, strict=True):
-            s += d * d * 1e4
-            x -= RATE * d * 1e2 / np.sqrt(s)
+        parts = p.context.take(context, 0)
+        q = np.einsum("jnd,jd->nd", parts, p.position)
+        kinds, times = np.unique(np.searchsorted(self.upto, self.draw.random(NOISE), "right"), return_counts=True)
+        wanted, noise = p.target.take(target, 0), p.target.take(kinds, 0)
+        own = np.einsum("nd,nd->n", q, wanted) + (p.bias - self.log_noise)[target]
+        other = q @ noise.T
+        other += (p.bias - self.log_noise)[kinds]
+        # Gradients of the loss by the scores: minus the chance of noise for what stands there, the chance of a word for noise.
+        with np.errstate(over="ignore"):
+            of_own = -1 / (1 + np.exp(own)) / n
+            np.exp(np.negative(other, out=other), out=other)
+            other += 1
+            np.divide(times.astype(np.float32) / n, other, out=other)
+        dq = other @ noise
+        dq += of_own[:, None] * wanted
+        target_grad = np.zeros_like(p.target)
+        at, rows = scatter(target, of_own[:, None] * q)
+        target_grad[at] = rows
+        target_grad[kinds] += other.T @ q
+        bias_grad = np.bincount(target, of_own, CLASSES).astype(np.float32)
+        bias_grad[kinds] += other.sum(0)
+        bias_grad[BEGIN] = 0
+        position_grad = np.einsum("nd,jnd->jd", dq, parts)
+        met, context_grad = scatter(context.ravel(), (dq * p.position[:, None]).reshape(-1, DIM))
+        every = slice(None)
+        for x, s, at, d in zip((p.context, p.target, p.position, p.bias), self.squares, (met, every, every, every), (context_grad, target_grad, position_grad, bias_grad), strict=True):
+            d *= 100
+            square = s[at] + d * d
+            s[at] = square
+            x[at] -= RATE * d / np.sqrt(square)
         self.seen += n
 
 
@@ -134,48 +163,50 @@ class Model:
     tokens: int
     words: int
     documents: int
-    threshold: int
     head: dict[bytes, int]
-    head_counts: np.ndarray
-    frequent: dict[bytes, int]
+    head_log: np.ndarray
+    head_class: np.ndarray
+    head_context: np.ndarray
     class_tokens: np.ndarray
     class_words: np.ndarray
     parameters: Parameters | None = None
 
-    def class_of(self, word: bytes) -> int:
-        return self.frequent.get(word) or ending_class(word)
-
-    def prepare(self) -> None:
-        """Tables by a head word's number; the last entry stands for every other word."""
-        self.head_class = np.array([*(self.class_of(w) for w in self.head), BEGIN], np.int64)
-        self.head_log = np.append(np.log10(self.head_counts + 1.0), 0.0)
-
-    def number(self, text: str | None) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-        """Each word's number (the last one for words out of the head), the tokens' classes, and the words out of the head."""
-        words = words_of(text)
-        at = np.array(list(map(self.head.get, words, repeat(len(self.head)))), np.int64)
-        classes = np.append(self.head_class[at], END)
+    def number(self, texts: pa.Array) -> tuple[Words, np.ndarray, np.ndarray]:
+        """The texts' words, the number in the head of each distinct one (the size of the head for others), and its class."""
+        words = Words(texts, lower=True)
+        at = np.array(list(map(self.head.get, words.distinct, repeat(len(self.head)))), np.int64)
+        classes = self.head_class[at]
         rare = np.flatnonzero(at == len(self.head))
-        out = [words[k] for k in rare]
-        if out:
-            classes[rare] = [ending_class(w) for w in out]
-        return at, classes, out
-
-    def log10_classes(self, classes: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """log10 P(class | classes before), normalised over all classes."""
+        classes[rare] = [ending_class(words.distinct[k]) for k in rare.tolist()]
+        return words, at, classes
+
+    def sequences(self, words: Words, at: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Class and context number of each token, with an end after each text's words, and where each text's tokens begin."""
+        context = np.where(at == len(self.head), classes, self.head_context[at])
+        ends = words.first[1:]
+        both = (np.insert(x[words.codes], ends, END) for x in (classes, context))
+        return *both, words.first[:-1] + np.arange(len(ends))
+
+    def log10_classes(self, classes: np.ndarray, first: np.ndarray, context: np.ndarray | None = None) -> np.ndarray:
+        """log10 P(class | tokens before), normalised over all classes; context: the tokens' context numbers, their classes if left out."""
+        context = classes if context is None else context
         p, out = self.parameters, np.empty(len(classes))
         table = np.ascontiguousarray(np.vstack((p.target.T, p.bias)))  # the last row meets a constant 1
-        ones = np.ones(CLASSES, table.dtype)
+        weighed = [p.context * p.position[j] for j in range(CONTEXT)]
+        length = lambda x: np.sqrt((x * x).sum(1).max())
+        small = sum(map(length, weighed)) * length(p.target) + p.bias.max() < 60  # else an exponential may be too large
+        ones, q = np.ones(CLASSES, table.dtype), np.ones((1024, DIM + 1), table.dtype)
+        before = contexts(context, first)
         for lo in range(0, len(classes), 1024):
-            own = classes[lo : lo + 1024]
-            start = max(0, lo - CONTEXT)
-            c = contexts(classes[start : lo + 1024], np.maximum(first[start : lo + 1024] - start, 0))[lo - start :]
-            q = np.ones((len(own), DIM + 1), table.dtype)
-            q[:, :DIM] = sum(p.context[c[:, j]] * p.position[j] for j in range(CONTEXT))
-            logits = q @ table
-            if logits.max() > 60:  # else no exponential is too large
+            own, c = classes[lo : lo + 1024], before[lo : lo + 1024]
+            n = len(own)
+            q[:n, :DIM] = weighed[0].take(c[:, 0], 0)
+            for j in range(1, CONTEXT):
+                q[:n, :DIM] += weighed[j].take(c[:, j], 0)
+            logits = q[:n] @ table
+            if not small:
                 logits -= logits.max(1, keepdims=True)
-            chosen = logits[np.arange(len(own)), own].astype(np.float64)
+            chosen = logits[np.arange(n), own].astype(np.float64)
             np.exp(logits, out=logits)
             out[lo : lo + 1024] = chosen - np.log(logits @ ones)
         return out / math.log(10)
@@ -185,13 +216,17 @@ def count_words(texts: DataFrame) -> DataFrame:
     """word (binary; null for the end) and n, of rows (text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter[bytes] = Counter()
+        counts: dict[bytes, int] = {}
         documents = 0
         rows = lambda: pa.record_batch([pa.array([*counts, None], pa.binary()), pa.array([*counts.values(), documents], pa.int64())], ["word", "n"])
-        for batch in batches:
-            for value in batch.column(0):
-                counts.update(words_of(value.as_py()))
-                documents += 1
+        worker_state(("lm",), dict)
+        for whole in batches:
+            for batch in slices(whole, 0):
+                words = Words(batch.column(0), lower=True)
+                had = map(counts.get, words.distinct, repeat(0))
+                met = np.bincount(words.codes, minlength=len(words.distinct)).tolist()
+                counts.update(zip(words.distinct, map(int.__add__, had, met), strict=True))
+                documents += batch.num_rows
                 if len(counts) >= FLUSH:
                     yield rows()
                     counts.clear()
@@ -206,19 +241,27 @@ def fit(train: DataFrame, text_col: str = "text") -> tuple[Model, DataFrame]:
     """The model, and the counts of the words it doesn't hold itself (word, n)."""
     texts = train.select(train[text_col].alias("text"))
     counts = materialize(count_words(texts), "lm-counts")
-    # How many words there are of each count: a few thousand rows at most, as counts grow like ranks' inverses.
-    spread = sorted(((r["n"], r["words"]) for r in counts.where("word is not null").groupBy("n").agg(F.count("*").alias("words")).collect()), reverse=True)
-    held, threshold = 0, 0
-    for n, words in spread:
-        if held + words > HEAD:
-            threshold = n
+    words = counts.where("word is not null").select("word", "n", count_class(F.col("n")).alias("class"))
+    # How many words there are of each class of counts: 1024 for each power of two at most.
+    spread = sorted(words.groupBy("class").agg(F.count("*").alias("words"), F.sum(F.length("word")).alias("bytes"), F.sum("n").alias("tokens")).collect(), reverse=True)
+    held, size, threshold = 0, 0, 0
+    for r in spread:
+        if held + r["words"] > HEAD or size + r["bytes"] > HEAD_BYTES:
+            threshold = r["class"]
             break
-        held += words
-    documents = sum(r["n"] for r in counts.where("word is null").collect())
-    head_rows = sorted(((bytes(r["word"]), r["n"]) for r in counts.where(F.col("word").isNotNull() & (F.col("n") > threshold)).toLocalIterator()), key=lambda x: (-x[1], x[0]))
-    frequent = {w: 2 + k for k, (w, _) in enumerate(head_rows[:FREQUENT])}
-    model = Model(documents + sum(n * w for n, w in spread), sum(w for _, w in spread) + (documents > 0), documents, threshold, {w: k for k, (w, _) in enumerate(head_rows)}, np.array([n for _, n in head_rows], np.int64), frequent, np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64))
-    rare = counts.where(F.col("word").isNotNull() & (F.col("n") <= threshold))
+        held, size = held + r["words"], size + r["bytes"]
+    documents = counts.where("word is null").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    head = sorted(((bytes(r["word"]), r["n"]) for r in words.where(F.col("class") > threshold).toLocalIterator()), key=lambda x: (-x[1], x[0]))
+    rare = words.where(F.col("class") <= threshold).select("word", "n")
+    total = sum(r["words"] for r in spread)
+    own = min(len(head), max(FREQUENT, min(OWN, total // OWN_SHARE)))
+    classes = np.array([2 + k if k < FREQUENT else ending_class(w) for k, (w, _) in enumerate(head)] + [BEGIN], np.int64)
+    context = classes.copy()
+    context[FREQUENT:own] = CLASSES + np.arange(max(own - FREQUENT, 0))
+    model = Model(
+        documents + sum(r["tokens"] for r in spread), total + (documents > 0), documents, {w: k for k, (w, _) in enumerate(head)},
+        np.append(np.log10(np.array([n for _, n in head]) + 1.0), 0.0), classes, context, np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64),
+    )
 
     def by_class(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, words = np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64)
@@ -231,17 +274,17 @@ def fit(train: DataFrame, text_col: str = "text") -> tuple[Model, DataFrame]:
     for r in rare.mapInArrow(by_class, "class int, tokens bigint, words bigint").groupBy("class").agg(F.sum("tokens").alias("tokens"), F.sum("words").alias("words")).collect():
         model.class_tokens[r["class"]] += r["tokens"]
         model.class_words[r["class"]] += r["words"]
-    for w, n in head_rows:
-        model.class_tokens[model.class_of(w)] += n
-        model.class_words[model.class_of(w)] += 1
+    np.add.at(model.class_tokens, classes[:-1], [n for _, n in head])
+    np.add.at(model.class_words, classes[:-1], 1)
     model.class_tokens[END], model.class_words[END] = documents, int(documents > 0)
-    model.parameters = train_parameters(texts, model)
+    model.parameters = train_parameters(texts, model, classes[FREQUENT:own])
     return model, rare
 
 
-def train_parameters(texts: DataFrame, model: Model) -> Parameters:
+def train_parameters(texts: DataFrame, model: Model, own: np.ndarray) -> Parameters:
+    """own: the classes of the words that have context vectors of their own besides the classes."""
     spark = texts.sparkSession
-    start = Parameters.start(model.class_tokens.astype(np.float64))
+    start = Parameters.start(model.class_tokens.astype(np.float64), own)
     if not model.documents:
         return start
     noise = model.class_tokens + 1.0
@@ -250,50 +293,43 @@ def train_parameters(texts: DataFrame, model: Model) -> Parameters:
     shared = spark.sparkContext.broadcast((model, start, noise))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state(("lm",), dict)
         model, start, noise = shared.value
-        model.prepare()
         part = TaskContext.get().partitionId()
         trainer = Trainer(start, noise, part)
-        held: list[np.ndarray] = []
-        size = 0
-
-        def step() -> None:
-            nonlocal held, size
-            lengths = np.array([len(x) for x in held])
-            classes = np.concatenate(held)
-            c = contexts(classes, np.repeat(np.cumsum(lengths) - lengths, lengths))
-            at = trainer.draw.permutation(len(classes))
-            for lo in range(0, len(at), BATCH):
-                trainer.batch(c[at[lo : lo + BATCH]], classes[at[lo : lo + BATCH]])
-            held, size = [], 0
-
-        for batch in batches:
-            for value in batch.column(0):
-                held.append(model.number(value.as_py())[1])
-                size += len(held[-1])
-                if size >= 200_000:
-                    step()
-        if held:
-            step()
+        for whole in batches:
+            for batch in slices(whole, 0):
+                classes, context, begin = model.sequences(*model.number(batch.column(0)))
+                first = np.repeat(begin, np.diff(np.append(begin, len(classes))))
+                before = np.ascontiguousarray(contexts(context, first).T.astype(np.uint16))
+                for lo in range(0, len(classes), BLOCK):
+                    at = lo + trainer.draw.permutation(min(BLOCK, len(classes) - lo))
+                    for k in range(0, len(at), BATCH):
+                        trainer.batch(before[:, at[k : k + BATCH]], classes[at[k : k + BATCH]])
         if trainer.seen:
-            yield pa.record_batch([pa.array([part]), pa.array([float(trainer.seen)]), pa.array([(trainer.p.flat() * trainer.seen).astype(np.float64)], pa.list_(pa.float64()))], ["part", "seen", "flat"])
+            yield packed(part, trainer.seen, trainer.p.flat().astype(np.float64) * trainer.seen)
+
+    def packed(part: int, seen: float, total: np.ndarray) -> pa.RecordBatch:
+        return pa.record_batch([pa.array([part]), pa.array([float(seen)]), pa.array([total.astype(np.float32).tobytes()], pa.binary())], ["part", "seen", "flat"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, total = 0.0, None
+        part, seen, total = 0, 0.0, 0.0
         for batch in batches:
-            for n, flat in zip(batch.column("seen").to_pylist(), batch.column("flat"), strict=True):
-                seen += n
-                x = np.array(flat.values)
-                total = x if total is None else total + x
-        if total is not None:
-            yield pa.record_batch([pa.array([seen]), pa.array([total], pa.list_(pa.float64()))], ["seen", "flat"])
-
-    trained = texts.mapInArrow(run, "part bigint, seen double, flat array<double>")
-    trained = materialize(trained, "lm-parts")
-    groups = max(1, math.isqrt(trained.count()))  # the driver gets the square root of the partitions
-    sums = trained.repartition(groups, "part").mapInArrow(add, "seen double, flat array<double>").collect()
+            for k in range(batch.num_rows):
+                part, seen = batch.column(0)[k].as_py(), seen + batch.column(1)[k].as_py()
+                total = total + np.frombuffer(batch.column(2)[k].as_py(), np.float32).astype(np.float64)
+        if seen:
+            yield packed(part, seen, total)
+
+    kind = "part bigint, seen double, flat binary"
+    trained = materialize(texts.mapInArrow(run, kind), "lm-parts")
+    left = trained.count()
+    while left > GROUP:  # sums of up to GROUP partitions' parameters, until as many are left
+        left = math.ceil(left / GROUP)
+        trained = materialize(trained.repartitionByRange(left, "part").mapInArrow(add, kind), "lm-sums")
+    sums = trained.collect()
     seen = sum(r["seen"] for r in sums)
-    return Parameters.of(sum(np.array(r["flat"]) for r in sums) / seen) if seen else start
+    return start.like(sum(np.frombuffer(r["flat"], np.float32).astype(np.float64) for r in sums) / seen) if seen else start
 
 
 def score(documents: DataFrame, model: Model, rare_counts: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -306,29 +342,31 @@ def score(documents: DataFrame, model: Model, rare_counts: DataFrame, id_col: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_state(("lm",), dict)
         model, part, row = shared.value, TaskContext.get().partitionId(), 0
-        model.prepare()
         per_token = math.log10(model.tokens + model.words + 1)
         class_log = np.log10(model.class_tokens + model.class_words + 1.0)
         end_log = math.log10(model.documents + 1)
         for whole in batches:
-            for lo in range(0, whole.num_rows, 200):
-                batch = whole.slice(lo, 200)
-                found = [model.number(v.as_py()) for v in batch.column(1)]
-                classes = [x[1] for x in found]
-                lengths = np.array([len(x) for x in classes])
-                begin = np.cumsum(lengths) - lengths
-                flat = np.concatenate(classes)
-                tokens = model.log10_classes(flat, np.repeat(begin, lengths)) - class_log[flat]
+            for batch in slices(whole, size=1 << 20):
+                words, at, kinds = model.number(batch.column(1))
+                classes, context, begin = model.sequences(words, at, kinds)
+                lengths = words.lengths + 1
+                tokens = model.log10_classes(classes, np.repeat(begin, lengths), context) - class_log[classes]
                 sums = np.add.reduceat(tokens, begin)
-                counted = np.array([model.head_log[x[0]].sum() for x in found]) + end_log
-                known = lengths - np.array([len(x[2]) for x in found]) - (model.documents == 0)
-                rare = [Counter(x[2]) for x in found]
-                keys = (part << 33) + row + np.arange(len(found))
-                row += len(found)
+                is_rare = at == len(model.head)
+                rows, flags = words.rows(), is_rare[words.codes]
+                counted = np.bincount(rows, model.head_log[at][words.codes], batch.num_rows) + end_log
+                known = lengths - np.bincount(rows[flags], minlength=batch.num_rows) - (model.documents == 0)
+                # Rare words of each text and how often it has them.
+                pairs, times = np.unique(rows[flags] * len(words.distinct) + words.codes[flags], return_counts=True)
+                of, code = np.divmod(pairs, max(len(words.distinct), 1))
+                ends = pa.array(np.searchsorted(of, np.arange(batch.num_rows + 1)), pa.int32())
+                names = pa.array(words.distinct, pa.binary()).take(pa.array(code, pa.int64()))
+                keys = (part << 33) + row + np.arange(batch.num_rows)
+                row += batch.num_rows
                 yield pa.record_batch(
                     [
                         batch.column(0), pa.array(keys), pa.array(lengths), pa.array(known), pa.array(counted - lengths * per_token), pa.array(sums + counted),
-                        pa.array([list(c) for c in rare], pa.list_(pa.binary())), pa.array([list(c.values()) for c in rare], pa.list_(pa.int64())),
+                        pa.ListArray.from_arrays(ends, names), pa.ListArray.from_arrays(ends, pa.array(times.astype(np.int64))),
                     ],
                     ["id", "row", "n_tokens", "n_known", "base_score", "score", "rare", "times"],
                 )

@@ -7,7 +7,8 @@ neighbours are all compatible is the one that the merges give, so the result is
 most, so the work is linear in the word for a vocabulary of bounded token length. Words are memoised (bounded; an entry
 only saves work).
 
-Null texts count as empty. Whole texts are encoded; other columns are ignored; repeated rows give repeated results.
+Null texts count as empty: no ids, and an empty decoded text. Whole texts of any length are encoded, a few megabytes at a
+time. Other columns are ignored, whatever their names; repeated rows give repeated results; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -17,16 +18,21 @@ import json
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from lorewright.llm.common import bound_batches, worker_state
+from lorewright.llm.wordlists import Memo, Words, joined, slices
 
 SPACES = "\t\n\x0b\x0c\r \x85\xa0                　"
 #: Control characters that str.split() takes for spaces and the tokenizer doesn't.
 NO_SPACES = "\x1c\x1d\x1e\x1f"
-MEMO = 600_000
-PAIRS = 2_000_000
+#: Bytes of pieces and their ids, and of words with ids and decoded text, that a worker keeps; pairs whose verdict it keeps.
+PIECE_BYTES, WORD_BYTES = 192 << 20, 64 << 20
+PAIRS = 400_000
+#: ASCII characters that are neither letters, digits nor spaces.
+SYMBOLS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 def byte_letters() -> list[str]:
@@ -84,8 +90,7 @@ class BacktrackingBpe:
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.split_space = regex.compile(f"[{SPACES}]+")
         self.pairs: dict[tuple[str, str], bool] = {}
-        self.pieces: dict[str, tuple[int, ...]] = {}
-        self.words: dict[str, tuple[int, str, str]] = {}
+        self.pieces, self.words = Memo(PIECE_BYTES, 14, 250), Memo(WORD_BYTES, 14, 300)
 
     def merged(self, symbols: str) -> list[str]:
         """The merges applied one by one, lowest rank first: the definition, used for short strings only."""
@@ -132,27 +137,27 @@ class BacktrackingBpe:
                 at -= len(out.pop())
         return tuple(self.ids[t] for t in out)
 
-    def encode_piece(self, piece: str) -> tuple[int, ...]:
+    def rendered(self, piece: str) -> tuple[tuple[int, ...], bytes, bytes]:
+        """A piece's ids, these in decimal, and the text decoded from them, with a space before each id."""
         found = self.pieces.get(piece)
         if found is None:
             letters = "".join(map(self.letters.__getitem__, piece.encode("utf-8", "surrogatepass")))
-            found = self.encode_symbols(letters[:-1] + self.symbol[letters[-1] + self.suffix])
-            if len(self.pieces) >= MEMO:
-                self.pieces.clear()
-            self.pieces[piece] = found
+            ids = self.encode_symbols(letters[:-1] + self.symbol[letters[-1] + self.suffix])
+            found = (ids, "".join([f" {i}" for i in ids]).encode(), b" " + self.decode(ids).encode("utf-8", "surrogatepass"))
+            self.pieces.add([piece], [found])
         return found
 
-    def encode_word(self, word: str) -> list[int]:
-        """Ids of a text without spaces."""
-        ids: list[int] = []
+    def encode_word(self, word: str) -> list[tuple[tuple[int, ...], bytes, bytes]]:
+        """The rendered pieces of a text without spaces."""
+        out = []
         for part in self.split_special.split(word) if self.split_special and "<|" in word else (word,):
             if part in self.special:
-                ids.append(self.special[part])
+                i = self.special[part]
+                out.append(((i,), b" %d" % i, b" " + self.decode([i]).encode()))
             elif part:
                 plain = part if part.isascii() else unicodedata.normalize("NFC", part).replace("Σ", "σ")
-                for piece in self.pattern.findall(plain.lower()):
-                    ids.extend(self.encode_piece(piece))
-        return ids
+                out.extend(map(self.rendered, self.pattern.findall(plain.lower())))
+        return out
 
     def split(self, text: str) -> list[str]:
         if any(c in text for c in NO_SPACES):
@@ -160,28 +165,50 @@ class BacktrackingBpe:
         return text.split()
 
     def encode(self, text: str) -> list[int]:
-        return [i for w in self.split(text) for i in self.encode_word(w)]
+        return [i for w in self.split(text) for x in self.encode_word(w) for i in x[0]]
 
     def decode(self, ids: list[int]) -> str:
         """Text of the ids, special tokens included, joined by a space as where the file names no decoder."""
         return " ".join(self.spelling[self.begin[i] : self.end[i]] for i in ids)
 
-    def known(self, word: str) -> tuple[int, str, str]:
-        """A word's number of ids, its ids in decimal and its decoded text."""
-        found = self.words.get(word)
-        if found is None:
-            ids = self.encode_word(word)
-            found = (len(ids), " ".join(map(str, ids)), self.decode(ids))
-            if len(self.words) >= MEMO:
-                self.words.clear()
-            self.words[word] = found
+    def known(self, words: list[bytes]) -> list[tuple[int, bytes, bytes]]:
+        """Each word's number of ids, its ids in decimal and its decoded text, the latter two with a space before each id."""
+        memo, pieces, rendered = self.words, self.pieces, self.rendered
+        found = list(map(memo.get, words))
+        new = [k for k, x in enumerate(found) if x is None]
+        for k in new:
+            word = words[k].decode("utf-8", "surrogatepass")
+            stem = word.rstrip(SYMBOLS)
+            if stem.isalpha() and word.isascii():  # letters, then symbols: a piece each
+                stem, tail = stem.lower(), word[len(stem) :]
+                a = pieces.get(stem) or rendered(stem)
+                if tail:
+                    b = pieces.get(tail) or rendered(tail)
+                    found[k] = (len(a[0]) + len(b[0]), a[1] + b[1], a[2] + b[2])
+                else:
+                    found[k] = (len(a[0]), a[1], a[2])
+            else:
+                parts = [x for w in self.split(word) for x in self.encode_word(w)]
+                found[k] = (sum([len(x[0]) for x in parts]), b"".join([x[1] for x in parts]), b"".join([x[2] for x in parts]))
+        if memo.size < memo.bound:  # the words met first are the frequent ones; the rest are made of their pieces
+            memo.add([words[k] for k in new], [found[k] for k in new])
         return found
 
-    def round_trip(self, text: str) -> tuple[int, str, str]:
-        """Number of ids, the ids in decimal joined by one space, and the text decoded from them."""
-        memo, known = self.words, self.known
-        found = [memo.get(w) or known(w) for w in self.split(text)]
-        return sum([x[0] for x in found]), " ".join([x[1] for x in found if x[0]]), " ".join([x[2] for x in found if x[0]])
+    def round_trips(self, texts: pa.Array) -> tuple[np.ndarray, list[bytes], list[bytes]]:
+        """Of each text the number of ids, the ids in decimal joined by one space, and the text decoded from them.
+
+        Words are cut at ASCII white space, which no token holds, and each distinct one is encoded once.
+        """
+        words = Words(texts, lower=False)
+        found = self.known(words.distinct)
+        numbers = np.append(0, np.cumsum(np.array([x[0] for x in found], np.int64)[words.codes]))
+        out = []
+        for part in (1, 2):
+            pieces, begin = joined([x[part] for x in found], words.codes)
+            raw, at = pieces.buffers()[2], begin[words.first].tolist()
+            raw = memoryview(raw) if raw is not None else memoryview(b"")
+            out.append([bytes(raw[a + 1 : b]) for a, b in zip(at[:-1], at[1:], strict=True)])
+        return np.diff(numbers[words.first]), *out
 
 
 def encoder(path: str) -> BacktrackingBpe:
@@ -193,12 +220,13 @@ def bpe_round_trip(documents: DataFrame, tokenizer_path: str, id_col: str = "doc
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(tokenizer_path)
-        for batch in batches:
-            ids = [bpe.encode(t or "") for t in batch.column(1).to_pylist()]
-            yield pa.record_batch(
-                [batch.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array([bpe.decode(x) for x in ids], pa.string())],
-                ["id", "n_tokens", "token_ids", "decoded"],
-            )
+        for whole in batches:
+            for batch in slices(whole):
+                ids = [bpe.encode(t or "") for t in batch.column(1).to_pylist()]
+                yield pa.record_batch(
+                    [batch.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array([bpe.decode(x) for x in ids], pa.string())],
+                    ["id", "n_tokens", "token_ids", "decoded"],
+                )
 
     rows = documents.select(documents[id_col].alias("id"), documents[text_col].alias("text"))
     bound_batches(documents.sparkSession)
@@ -210,15 +238,12 @@ def bpe_digests(documents: DataFrame, tokenizer_path: str, id_col: str = "doc_id
     """Per document: id, n_tokens, SHA-256 of the decimal ids and of the decoded text; digests leave no long rows behind."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, sha = encoder(tokenizer_path), lambda s: hashlib.sha256(s.encode()).hexdigest()
-        for batch in batches:
-            counts, ids, decoded = [], [], []
-            for value in batch.column(1):
-                n, decimal, text = bpe.round_trip(value.as_py() or "")
-                counts.append(n)
-                ids.append(sha(decimal))
-                decoded.append(sha(text))
-            yield pa.record_batch([batch.column(0), pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        bpe = encoder(tokenizer_path)
+        for whole in batches:
+            for batch in slices(whole):
+                counts, *parts = bpe.round_trips(batch.column(1))
+                digests = [pa.array([hashlib.sha256(x).hexdigest() for x in part], pa.string()) for part in parts]
+                yield pa.record_batch([batch.column(0), pa.array(counts), *digests], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     rows = documents.select(documents[id_col].alias("id"), documents[text_col].alias("text"))
     bound_batches(documents.sparkSession)
