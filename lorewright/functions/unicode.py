@@ -1,10 +1,10 @@
-"""Unicode functions that Spark has no expression for, as Arrow-batched UDFs."""
+"""Unicode functions: normalisation and marks by ICU in the JVM; Arrow-batched UDFs where neither has the rule."""
 
 from __future__ import annotations
 
 import difflib
 import html
-import re
+import sys
 import unicodedata
 
 import pandas as pd
@@ -14,47 +14,84 @@ from pyspark.sql.types import StringType
 
 #: Quotes that may enclose a name. Fixed values.
 QUOTES = ('"', "'", "“", "”", "‘", "’")
+#: White space at either end, in Python's sense.
+EDGE_SPACE = r"^[\s\p{Z}\x{1c}-\x{1f}\x{85}]+|[\s\p{Z}\x{1c}-\x{1f}\x{85}]+$"
+NORMALIZER, FOLD = "com.ibm.icu.text.Normalizer", ("com.ibm.icu.lang.UCharacter", "foldCase")
 
 
-def unquoted(text: str) -> str:
-    """Without the pairs of equal quotes around it (TX4)."""
-    text = text.strip()
-    while len(text) >= 2 and text[0] == text[-1] and text[0] in QUOTES:
-        text = text[1:-1].strip()
-    return text
+def _marks() -> str:
+    """A pattern of the characters with a combining class, from Unicode's own table."""
+    spans: list[list[int]] = []
+    for c in range(sys.maxunicode + 1):
+        if unicodedata.combining(chr(c)):
+            if spans and spans[-1][1] == c - 1:
+                spans[-1][1] = c
+            else:
+                spans.append([c, c])
+    return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in spans) + "]+"
 
 
-def without_marks(text: str) -> str:
-    return "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
+MARKS = _marks()
 
 
-def _each(f):
-    @F.pandas_udf(StringType())
-    def apply(values: pd.Series) -> pd.Series:
-        known: dict = {}  # a batch's values repeat
-        return values.map(lambda v: None if v is None else known.get(v) if v in known else known.setdefault(v, f(v)))
+def _icu(class_name: str, method: str, text: Column) -> Column:
+    return F.when(text.isNotNull(), F.java_method(F.lit(class_name), F.lit(method), text, F.lit(True)))
+
+
+def nfkc(text: Column) -> Column:
+    return _icu(NORMALIZER, "compose", text)
+
+
+def strip_diacritics(text: Column) -> Column:
+    """The compatibility decomposition without its combining marks (TX6)."""
+    return F.regexp_replace(_icu(NORMALIZER, "decompose", text), MARKS, "")
+
+
+def strip(text: Column) -> Column:
+    return F.regexp_replace(text, EDGE_SPACE, "")
+
+
+def unquote(text: Column) -> Column:
+    """Without the pairs of equal quotes around it (TX4): at most as many pairs go as quotes stand at the start."""
+    quotes = "".join(QUOTES)
+    leading = F.length(F.regexp_extract(text, rf"^[{quotes}\s\p{{Z}}]*", 0))
+
+    def peel(t: Column, _: Column) -> Column:
+        first = F.substr(t, F.lit(1), F.lit(1))
+        quoted = (F.length(t) >= 2) & first.isin(*QUOTES) & (first == F.right(t, F.lit(1)))
+        return F.when(quoted, strip(F.substr(t, F.lit(2), F.greatest(F.length(t) - 2, F.lit(0))))).otherwise(t)
 
-    return apply
+    return F.aggregate(F.sequence(F.lit(0), leading), strip(text), peel)
 
 
-nfkc = _each(lambda t: unicodedata.normalize("NFKC", t))
-unescape = _each(html.unescape)
-unquote = _each(unquoted)
-strip_diacritics = _each(without_marks)
-#: Unescaped, stripped, without control characters (TX2).
-clean_str = _each(lambda t: re.sub(r"[\x00-\x1f\x7f-\x9f]", "", html.unescape(t.strip())))
-#: The key under which names are one (TX3).
-entity_key = _each(lambda t: re.sub("[^0-9a-z]+", "", without_marks(unicodedata.normalize("NFKC", unquoted(html.unescape(t))).casefold())))
-#: A node id as sanitizing reads it: unescaped, without one pair of double quotes (TX7).
-dequote_id = _each(lambda t: (lambda s: s[1:-1] if len(s) >= 2 and s[0] == s[-1] == '"' else s)(html.unescape(t)))
+@F.pandas_udf(StringType())
+def _unescaped(values: pd.Series) -> pd.Series:
+    return values.map(html.unescape, na_action="ignore")
+
+
+def unescape(text: Column) -> Column:
+    """Without HTML's character references; only texts with an ampersand leave the JVM."""
+    return F.coalesce(_unescaped(F.when(F.contains(text, F.lit("&")), text)), text)
+
+
+def clean_str(text: Column) -> Column:
+    """Unescaped, stripped, without control characters (TX2)."""
+    return F.regexp_replace(unescape(strip(text)), r"[\x00-\x1f\x7f-\x{9f}]", "")
+
+
+def entity_key(text: Column) -> Column:
+    """The key under which names are one (TX3)."""
+    return F.regexp_replace(strip_diacritics(_icu(*FOLD, nfkc(unquote(unescape(text))))), "[^0-9a-z]+", "")
+
+
+def dequote_id(text: Column) -> Column:
+    """A node id as sanitizing reads it: unescaped, without one pair of double quotes (TX7)."""
+    return F.regexp_replace(unescape(text), r'(?s)^"(.*)"$', "$1")
 
 
 def alias_table(spark, aliases: dict[str, list[str]]) -> DataFrame:
-    """alias and canonical of a specification {canonical: [alias]}, the canonical names among them (D16)."""
-    rows = {}
-    for canonical, names in aliases.items():
-        for name in (canonical, *names):
-            rows[name.upper()] = canonical.upper()
+    """alias and canonical of a specification {canonical: [alias]}, the canonical names among them, all in upper case (D16)."""
+    rows = {name.upper(): canonical.upper() for canonical, names in aliases.items() for name in (canonical, *names)}
     return spark.createDataFrame(sorted(rows.items()), "alias string, canonical string")
 
 
@@ -62,25 +99,26 @@ def normalize_names(names: DataFrame, column: str, aliases: dict[str, list[str]]
     """names with column `out`: the canonical name of an alias, of one equal but for diacritics, or of the closest one within the
     cutoff; else the name in upper case; Unknown where it is empty (TX5, JN12).
 
-    The specification is a configuration of bounded size; each distinct name of a batch is looked up once.
+    Two joins with the table of aliases, a configuration of bounded size; only names that neither join finds are compared
+    one by one.
     """
-    known = {}
-    for canonical, others in aliases.items():
-        for name in (canonical, *others):
-            known[name.upper()] = canonical.upper()
-
-    def canonical_of(name: str) -> str:
-        raw = unicodedata.normalize("NFKC", name).strip().strip('"').strip("'")
-        if not raw:
-            return "Unknown"
-        upper = raw.upper()
-        for probe in (upper, without_marks(upper)):
-            if probe in known:
-                return known[probe]
-        close = difflib.get_close_matches(upper, list(known), n=1, cutoff=cutoff)
-        return known[close[0]] if close else upper
-
-    return names.withColumn(out, F.coalesce(_each(canonical_of)(F.col(column)), F.lit("Unknown")))
+    table = alias_table(names.sparkSession, aliases)
+    spelled = {r: c for c, others in aliases.items() for r in (c, *others)}
+    closest_of = {r.upper(): c.upper() for r, c in spelled.items()}
+
+    @F.pandas_udf(StringType())
+    def closest(values: pd.Series) -> pd.Series:
+        near = {v: difflib.get_close_matches(v, closest_of, 1, cutoff) for v in values.dropna().unique()}
+        return values.map(lambda v: closest_of[near[v][0]] if near[v] else None, na_action="ignore")
+
+    bare = F.regexp_replace(F.regexp_replace(strip(nfkc(F.col(column))), '^"+|"+$', ""), "^'+|'+$", "")
+    rows = names.withColumn("lw_name", F.upper(bare))
+    for found, probe in (("lw_same", F.col("lw_name")), ("lw_plain", strip_diacritics(F.col("lw_name")))):
+        rows = rows.withColumn("lw_probe", probe).join(F.broadcast(table.toDF("lw_probe", found)), "lw_probe", "left").drop("lw_probe")
+    known = F.coalesce("lw_same", "lw_plain")
+    near = closest(F.when(known.isNull() & (F.col("lw_name") != ""), F.col("lw_name")))
+    name = F.when(F.coalesce(F.col("lw_name"), F.lit("")) == "", "Unknown").otherwise(F.coalesce(known, "lw_near", "lw_name"))
+    return rows.withColumn("lw_near", near).withColumn(out, name).drop("lw_name", "lw_same", "lw_plain", "lw_near")
 
 
 def clean_text_full(text: Column) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lorewright import shared
 from lorewright.functions import text as T
+from lorewright.functions import unicode as U
 from lorewright.schemas import SEP
 
 
@@ -233,7 +234,7 @@ def largest_component(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, Da
 
 def resolution_keys(nodes: DataFrame, key=T.ascii_key) -> DataFrame:
     """Each node's keys: its own and those of the other names its description gives (GR3). nodes: node_ord, id, entity_type, description."""
-    names = F.concat(F.array("id"), T.name_candidates(F.col("description")))
+    names = F.concat(F.array("id"), T.name_candidates(U.unescape(F.col("description"))))
     rows = nodes.select("node_ord", "id", "entity_type", F.explode(names).alias("name")).withColumn("key", key(F.col("name")))
     return rows.where("key <> ''").select("node_ord", "id", "entity_type", "key").distinct()
 

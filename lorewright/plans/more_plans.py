@@ -112,11 +112,11 @@ def tx14_normalize(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.md5(T.normalize_query(F.col("text")).cast("binary")).alias("h"))
 
 
-@query("tx17_aliases", "SELECT c_custkey, ['Name ' || c_custkey, 'Other' || c_custkey] AS names FROM customer")
+@query("tx17_aliases", "SELECT c_custkey, ['O''Brien', 'Name ' || c_custkey, 'Other' || c_custkey] AS names FROM customer")
 def tx17_aliases(spark, sf):
     k = F.col("c_custkey").cast("string")
-    about = F.concat(F.lit("x, also known as: Name "), k, F.lit("<SEP>was spelled Other"), k, F.lit("."))
-    return table(spark, sf, "customer").select("c_custkey", T.name_candidates(about).alias("names"))
+    about = F.concat(F.lit("x, also known as: Name "), k, F.lit("<SEP>also called O&#39;Brien<SEP>was spelled Other"), k, F.lit("."))
+    return table(spark, sf, "customer").select("c_custkey", T.name_candidates(U.unescape(about)).alias("names"))
 
 
 @query("tx18_types", "SELECT a.n_nationkey AS a, b.n_nationkey AS b, a.n_regionkey = b.n_regionkey OR a.n_regionkey = 0 OR b.n_regionkey = 0 AS ok FROM nation a JOIN nation b ON b.n_nationkey > a.n_nationkey")
