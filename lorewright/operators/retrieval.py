@@ -81,11 +81,33 @@ def entity_graph(queries: DataFrame, entity_vectors: DataFrame, nodes: DataFrame
     return resolve(best, chunks, "entity_graph", F.lit(0.0), F.col("score"), F.col("score"))
 
 
+def shared_words(queries: DataFrame, rows: DataFrame, key: list[str]) -> DataFrame:
+    """Per query and key that have a word in common or named: n_query, n_words, common (words of both), named (TX13, ST3).
+
+    queries: query_id, q (distinct words); rows: key, words (distinct), names (substrings of a name, or null). An equi-join on
+    words: each row's words are made once, and only rows with a query's word go on. Counts are partial sums, so that neither
+    a frequent word nor a long text gathers in one task. Keys are unique.
+    """
+    asked = shared.checked(queries.where(F.size("q") > 0).select("query_id", F.size("q").alias("n_query"), F.explode("q").alias("word")))
+    marked = lambda c, flag: F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda w: F.struct(w.alias("word"), F.lit(flag).alias("is_name")))
+    met = rows.where(F.size("words") > 0).select(*key, F.size("words").alias("n_words"), F.explode(F.concat(marked(F.col("words"), False), marked(F.col("names"), True))).alias("x"))
+    met = met.select(*key, "n_words", "x.word", "x.is_name").join(asked, "word")
+    return met.groupBy(*key, "query_id").agg(F.first("n_query").alias("n_query"), F.first("n_words").alias("n_words"), F.count_if(~F.col("is_name")).alias("common"), F.max("is_name").alias("named"))
+
+
+def lexical_scores(queries: DataFrame, rows: DataFrame, key: list[str], name: str, description: str) -> DataFrame:
+    """key, query_id, score: the Jaccard overlap of the words, and 0.15 more if the name holds a query word; only above 0 (TX13)."""
+    plain = T.plain_name(F.col(name))
+    words = T.tokens(F.concat_ws(" ", plain, F.lower(F.coalesce(description, F.lit("")))))
+    found = shared_words(queries, rows.select(*key, words.alias("words"), T.name_parts(plain).alias("names")), key)
+    score = F.col("common") / (F.col("n_query") + F.col("n_words") - F.col("common")) + F.when(F.col("named"), 0.15).otherwise(0.0)
+    return found.select(*key, "query_id", score.alias("score"))
+
+
 def global_graph(queries: DataFrame, nodes: DataFrame, chunks: DataFrame, k: int = Settings.graph_k) -> DataFrame:
     """GR7: chunks of the k nodes of the global graph that are most like the query in words (JN16, TX13, TK4). k counts nodes; a chunk is its last video's (JN5)."""
-    asked = shared.checked(queries.select("query_id", T.tokens(F.col("query")).alias("q")))
-    scored = nodes.crossJoin(asked).withColumn("score", T.lexical_match(F.col("q"), F.col("id"), F.col("description"))).where("score > 0").drop("q")
-    best = top_k(scored, ["query_id"], "score", ["node_ord"], k)
+    scored = lexical_scores(queries.select("query_id", T.tokens(F.col("query")).alias("q")), nodes, ["node_ord", "id"], "id", "description")
+    best = top_k(scored, ["query_id"], "score", ["node_ord"], k).join(nodes.select("node_ord", "id", "source_id"), ["node_ord", "id"])
     owner = chunks.groupBy("chunk_id").agg(F.max("video_name").alias("video_name"))
     found = best.select("query_id", "score", "rank", F.posexplode(T.split_ids(F.col("source_id"))).alias("at", "chunk_id")).join(owner, "chunk_id")
     found = found.withColumn("arrival", F.col("rank") * 1_000_000 + F.col("at"))
@@ -94,10 +116,11 @@ def global_graph(queries: DataFrame, nodes: DataFrame, chunks: DataFrame, k: int
 
 def visual_support(queries: DataFrame, frames: DataFrame, chunks: DataFrame, k: int = Settings.frames_k) -> DataFrame:
     """Q2: chunks of the frames whose description or transcript has most of a visual query's words, k frames a video (TK5, JN6)."""
-    asked = shared.checked(queries.where("intent.is_visual_detail").select("query_id", T.tokens(F.col("query")).alias("q")))
+    asked = queries.where("intent.is_visual_detail").select("query_id", T.tokens(F.col("query")).alias("q"))
     words = T.tokens(T.strip(F.concat_ws(" ", F.coalesce("vlm_output", F.lit("")), F.coalesce("transcript", F.lit("")))))
-    rows = frames.select("video_name", "frame_key", "segment_idx", words.alias("words")).where(F.size("words") > 0).crossJoin(asked)
-    rows = rows.withColumn("overlap", F.size(F.array_intersect("q", "words"))).where("overlap > 0").withColumn("score", F.col("overlap") / F.greatest(F.lit(1), F.size("q")))
+    key = ["video_name", "frame_key", "segment_idx"]
+    rows = shared_words(asked, frames.select(*key, words.alias("words"), F.lit(None).cast("array<string>").alias("names")), key)
+    rows = rows.withColumn("score", F.col("common") / F.col("n_query"))
     best = top_k(rows, ["query_id", "video_name"], "score", ["frame_key"], k).where(T.strip(F.col("segment_idx")) != "")
     refs = chunks.select("video_name", "chunk_id", F.explode("video_segment_id").alias("ref"))
     found = best.withColumn("ref", F.concat("video_name", F.lit("_"), T.strip(F.col("segment_idx")))).join(refs, ["video_name", "ref"]).withColumnRenamed("rank", "arrival")

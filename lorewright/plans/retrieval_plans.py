@@ -127,9 +127,8 @@ s AS (SELECT query_id, doc_id, len(list_intersect(q, w)) / len(list_distinct(lis
 SELECT query_id, doc_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS r FROM s WHERE score > 0) WHERE r <= 30""",
 )
 def tx13_lexical_topk(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", T.tokens(F.concat_ws(" ", F.lower("source"), F.lower("text"))).alias("w"), "source", "text")
     q = asked(spark, sf).select("query_id", T.tokens(F.col("query")).alias("q"))
-    rows = docs.crossJoin(F.broadcast(q)).withColumn("score", T.lexical_match(F.col("q"), F.col("source"), F.col("text"))).where("score > 0")
+    rows = retrieval.lexical_scores(q, table(spark, sf, "documents"), ["doc_id"], "source", "text")
     return retrieval.top_k(rows, ["query_id"], "score", ["doc_id"], 30).select("query_id", "doc_id", F.round("score", 6).alias("score"))
 
 
