@@ -208,19 +208,9 @@ def ag20_communities(spark, sf):
     return rows.select("level", "cluster", F.size("nodes").cast("long").alias("n_nodes"), F.size("edges").cast("long").alias("n_edges"), F.array_join("chunk_ids", ",").alias("chunks"), F.round("occurrence", 6).alias("occurrence"), F.array_join("sub_communities", ",").alias("subs"))
 
 
-@query(
-    "gr4_components",
-    """WITH RECURSIVE e AS (SELECT DISTINCT o_custkey AS a, c_custkey AS b FROM orders JOIN customer ON c_custkey = (o_custkey * 7 + 3) % (SELECT count(*) FROM customer) + 1 WHERE o_orderkey % 9 = 0),
-b AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT a AS node, b AS other FROM b UNION SELECT r.node, b.b FROM r JOIN b ON b.a = r.other)
-SELECT c_custkey AS id, least(c_custkey, coalesce(min(other), c_custkey)) AS component FROM customer LEFT JOIN r ON node = c_custkey GROUP BY c_custkey""",
-)
+@query("gr4_components")
 def gr4_components(spark, sf):
-    return _order_components(spark, sf, table(spark, sf, "orders").where("o_orderkey % 9 = 0"))
-
-
-@query("gr4_components_all")
-def gr4_components_all(spark, sf):
-    """Components under all orders; gr4_components has the ninth of them that its SQL has."""
+    """Components under all orders."""
     return _order_components(spark, sf, table(spark, sf, "orders"))
 
 
