@@ -6,7 +6,12 @@ has, the canonical bytes are compared by their least and greatest value, which p
 moves; where they differ, each different text of the bucket gets a number of its own after the digest. So equal canonical
 texts have equal fingerprints, and different ones never do.
 
-Null texts count as empty. Repeated rows have equal fingerprints. Other columns are ignored.
+Copies of one text never gather in one task: buckets meet their rows by a counted broadcast or, beyond it, by a join that
+Spark splits where it is skewed, and the comparison gets one row per bucket and map task.
+
+Null texts count as empty; very long ones are handled whole. Repeated rows have equal fingerprints. The report has no row for
+a null id, as these have no place in the order of ids; where texts of one id differ, the least fingerprint holds for all its
+rows. An empty table gives no rows. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -46,8 +51,8 @@ def _digest() -> Column:
 def resolve(hashed: DataFrame, texts_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """key and fingerprint of rows (key, h1, h2). texts_of(keys) gives (key, text) of some keys; it is asked only for keys
     in buckets that several rows have."""
-    crowded = hashed.groupBy("h1", "h2").agg(F.count("*").alias("rows")).where("rows > 1").select("h1", "h2")
-    members = materialize(hashed.join(crowded, ["h1", "h2"]).select("key", "h1", "h2"), "crowded")
+    crowded = materialize(hashed.groupBy("h1", "h2").agg(F.count("*").alias("rows")).where("rows > 1").select("h1", "h2"), "buckets")
+    members = materialize(hashed.join(checked(crowded), ["h1", "h2"], "left_semi").select("key", "h1", "h2"), "crowded")
     texts = texts_of(members.select("key")).select("key", canonical(F.col("text")).alias("canon"))
     bytes_ = members.join(texts, "key").select("key", "h1", "h2", F.col("canon").cast("binary").alias("canon"))
     mixed = bytes_.groupBy("h1", "h2").agg(F.min("canon").alias("lo"), F.max("canon").alias("hi")).where("lo <> hi").select("h1", "h2")
@@ -119,7 +124,7 @@ def edit_report(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
     key = lambda k: F.struct(F.lit(k).alias("kind"), "id").alias("key")
     hashed = rows.select(key(0), "own.h1", "own.h2").union(rows.select(key(1), "other.h1", "other.h2"))
     found = materialize(resolve(hashed, texts_of), "fingerprints")
-    kind = lambda k, name: found.where(F.col("key.kind") == k).select(F.col("key.id").alias("id"), F.col("fingerprint").alias(name)).dropDuplicates(["id"])
+    kind = lambda k, name: found.where(F.col("key.kind") == k).select(F.col("key.id").alias("id"), "fingerprint").groupBy("id").agg(F.min("fingerprint").alias(name))
     out = rows.select("id", "n_chars", "edited_sha256").join(kind(0, "fingerprint"), "id").join(kind(1, "edited_fingerprint"), "id").join(pairs.select("id", "next_id"), "id")
     out = out.join(kind(0, "next_fingerprint").withColumnRenamed("id", "next_id"), "next_id")
     same = lambda a, b: (F.col(a) == F.col(b)).cast("double")
