@@ -8,8 +8,11 @@ home, so no link is lost (reach=1; a smaller reach makes fewer guests and may lo
 A cell's vectors are dealt in blocks of bounded size, and each pair of blocks is one matrix product in double precision.
 A block pair returns, per vector, how many vectors it is linked with, and a spanning forest of the links; never the pairs.
 
-Vectors that are null, zero, or hold null or non-finite components, or whose length isn't the most frequent one, are linked
-with nothing. An empty table gives an empty result. Repeated rows are vectors of their own; other columns are ignored.
+Vectors of each length have cells of their own, all searched in one pass; the driver gets one row per length.
+
+Vectors that are null, zero, or hold null or non-finite components are linked with nothing. An empty table gives an empty
+result. Rows that repeat an id are one vector, that with the least digest, and all get its result; rows with a null id have
+no component and are kept. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,6 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -56,55 +60,63 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     """Per vector: id, n_links (others at `cosine` or more), component_id (smallest id reachable by links) and kept (its own)."""
     spark = vectors.sparkSession
     good = materialize(usable(vectors, id_col, vector_col), "vectors")
-    sizes = good.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
-    empty = spark.createDataFrame([], "id bigint, rep bigint, links bigint, component bigint")
-    found = empty
-    if sizes:
-        good = good.where(F.size("v") == sizes[0]["d"])
-        classes = materialize(good.groupBy("hi", "lo").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "vector-classes")
-        reps = good.join(classes.select(F.col("rep").alias("id"), "copies"), "id").dropDuplicates(["id"]).select("id", "v", "copies")
-        reps = materialize(reps, "vector-reps")
-        n = reps.count()
-        chance = min(1.0, sample / n)
+    ids = materialize(good.groupBy("id").agg(F.min(F.struct("hi", "lo")).alias("digest")).select("id", "digest.*"), "vector-ids")
+    classes = materialize(ids.groupBy("hi", "lo").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "vector-classes")
+    reps = good.join(classes.select(F.col("rep").alias("id"), "hi", "lo", "copies"), ["id", "hi", "lo"]).dropDuplicates(["id"]).select("id", "v", "copies")
+    reps = materialize(reps, "vector-reps")
+    lengths = {r["d"]: r["count"] for r in reps.groupBy(F.size("v").alias("d")).count().collect()}
+    found = spark.createDataFrame([], "id bigint, links bigint, component bigint")
+    if lengths:
+        chance = min(1.0, sample / sum(lengths.values()))
         drawn = reps.where(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1 << 30)) < F.lit(int(chance * (1 << 30)))).select("id", "v").toPandas().sort_values("id")
-        cells = max(1, min(2048, int(math.sqrt(n) / 3)))
-        centroids = spherical_kmeans(stack(drawn["v"]), cells, 8) if len(drawn) else np.ones((1, sizes[0]["d"])) / math.sqrt(sizes[0]["d"])
-        found = _linked(reps, np.unique(centroids, axis=0), cosine, reach)
+        centroids = {}
+        for d, n in sorted(lengths.items()):
+            own = [v for v in drawn["v"] if len(v) == d]
+            cells = max(1, min(2048, int(math.sqrt(n) / 3), len(own)))
+            centroids[d] = np.unique(spherical_kmeans(stack(own), cells, 8), axis=0) if own else np.ones((1, d)) / math.sqrt(d)
+        found = _linked(reps, centroids, cosine, reach)
         links = found.where("other is null").groupBy("id").agg(F.sum("links").alias("links"))
         joined = connected_components(found.where("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b")))
         of = classes.join(links, F.col("rep") == F.col("id"), "left").drop("id").join(joined, F.col("rep") == F.col("node"), "left")
         of = materialize(of.select("hi", "lo", "rep", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("component", "rep").alias("component")), "vector-links")
-        found = good.select("id", "hi", "lo").join(of, ["hi", "lo"]).select("id", "links", "component").dropDuplicates(["id"])
-    ids = vectors.select(vectors[id_col].cast("long").alias("id"))
-    out = ids.join(found.select(F.col("id").alias("of"), "links", "component"), F.col("id") == F.col("of"), "left")
+        found = ids.join(of, ["hi", "lo"]).select("id", "links", "component")
+    rows =vectors.select(vectors[id_col].cast("long").alias("id"))
+    out = rows.join(found.select(F.col("id").alias("of"), "links", "component"), F.col("id") == F.col("of"), "left")
     out = out.select("id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)))
 
 
-def _linked(reps: DataFrame, centroids: np.ndarray, cosine: float, reach: float) -> DataFrame:
-    """Rows (id, links, other): a vector's linked copies in one block pair (other null), or a link of its spanning forest."""
-    apart = np.sqrt(np.maximum(2 - 2 * centroids @ centroids.T, 1e-18))
+def _linked(reps: DataFrame, centroids: dict[int, np.ndarray], cosine: float, reach: float) -> DataFrame:
+    """Rows (id, links, other): a vector's linked copies in one block pair (other null), or a link of its spanning forest.
+
+    centroids: those of the vectors of each length. Cells are numbered through all lengths.
+    """
     near = reach * math.sin(math.acos(min(1.0, max(-1.0, cosine))) / 2) + 1e-9
-    shared = reps.sparkSession.sparkContext.broadcast((centroids, apart))
+    firsts = np.cumsum([0, *(len(c) for c in centroids.values())]).tolist()
+    apart = lambda c: np.sqrt(np.maximum(2 - 2 * c @ c.T, 1e-18))
+    shared = reps.sparkSession.sparkContext.broadcast({d: (first, c, apart(c)) for first, (d, c) in zip(firsts, centroids.items(), strict=False)})
 
-    def places(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Home of each vector, and which cells it visits."""
-        c, far = shared.value
+    def places(x: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
+        """The first cell for vectors of this length, and counted from it: home of each vector, and which cells it visits."""
+        first, c, far = shared.value[x.shape[1]]
         dots = np.einsum("ij,kj->ik", x, c)
         home = dots.argmax(1)
         visits = (dots[np.arange(len(x)), home][:, None] - dots) / far[home] <= near
         visits[np.arange(len(x)), home] = False
-        return home, visits
+        return first, home, visits
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for lo in range(0, whole.num_rows, 1000):
                 batch = whole.slice(lo, 1000)
-                home, visits = places(stack(batch.column(1).to_pylist()))
-                row, cell = np.nonzero(visits)
-                row, cell = np.concatenate((np.arange(len(home)), row)), np.concatenate((home, cell))
-                names = ["id", "v", "copies"]
-                yield pa.RecordBatch.from_arrays([*(batch.column(k).take(pa.array(row)) for k in range(3)), pa.array(cell.astype(np.int32)), pa.array(home[row] == cell)], [*names, "cell", "home"])
+                lengths = pc.list_value_length(batch.column(1)).to_numpy()
+                for d in np.unique(lengths):
+                    part = batch.take(pa.array(np.flatnonzero(lengths == d)))
+                    first, home, visits = places(stack(part.column(1).to_pylist()))
+                    row, cell = np.nonzero(visits)
+                    row, cell = np.concatenate((np.arange(len(home)), row)), np.concatenate((home, cell))
+                    names = ["id", "v", "copies"]
+                    yield pa.RecordBatch.from_arrays([*(part.column(k).take(pa.array(row)) for k in range(3)), pa.array((first + cell).astype(np.int32)), pa.array(home[row] == cell)], [*names, "cell", "home"])
 
     dealt = reps.mapInArrow(deal, "id bigint, v array<double>, copies bigint, cell int, home boolean")
     # Blocks of homes and of visitors by the cell's own numbers of rows; hot cells have more blocks.
@@ -137,11 +149,11 @@ def _linked(reps: DataFrame, centroids: np.ndarray, cosine: float, reach: float)
         if guest.any():
             # A pair that both cells see is the one with the smaller number's.
             who = np.unique(b[guest])
-            _, visits = places(x[who])
+            first, _, visits = places(x[who])
             back = np.searchsorted(who, b[guest])
-            other_home, _ = places(y[np.unique(a[guest])])
+            _, other_home, _ = places(y[np.unique(a[guest])])
             theirs = other_home[np.searchsorted(np.unique(a[guest]), a[guest])]
-            drop = visits[back, theirs] & (theirs < cell)
+            drop = visits[back, theirs] & (first + theirs < cell)
             stay = np.ones(len(a), bool)
             stay[np.flatnonzero(guest)[drop]] = False
             a, b = a[stay], b[stay]

@@ -329,7 +329,8 @@ def test_vectors_as_brute_force(spark):
     base = draw.normal(size=(60, 16))
     vectors = [*base, *(base[:20] + draw.normal(size=(20, 16)) * 0.25), *(base[:10] * 3.0), *base[:5]]
     rows = [(k, [float(x) for x in v]) for k, v in enumerate(vectors)]
-    rows += [(900, None), (901, [0.0] * 16), (902, [float("nan")] + [1.0] * 15), (903, [None] + [1.0] * 15), (904, [float("inf")] + [1.0] * 15), (905, [1.0, 2.0]), (906, [])]
+    rows += [(900, None), (901, [0.0] * 16), (902, [float("nan")] + [1.0] * 15), (903, [None] + [1.0] * 15), (904, [float("inf")] + [1.0] * 15), (905, []), (906, [5.0, -1.0])]
+    rows += [(910, [1.0, 2.0]), (911, [2.0, 4.0]), (912, [2.0, 4.1]), (913, [1.0]), (914, [-1.0])]  # lengths of their own
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumns({c: F.lit("clash") for c in CLASHING})
     x = np.array([np.array(v, np.float32).astype(float) for _, v in rows[:95]])
     x /= np.linalg.norm(x, axis=1, keepdims=True)
@@ -340,10 +341,23 @@ def test_vectors_as_brute_force(spark):
     found = {r["id"]: r for r in op07_vectors.near_vectors(df).collect()}
     for k in range(len(x)):
         assert (found[k]["n_links"], found[k]["component_id"], found[k]["kept"]) == (int(links[k].sum()), label[k], label[k] == k)
-    assert all(found[k]["n_links"] == 0 and found[k]["kept"] for k in range(900, 907)) and len(found) == len(rows)
+    assert all(found[k]["n_links"] == 0 and found[k]["kept"] for k in (*range(900, 907), 913, 914)) and len(found) == len(rows)
+    assert all((found[k]["n_links"], found[k]["component_id"]) == (2, 910) for k in (910, 911, 912))
     assert op07_vectors.near_vectors(df.where("false")).count() == 0 and op07_vectors.near_vectors(df.where("vec_id >= 900 and vec_id < 905")).count() == 5
 
 
+def test_vectors_repeat_an_id(spark):
+    """Rows of one id are one vector, whatever their order, and each row gets its result."""
+    rows = [(1, [1.0, 0.0]), (2, [1.0, 0.1]), (2, [1.0, 0.1]), (3, [0.0, 1.0]), (3, [1.0, 0.0]), (None, [1.0, 0.0])]
+    both = []
+    for given in (rows, rows[::-1]):
+        found = op07_vectors.near_vectors(spark.createDataFrame(given, "vec_id long, embedding array<double>")).collect()
+        both.append(sorted((r["id"] or 0, r["n_links"], r["component_id"] or 0, r["kept"]) for r in found))
+    assert both[0] == both[1] and len(both[0]) == len(rows)
+    one = {r[0]: r for r in both[0]}
+    assert one[0] == (0, 0, 0, True) and one[1][1] == (2 if one[3][2] == 1 else 1) and one[2][2] == 1
+
+
 def test_vectors_in_many_cells_and_blocks(spark, monkeypatch):
     monkeypatch.setattr(op07_vectors, "BLOCK", 16)
     draw = np.random.default_rng(8)
@@ -381,6 +395,38 @@ def test_scores(spark, small, monkeypatch, head):
     assert score > base
 
 
+@pytest.mark.parametrize("head", [1 << 19, 300])
+def test_scores_by_hand(spark, small, monkeypatch, head):
+    """The score as the sum of log10 P(class | tokens before) P(word | class), token by token, in plain arithmetic."""
+    monkeypatch.setattr(op08_lm, "HEAD", head)
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{small}/documents.parquet").collect()]
+    df = documents(spark, rows)
+    model, rare = op08_lm.fit(df.where("doc_id % 3 > 0"))
+    counts = collections.Counter(w for i, t in rows if i % 3 > 0 for w in (t or "").encode().lower().split())
+    p, wanted = model.parameters, {}
+    own = len(p.context) - op08_lm.CLASSES + op08_lm.FREQUENT
+
+    def numbers(word):
+        if word is None:
+            return op08_lm.END, op08_lm.END
+        k = model.head.get(word, len(model.head))
+        kind = 2 + k if k < min(op08_lm.FREQUENT, len(model.head)) else op08_lm.ending_class(word)
+        return kind, op08_lm.CLASSES + k - op08_lm.FREQUENT if op08_lm.FREQUENT <= k < own and k < len(model.head) else kind
+
+    for i, t in sorted(rows, key=lambda r: len(r[1] or ""))[:: max(len(rows) // 12, 1)][:8]:
+        tokens, total = [*(t or "").encode().lower().split(), None], 0.0
+        for at, w in enumerate(tokens):
+            q = sum(p.context[numbers(tokens[at - 1 - j])[1] if at - 1 - j >= 0 else op08_lm.BEGIN] * p.position[j] for j in range(op08_lm.CONTEXT))
+            logits = p.target @ q + p.bias
+            kind = numbers(w)[0]
+            total += (logits[kind] - np.log(np.exp(logits).sum())) / math.log(10)
+            seen = model.documents if w is None else counts[w]
+            total += math.log10((seen + 1) / (model.class_tokens[kind] + model.class_words[kind] + 1))
+        wanted[i] = total
+    found = {r["id"]: r["score"] for r in op08_lm.score(df, model, rare).collect()}
+    assert {i: found[i] for i in wanted} == pytest.approx(wanted, rel=1e-4)
+
+
 def test_every_token_is_trained_on(spark, small, monkeypatch):
     kept, write = {}, op08_lm.materialize
     monkeypatch.setattr(op08_lm, "materialize", lambda df, name: kept.setdefault(name, write(df, name)))
