@@ -15,6 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lorewright import shared
 from lorewright.operators import graph
 
 TextModel = Callable[[DataFrame], DataFrame]
@@ -39,12 +40,12 @@ def batch_model(rows: DataFrame, prompt: str, complete: Callable[[list[str]], li
 def cached(rows: DataFrame, cache: DataFrame, prompt: str, complete: TextModel, model: str = "default") -> tuple[DataFrame, DataFrame]:
     """rows with raw, from the cache (hash, return, model) where it has the prompt, and the cache with the new answers (JN14, D17).
 
-    Each distinct prompt that is missing is completed once.
+    Each distinct prompt that is missing is completed once: the answers are written before either result reads them.
     """
     key = F.md5(F.concat(F.lit(model), F.lit("\x1f"), F.col(prompt)).cast("binary"))
     asked = rows.withColumn("hash", key)
     misses = asked.select("hash", prompt).distinct().join(cache.select("hash"), "hash", "left_anti")
-    made = complete(misses).select("hash", F.col("raw").alias("return"), F.lit(model).alias("model"))
+    made = shared.materialize(complete(misses).select("hash", F.col("raw").alias("return"), F.lit(model).alias("model")), "answers")
     known = cache.unionByName(made)
     return asked.join(known.select("hash", F.col("return").alias("raw")), "hash", "left").drop("hash"), known
 
@@ -83,12 +84,16 @@ def rebuild_vectors(chunks: DataFrame, nodes: DataFrame, embed=hashed_embedding)
 def glean(chunks: DataFrame, prompt: str, complete: TextModel, passes: int = 1) -> DataFrame:
     """Q9, Q10, Q18: answers of an extraction prompt and of at most `passes` more asked for what was missed; chunks without anything new stop.
 
-    chunks: chunk_id and the prompt; the result has chunk_id and all answers as one text in raw.
+    chunks: chunk_id and the prompt; the result has chunk_id and all answers as one text in raw. Each pass is written before the
+    next one reads it, so that a model is called once for each chunk and pass.
     """
-    out = complete(chunks).select("chunk_id", prompt, "raw")
+    out = shared.materialize(complete(chunks).select("chunk_id", prompt, "raw", F.lit(True).alias("open")), "gleaned")
+    had = F.coalesce("raw", F.lit(""))
     for _ in range(passes):
-        more = complete(out.withColumn(prompt, F.concat(prompt, F.lit("\n"), "raw", F.lit("\nList the entities and relationships that were missed.")))).select("chunk_id", F.col("raw").alias("more"))
-        out = out.join(more, "chunk_id", "left").withColumn("raw", F.when(F.coalesce("more", F.lit("")) == "", F.col("raw")).when(F.contains("raw", F.col("more")), F.col("raw")).otherwise(F.concat_ws("##", "raw", "more"))).drop("more")
+        asked = out.where("open").withColumn(prompt, F.concat(prompt, F.lit("\n"), had, F.lit("\nList the entities and relationships that were missed.")))
+        more = complete(asked).select("chunk_id", F.coalesce("raw", F.lit("")).alias("more"))
+        new = F.coalesce((F.col("more") != "") & ~F.contains(had, F.col("more")), F.lit(False))
+        out = shared.materialize(out.join(more, "chunk_id", "left").select("chunk_id", prompt, F.when(new, F.concat_ws("##", "raw", "more")).otherwise(F.col("raw")).alias("raw"), new.alias("open")), "gleaned")
     return out.select("chunk_id", "raw")
 
 

@@ -183,11 +183,14 @@ def answer(queries: DataFrame, hits: DataFrame, segments: DataFrame, videos: Dat
 
 
 def multiple_choice(rows: DataFrame, complete, tries: int = 3) -> DataFrame:
-    """Q12: rows (query_id, prompt) with answer and explanation of the model's JSON, asked again while it has not both; No Content where it never has."""
+    """Q12: rows (query_id, prompt) with answer and explanation of the model's JSON, asked again while it has not both; No Content where it never has.
+
+    Each try's answers are written before the next one, so that no row is asked again by a later try's plan.
+    """
     kind = "Answer string, Explanation string"
     left, done = rows, None
     for _ in range(tries):
-        parsed = complete(left).withColumn("j", F.from_json(T.located_json(F.col("raw")), kind))
+        parsed = shared.materialize(complete(left).select("query_id", F.from_json(T.located_json(F.col("raw")), kind).alias("j")), "choices")
         good = parsed.where("j.Answer is not null and j.Explanation is not null").select("query_id", F.col("j.Answer").alias("answer"), F.col("j.Explanation").alias("explanation"))
         done = good if done is None else done.unionByName(good)
         left = left.join(good.select("query_id"), "query_id", "left_anti")

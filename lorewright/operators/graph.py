@@ -6,6 +6,8 @@ description, source_id, order. Ties are decided by the ordinals, which state the
 
 from __future__ import annotations
 
+from pyspark.ml.feature import Word2Vec
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -270,12 +272,16 @@ def resolve_entities(nodes: DataFrame, edges: DataFrame, key=T.ascii_key, stripp
 def merge_into_global(current: tuple[DataFrame, DataFrame], new: tuple[DataFrame, DataFrame], manifest: DataFrame, video: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The global graph with a video's, resolved again, and the manifest with the video; unchanged if it is listed already (GR5, D13, ST6).
 
-    A video's attributes replace those of the same node; nodes are numbered anew in order.
+    A video's attributes replace those of the same node. Nodes of the graph keep their numbers (node_ord); those that only the
+    video has follow in its order, so that first-come rules hold through all videos.
     """
     if not manifest.where(F.col("video_name") == video).isEmpty():
         return (*current, manifest)
     nodes = compose(current[0].select("id", "entity_type", "description", "source_id"), new[0].select("id", "entity_type", "description", "source_id"), ["id"])
-    nodes = nodes.withColumn("node_ord", F.xxhash64("id"))
+    start = current[0].agg(F.max("node_ord").alias("n")).first()["n"]
+    least = new[0].agg(F.min("node_ord").alias("n")).first()["n"]
+    orders = current[0].select("id", "node_ord").union(new[0].select("id", F.col("node_ord") + F.lit((-1 if start is None else start) + 1 - (least or 0))))
+    nodes = nodes.join(orders.groupBy("id").agg(F.min("node_ord").alias("node_ord")), "id")
     edges = compose(current[1], new[1], ["src", "dst"])
     listed = manifest.select("video_name").union(manifest.sparkSession.createDataFrame([(video,)], "video_name string")).distinct()
     return (*resolve_entities(nodes, edges), listed)
@@ -302,6 +308,15 @@ def random_walks(nodes: DataFrame, edges: DataFrame, length: int = 6, walks: int
     return at.select("start", "walk", "path")
 
 
+def node_vectors(walks: DataFrame, size: int = 32, window: int = 3, seed: int = 7) -> DataFrame:
+    """id and vector of every node on the walks, by skip-grams over their paths (GR10).
+
+    The driver holds the vectors while they are fitted: nodes times size floats, some 13 GB for 100 million nodes of 32.
+    """
+    fitted = Word2Vec(vectorSize=size, windowSize=window, minCount=1, maxIter=1, seed=seed, inputCol="path", outputCol="mean").fit(walks)
+    return fitted.getVectors().select(F.col("word").alias("id"), vector_to_array("vector", "float32").alias("vector"))
+
+
 def snapshot(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """A chunk's graph as lines of a prompt; None where it is empty (TX44). nodes: chunk_id, ord, entity_name, entity_type, description."""
     lines = nodes.groupBy("chunk_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", F.concat(F.lit('- "'), "entity_name", F.lit('" ('), "entity_type", F.lit("): "), "description").alias("l")))), lambda x: x["l"]), "\n").alias("entities"))

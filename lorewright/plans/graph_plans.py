@@ -293,15 +293,45 @@ def gr10_walks(spark, sf):
     return graph.random_walks(nodes, edges)
 
 
+@query("gr10_embedding")
+def gr10_embedding(spark, sf):
+    nodes, edges = graph_tables(spark, sf)
+    return graph.node_vectors(graph.random_walks(nodes, edges))
+
+
+#: The graph has the even names, the video the odd ones, which are numbered after them.
+MERGED_SQL = NAMES_SQL.replace("\nn AS (", "\nn0 AS (").replace(
+    "\nkeys AS",
+    "\nn AS (SELECT id, CASE WHEN k % 2 = 0 THEN k ELSE k + 1 + (SELECT max(k) FROM n0 WHERE k % 2 = 0) - (SELECT min(k) FROM n0 WHERE k % 2 = 1) END AS k, t, d, s FROM n0),\nkeys AS",
+)
+
+
 @query(
     "gr5_global_merge",
-    "SELECT 'seen' AS video_name UNION ALL SELECT 'new'",
+    f"""WITH RECURSIVE {MERGED_SQL}, m AS (SELECT component, n.*, trim(id) AS bare FROM n JOIN comp USING (k)),
+rep AS (SELECT component, id AS rep FROM m QUALIFY row_number() OVER (PARTITION BY component ORDER BY CASE WHEN t <> 'UNKNOWN' THEN 1 ELSE 0 END DESC, CASE WHEN bare = id THEN 1 ELSE 0 END DESC, length(bare), length(id), k) = 1),
+f AS (SELECT component, 't' AS c, t AS v, min(k) AS p FROM m GROUP BY 1, 3 UNION ALL SELECT component, 'd', d, min(k) FROM m GROUP BY 1, 3 UNION ALL SELECT component, 's', s, min(k) FROM m GROUP BY 1, 3),
+nodes AS (SELECT rep AS id, component AS node_ord, string_agg(v, '<SEP>' ORDER BY p) FILTER (c = 't') AS entity_type, string_agg(v, '<SEP>' ORDER BY p) FILTER (c = 'd') AS description, string_agg(v, '<SEP>' ORDER BY p) FILTER (c = 's') AS source_id FROM f JOIN rep USING (component) GROUP BY 1, 2),
+reps AS (SELECT m.id, rep FROM m JOIN rep USING (component))
+SELECT 'node' AS part, id, node_ord, entity_type, description, source_id FROM nodes
+UNION ALL SELECT 'edge', x.rep, -1, y.rep, 'w1.0', NULL FROM n a JOIN n b ON b.s = a.s AND b.k = a.k + 6 JOIN reps x ON x.id = a.id JOIN reps y ON y.id = b.id WHERE x.rep <> y.rep
+UNION ALL SELECT 'manifest', v, -1, NULL, NULL, NULL FROM (SELECT unnest(['seen', 'new']) AS v)""",
 )
 def gr5_global_merge(spark, sf):
-    nodes = _names(spark, sf)
-    none = spark.createDataFrame([], "src string, dst string, weight double")
+    names = _names(spark, sf)
+    even = F.col("node_ord") % 2 == 0
     manifest = spark.createDataFrame([("seen",)], "video_name string")
-    return graph.merge_into_global((nodes, none), (nodes, none), manifest, "new")[2]
+
+    def part(nodes):
+        """A graph whose edges go from a node to the one six numbers on, where that has the same source."""
+        after = nodes.select(F.col("id").alias("dst"), (F.col("node_ord") - 6).alias("node_ord"), "source_id")
+        return nodes, nodes.select(F.col("id").alias("src"), "node_ord", "source_id").join(after, ["node_ord", "source_id"]).select("src", "dst", F.lit(1.0).alias("weight"))
+
+    nodes, edges, listed = graph.merge_into_global(part(names.where(even)), part(names.where(~even)), manifest, "new")
+    null, no = F.lit(None).cast("string"), F.lit(-1).cast("long")
+    rows = nodes.select(F.lit("node").alias("part"), "id", "node_ord", "entity_type", "description", "source_id")
+    rows = rows.union(edges.select(F.lit("edge"), "src", no, "dst", F.concat(F.lit("w"), F.col("weight").cast("string")), null))
+    return rows.union(listed.select(F.lit("manifest"), "video_name", no, null, null, null))
 
 
 @query(

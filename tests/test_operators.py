@@ -1,5 +1,6 @@
 """Golden rows of the operators' quirks, by hand."""
 
+import math
 import random
 
 import pytest
@@ -284,6 +285,50 @@ def test_cache_completes_each_prompt_once(spark):
     assert known.count() == 2
 
 
+def test_gleaning_stops_and_asks_once(spark):
+    """A chunk is asked again only while it gave something new; a model that answers differently each time is read once."""
+    turns = []
+
+    def complete(rows):
+        turns.append(sorted(r["chunk_id"] for r in rows.collect()))
+        draw = F.concat(F.lit(f"t{len(turns)}."), F.rand().cast("string"))
+        return rows.withColumn("raw", F.when((F.col("chunk_id") == "a") & F.lit(len(turns) > 1), "").otherwise(draw))
+
+    out = hooks.glean(spark.createDataFrame([("a", "p"), ("b", "p")], "chunk_id string, p string"), "p", complete, 2)
+    first, again = ({r["chunk_id"]: r["raw"] for r in out.collect()} for _ in range(2))
+    assert first == again and turns == [["a", "b"], ["a", "b"], ["b"]]
+    assert [x[:2] for x in first["a"].split("##")] == ["t1"] and [x[:2] for x in first["b"].split("##")] == ["t1", "t2", "t3"]
+
+
+def test_cached_answers_are_those_returned(spark):
+    rows = spark.createDataFrame([("x",), ("y",)], "p string")
+    out, known = hooks.cached(rows, spark.createDataFrame([], "hash string, return string, model string"), "p", lambda r: r.withColumn("raw", F.rand().cast("string")))
+    assert {r["raw"] for r in out.collect()} == {r["return"] for r in known.collect()}
+
+
+def test_merged_graph_numbers_in_order(spark):
+    """Nodes of the graph come before a video's, whose attributes replace theirs; a listed video changes nothing."""
+    kind = "id string, node_ord long, entity_type string, description string, source_id string"
+    none = spark.createDataFrame([], "src string, dst string, weight double")
+    old = spark.createDataFrame([("fox", 3, "GEO", "old", "c1"), ("hen", 7, "GEO", "h", "c1")], kind)
+    new = spark.createDataFrame([("FOX", 5, "GEO", "new", "c2"), ("hen", 4, "GEO", "replaced", "c3"), ("owl", 9, "GEO", "o", "c2")], kind)
+    listed = spark.createDataFrame([("v1",)], "video_name string")
+    nodes, _, videos = graph.merge_into_global((old, none), (new, none), listed, "v2")
+    assert {r["id"]: (r["node_ord"], r["description"]) for r in nodes.collect()} == {"fox": (3, "old<SEP>new"), "hen": (7, "replaced"), "owl": (13, "o")}
+    assert sorted(r[0] for r in videos.collect()) == ["v1", "v2"]
+    assert graph.merge_into_global((old, none), (new, none), listed, "v1")[0] is old
+
+
+def test_node_vectors(spark):
+    """Each node of the walks has a vector of the size asked for, and nodes that walks never join are less alike than neighbours."""
+    rings = [(f"{r}{k}", f"{r}{(k + 1) % 8}") for r in "ab" for k in range(8)]
+    nodes = spark.createDataFrame([(s,) for s, _ in rings], "id string")
+    walks = graph.random_walks(nodes, spark.createDataFrame(rings, "src string, dst string"), length=8, walks=10)
+    found = {r["id"]: r["vector"] for r in graph.node_vectors(walks, 8).collect()}
+    assert set(found) == {s for s, _ in rings} and {len(v) for v in found.values()} == {8}
+    assert all(math.isfinite(x) for v in found.values() for x in v)
+
+
 def test_multiple_choice_asks_again(spark):
     turns = []
 
