@@ -80,7 +80,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
         of = classes.join(links, F.col("rep") == F.col("id"), "left").drop("id").join(joined, F.col("rep") == F.col("node"), "left")
         of = materialize(of.select("hi", "lo", "rep", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("component", "rep").alias("component")), "vector-links")
         found = ids.join(of, ["hi", "lo"]).select("id", "links", "component")
-    rows =vectors.select(vectors[id_col].cast("long").alias("id"))
+    rows = vectors.select(vectors[id_col].cast("long").alias("id"))
     out = rows.join(found.select(F.col("id").alias("of"), "links", "component"), F.col("id") == F.col("of"), "left")
     out = out.select("id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)))
