@@ -9,7 +9,7 @@ are met in the order of their ids, and a row that only ties is never better, tie
 best k per query, and the shards' lists are merged.
 
 All products are integers: in float64 where every sum stays below 2^53 by the bounds, which is exact, else in Python's
-integers, and scores beyond 64 bits are given as the nearest there. Shards have SHARD rows and query blocks QUERIES, and
+integers; scores beyond 64 bits become the nearest there and aren't told apart. Shards have SHARD rows and query blocks QUERIES, and
 each of their combinations is a task's group; queries are a stated set, and every row is met in blocks.
 
 Vectors that are null, or hold null or non-finite components, take no part, neither do those without id. Missing components

@@ -20,6 +20,9 @@ SCHEMAS = {
     "op8_lm": {"doc_id": "bigint", "held_out": "boolean", "n_tokens": "bigint", "n_known": "bigint", "train_tokens": "bigint", "base_score": "double", "score": "double"},
     "op9_bpe": {"doc_id": "bigint", "n_tokens": "bigint", "ids_sha256": "string", "decoded_sha256": "string"},
     "op10_substrings": {"doc_id": "bigint", "n_words": "bigint", "n_removed": "bigint", "kept_sha256": "string"},
+    "op11_divergence": {"lang": "string", "source": "string", "part": "string", "item": "string", "value": "bigint", "rank": "int"},
+    "op12_conversations": {"conv_id": "bigint", "gaps": "bigint", "blank": "bigint", "duplicate": "bigint", "truncated": "bigint", "illegal": "bigint", "cost": "bigint", "audit": "string", "repaired_sha256": "string"},
+    "op13_maxscore": {"query_id": "bigint", "rank": "int", "vec_id": "bigint", "score": "bigint"},
 }
 
 
@@ -33,8 +36,12 @@ def test_contract(spark, small, name):
     found = queries.QUERIES[name](spark, small)
     kinds = dict(found.dtypes)
     assert {c: kinds.get(c) for c in SCHEMAS[name]} == SCHEMAS[name]
-    key = "vec_id" if "vec_id" in kinds else "doc_id"
-    table = spark.read.parquet(f"{small}/{'embeddings' if key == 'vec_id' else 'documents'}.parquet")
+    key = next(k for k in ("query_id", "vec_id", "conv_id", "doc_id", "lang") if k in kinds)
+    table = spark.read.parquet(f"{small}/{ {'query_id': 'embeddings', 'vec_id': 'embeddings', 'conv_id': 'conversations'}.get(key, 'documents')}.parquet")
+    if key == "query_id":
+        table = table.where("vec_id % 50 = 0")
+    if key in ("conv_id", "lang"):
+        table = table.select(key).distinct()
     assert found.select(key).distinct().count() == table.count()
 
 
