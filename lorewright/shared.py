@@ -144,11 +144,11 @@ def checked_lists(rows: DataFrame, column: str, per_row: int = 4) -> DataFrame:
     return F.broadcast(rows) if found["n"] <= BROADCAST_KEYS and found["elements"] <= per_row * BROADCAST_KEYS else rows
 
 
-def semi_join(rows: DataFrame, keys: DataFrame, on: str) -> DataFrame:
+def semi_join(rows: DataFrame, keys: DataFrame, on: str | list[str]) -> DataFrame:
     """Rows whose key is among keys; broadcasts keys only if their counted number is within BROADCAST_KEYS."""
     return rows.join(checked(materialize(keys.select(on).distinct(), "keys")), on, "left_semi")
 
 
-def anti_join(rows: DataFrame, keys: DataFrame, on: str) -> DataFrame:
+def anti_join(rows: DataFrame, keys: DataFrame, on: str | list[str]) -> DataFrame:
     """Rows whose key isn't among keys; broadcasts keys only if their counted number is within BROADCAST_KEYS."""
     return rows.join(checked(materialize(keys.select(on).distinct(), "keys")), on, "left_anti")
