@@ -8,7 +8,8 @@ most, so the work is linear in the word for a vocabulary of bounded token length
 only saves work).
 
 Null texts count as empty: no ids, and an empty decoded text. Whole texts of any length are encoded, a few megabytes at a
-time. Other columns are ignored, whatever their names; repeated rows give repeated results; an empty table gives no rows.
+time. Case, normal form and classes of characters are those of the file's normalizer and pattern in the tokenizers library,
+whatever Unicode version Python has. Other columns are ignored, whatever their names; repeated rows give repeated results; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -35,6 +36,10 @@ PAIRS = 400_000
 SYMBOLS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
+#: Characters before this one (Latin letters) have had one class, case and normal form in all versions of Unicode in use.
+OLDEST = "\u0250"
+
+
 def byte_letters() -> list[str]:
     """The printable character that stands for each byte in byte-level vocabularies."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -52,6 +57,7 @@ class BacktrackingBpe:
     def __init__(self, path: str):
         import ahocorasick
         import regex
+        from tokenizers import Regex, Tokenizer, pre_tokenizers
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -86,7 +92,10 @@ class BacktrackingBpe:
         for s in self.ids:
             self.automaton.add_word(s, s)
         self.automaton.make_automaton()
-        self.pattern = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+        pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        self.pattern = regex.compile(pattern)
+        # The file's own rules for characters, for words with any that Unicode versions treat differently.
+        self.normalizer, self.cutter = Tokenizer.from_file(path).normalizer, pre_tokenizers.Split(Regex(pattern), "removed", invert=True)
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.split_space = regex.compile(f"[{SPACES}]+")
         self.pairs: dict[tuple[str, str], bool] = {}
@@ -155,10 +164,17 @@ class BacktrackingBpe:
                 i = self.special[part]
                 out.append(((i,), b" %d" % i, b" " + self.decode([i]).encode()))
             elif part:
-                plain = part if part.isascii() else unicodedata.normalize("NFC", part).replace("Σ", "σ")
-                out.extend(map(self.rendered, self.pattern.findall(plain.lower())))
+                out.extend(map(self.rendered, self.cut(part)))
         return out
 
+    def cut(self, part: str) -> list[str]:
+        """The normal form's pieces. Below OLDEST all Unicode versions agree; beyond it the file's normalizer and pattern are asked, not Python's tables."""
+        if part.isascii():
+            return self.pattern.findall(part.lower())
+        if max(part) < OLDEST:
+            return self.pattern.findall(unicodedata.normalize("NFC", part).lower())
+        return [piece for piece, _ in self.cutter.pre_tokenize_str(self.normalizer.normalize_str(part))]
+
     def split(self, text: str) -> list[str]:
         if any(c in text for c in NO_SPACES):
             return [w for w in self.split_space.split(text) if w]
