@@ -14,7 +14,9 @@ character within one insertion. No pairs are listed: in a bucket each line is co
 lines only, by one levenshtein() per line at the end.
 
 Null and empty texts have no lines to remove. Rows with a null id are left as they are and remove nothing. Rows that
-repeat an id count as one document; a line is kept in all of them if it is kept in one. Other columns are ignored.
+repeat an id and its text count as one document; where texts of one id differ, each is a document of its own, in the order
+of a hash of the texts. Lines of any length are compared whole. An empty table gives no rows. Other columns are ignored,
+whatever their names, but for lw_lines and lw_removed, which the result adds.
 """
 
 from __future__ import annotations
@@ -38,9 +40,14 @@ def _key(n: Column, r: Column, start: Column, width: Column, *more: Column) -> C
     return F.xxhash64(r, start, width, *more, F.substr("wide", F.lit(1), 4 * start), F.substr("wide", 4 * (n - after) + 1, 4 * after))
 
 
+def _texts(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id (the document: the row's id, and a hash of its text) and text."""
+    return documents.select(F.struct(documents[id_col].cast("long").alias("id"), F.xxhash64(documents[text_col]).alias("t")).alias("id"), documents[text_col].alias("text")).where("id.id is not null")
+
+
 def line_variants(documents: DataFrame, id_col: str, text_col: str, min_fuzzy: int) -> DataFrame:
     """Per line that isn't blank: id, no, n (characters), h1 and h2 (its two hashes), keys (those of BLOCKS blocks for R = n, then R = n - 1)."""
-    rows = documents.select(documents[id_col].cast("long").alias("id"), documents[text_col].alias("text")).where("id is not null")
+    rows = _texts(documents, id_col, text_col)
     lines = rows.select("id", F.posexplode(F.split("text", "\n", -1)).alias("no", "line")).where(F.col("line").rlike(r"\S"))
     lines = lines.withColumns({"n": F.length("line"), "wide": _wide("line")})
     keys = []
@@ -64,8 +71,7 @@ def removed_near(documents: DataFrame, variants: DataFrame, id_col: str, text_co
     found = keyed.join(coarse, "key", "left_semi").groupBy("h1", "h2", "n", "at").agg(F.min(F.struct("id", "no")).alias("pos"))
     found = materialize(found.select("h1", "h2", "n", "at", F.col("pos.id").alias("id"), F.col("pos.no").alias("no")), "line-found")
     places = materialize(found.select("id", "no").distinct(), "line-places")
-    rows = documents.select(documents[id_col].cast("long").alias("id"), documents[text_col].alias("text"))
-    lines = semi_join(rows, places, "id").select("id", F.posexplode(F.split("text", "\n", -1)).alias("no", "line"))
+    lines = semi_join(_texts(documents, id_col, text_col), places, "id").select("id", F.posexplode(F.split("text", "\n", -1)).alias("no", "line"))
     lines = lines.join(places, ["id", "no"], "left_semi").dropDuplicates(["id", "no"])
     # From here on only lines that share three quarters with another.
     r = F.col("n") - (F.col("at") >= BLOCKS).cast("int")
@@ -103,18 +109,18 @@ def dedup_lines(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
     kept = firsts.join(removed, ["h1", "h2"], "left_anti").groupBy(F.col("pos.id").alias("id")).agg(F.array_sort(F.collect_list("pos.no")).alias("kept"))
     had = variants.groupBy("id").agg(F.size(F.collect_set("no")).alias("n"))
     short = had.join(kept, "id", "left").withColumn("kept", F.coalesce("kept", F.array().cast("array<int>"))).where(F.size("kept") < F.col("n"))
-    short = materialize(short.select(F.col("id").alias("lw_id"), F.col("n").alias("lw_n"), F.col("kept").alias("lw_kept")), "line-kept")
-    rows = documents.withColumn("lw_id", documents[id_col].cast("long"))
-    keys = short.select("lw_id")
+    short = materialize(short.select(F.col("id.id").alias("lw_id"), F.col("id.t").alias("lw_t"), F.col("n").alias("lw_n"), F.col("kept").alias("lw_kept")), "line-kept")
+    on = ["lw_id", "lw_t"]
+    rows = documents.withColumns({"lw_id": documents[id_col].cast("long"), "lw_t": F.xxhash64(documents[text_col])})
     lines = F.split(text_col, "\n", -1)
     blank = lambda x: ~x.rlike(r"\S")
     counted = F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(F.size(F.filter(lines, lambda x: ~blank(x)))).cast("long")
-    rest = anti_join(rows, keys, "lw_id").withColumns({"lw_lines": counted, "lw_removed": F.lit(0).cast("long")})
+    rest = anti_join(rows, short, on).withColumns({"lw_lines": counted, "lw_removed": F.lit(0).cast("long")})
     # For each kept number the false values before it and itself; so a line's flag is found by its index.
     before = lambda k: F.when(k > 0, F.get("lw_kept", k - 1)).otherwise(F.lit(-1))
     flags = F.flatten(F.transform("lw_kept", lambda x, k: F.concat(F.array_repeat(F.lit(False), x - before(k) - 1), F.array(F.lit(True)))))
-    cut = rows.join(checked_lists(short, "lw_kept"), "lw_id").withColumn("lw_flags", flags)
+    cut = rows.join(checked_lists(short, "lw_kept"), on).withColumn("lw_flags", flags)
     cut = cut.withColumns({"lw_lines": counted, text_col: F.array_join(F.filter(lines, lambda x, k: blank(x) | F.coalesce(F.get("lw_flags", k), F.lit(False))), "\n")})
     left = F.size(F.filter(lines, lambda x: ~blank(x)))
     cut = cut.withColumn("lw_removed", F.col("lw_lines") - left)
-    return cut.drop("lw_n", "lw_kept", "lw_flags", "lw_id").unionByName(rest.drop("lw_id"))
+    return cut.drop("lw_n", "lw_kept", "lw_flags", *on).unionByName(rest.drop(*on))
