@@ -18,8 +18,8 @@ and changes nothing. Two different windows get one pair of names with a chance o
 
 Exact copies of a text (by two 64-bit hashes) skip all this: every window of theirs starts earlier in the first copy.
 
-Null texts count as empty. Rows that repeat an id and its text get the same result; where texts of one id differ, the list
-of starts that sorts first holds for all of them. Rows with a null id are left as they are. Texts shorter than a window lose
+Null texts count as empty. Rows that repeat an id and its text get the same result; where texts of one id differ, each is a
+document of its own, in the order of its hashes. Rows with a null id are left as they are. Texts shorter than a window lose
 nothing; very long ones are handled whole. Other columns are ignored, whatever their names. An empty table gives no rows.
 """
 
@@ -42,6 +42,8 @@ WINDOW = 20
 FIRST, LAST, SPAN = 3, 17, 6
 #: Repeated names up to this number are told by a bitmap of 16 to 32 bits for each (16 MB at most); beyond it by a join.
 BITMAP_KEYS, BITMAP_BITS = 4_000_000, 27
+#: A document: its id, and two hashes of its text.
+KEY = "struct<id:bigint,d1:bigint,d2:bigint>"
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
@@ -138,7 +140,7 @@ def names(texts: DataFrame) -> DataFrame:
             rows, n = doc[begin[at]], batch.num_rows
             yield pa.record_batch([batch.column(0), lists(all_names[at].view(np.int64), rows, n), lists((begin[at] - first[rows]).astype(np.int32), rows, n)], ["id", "names", "places"])
 
-    return texts.mapInArrow(run, "id bigint, names array<bigint>, places array<int>")
+    return texts.mapInArrow(run, f"id {KEY}, names array<bigint>, places array<int>")
 
 
 def candidates(texts: DataFrame, bitmap: np.ndarray | None) -> DataFrame:
@@ -167,15 +169,20 @@ def candidates(texts: DataFrame, bitmap: np.ndarray | None) -> DataFrame:
             ids = batch.column(0).take(pa.array(some))
             yield pa.record_batch([ids, lists((s - first[rows]).astype(np.int32), back, len(some)), *(lists(h.view(np.int64), back, len(some)) for h in found)], ["id", "starts", "h1", "h2"])
 
-    return texts.mapInArrow(run, "id bigint, starts array<int>, h1 array<bigint>, h2 array<bigint>")
+    return texts.mapInArrow(run, f"id {KEY}, starts array<int>, h1 array<bigint>, h2 array<bigint>")
+
+
+def key(document_id, text):
+    return F.struct(document_id.cast("long").alias("id"), F.xxhash64(text).alias("d1"), F.xxhash64(F.lit(1), text).alias("d2"))
 
 
 def repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document that loses words: id, whole (an exact copy of an earlier one), starts (windows that start earlier elsewhere)."""
-    texts = documents.select(documents[id_col].cast("long").alias("id"), documents[text_col].alias("text")).where("id is not null")
-    digests = materialize(texts.where(F.length("text") >= 2 * WINDOW - 1).select("id", F.xxhash64("text").alias("d1"), F.xxhash64(F.lit(1), "text").alias("d2")), "digests")
+    """Per document that loses words: id (its key), whole (an exact copy of an earlier one), starts (windows that start earlier elsewhere)."""
+    texts = documents.select(key(documents[id_col], documents[text_col]).alias("id"), documents[text_col].alias("text")).where("id.id is not null")
+    digests = materialize(texts.where(F.length("text") >= 2 * WINDOW - 1).select("id.*"), "digests")
     earliest = materialize(digests.groupBy("d1", "d2").agg(F.min("id").alias("least")), "earliest")
-    copies = materialize(digests.join(earliest, ["d1", "d2"]).where("id <> least").select("id").distinct(), "copies")
+    copies = digests.join(earliest, ["d1", "d2"]).where("id <> least").select(F.struct("id", "d1", "d2").alias("id"))
+    copies = materialize(copies.distinct(), "copies")
     rest = anti_join(texts, copies, "id").select("id", "text")
 
     named = names(rest)
@@ -222,7 +229,7 @@ def _with_repeats(documents: DataFrame, id_col: str, text_col: str) -> DataFrame
     """All columns of documents, lw_whole and lw_starts. Only documents that lose words take part in a join by text."""
     gone = materialize(repeats(documents, id_col, text_col), "gone")
     keys = gone.select(F.col("id").alias("lw_id"))
-    rows = documents.withColumn("lw_id", documents[id_col].cast("long"))
+    rows = documents.withColumn("lw_id", key(documents[id_col], documents[text_col]))
     touched = semi_join(rows, keys, "lw_id").join(gone.select(F.col("id").alias("lw_id"), F.col("whole").alias("lw_whole"), F.col("starts").alias("lw_starts")), "lw_id")
     rest = anti_join(rows, keys, "lw_id").withColumns({"lw_whole": F.lit(False), "lw_starts": F.array().cast("array<int>")})
     return touched.unionByName(rest).drop("lw_id")
