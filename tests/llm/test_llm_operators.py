@@ -113,6 +113,9 @@ def test_lines_edges(spark, edge):
 def test_lines_repeat_an_id(spark):
     found = op02_lines.dedup_lines(documents(spark, [(1, "a line of text"), (1, "a line of text"), (2, "a line of text")])).collect()
     assert sorted((r["doc_id"], r["text"]) for r in found) == [(1, "a line of text"), (1, "a line of text"), (2, "")]
+    # Texts of one id that differ are documents of their own: the near line goes, the other stays.
+    found = op02_lines.dedup_lines(documents(spark, [(1, "a line of text A"), (2, "something else"), (2, "a line of text B")])).collect()
+    assert sorted((r["doc_id"], r["text"], r["lw_removed"]) for r in found) == [(1, "a line of text A", 0), (2, "", 1), (2, "something else", 0)]
 
 
 # 3 packing ---------------------------------------------------------------------------------------------------------
@@ -472,6 +475,20 @@ def test_bpe_as_the_library(spark, edge):
     assert op09_bpe.bpe_digests(df.where("false"), TOKENIZER).count() == 0
 
 
+def test_bpe_on_every_character():
+    """Each code point below U+20000 between letters, and rows of random ones, as the library whatever Python's Unicode version."""
+    import pyarrow as pa
+
+    bpe = op09_bpe.BacktrackingBpe(TOKENIZER)
+    draw = random.Random(90)
+    points = [chr(c) for c in range(1, 0x20000) if not 0xD800 <= c < 0xE000]
+    texts = [f"a{c}b" for c in points] + ["".join(draw.choice(points) if draw.random() < 0.3 else draw.choice("ab Zé'9.Σ") for _ in range(draw.randint(1, 12))) for _ in range(4000)]
+    wanted = [e.ids for e in LIBRARY.encode_batch(texts, add_special_tokens=False)]
+    assert [t for t, ids in zip(texts, wanted, strict=True) if bpe.encode(t) != ids] == []
+    _, rendered, _ = bpe.round_trips(pa.array(texts))
+    assert rendered == [" ".join(map(str, ids)).encode() for ids in wanted]
+
+
 # 10 substrings -----------------------------------------------------------------------------------------------------
 
 
@@ -515,3 +532,12 @@ def test_substrings_edges(spark, edge):
     texts = {r["doc_id"]: (r["text"], r["lw_removed"]) for r in op10_substrings.cut(documents(spark, [*rows, (None, passage)])).collect()}
     assert texts[50] == (rows[-4][1], 0) and texts[51] == ("other\ttail", 60) and texts[53] == ("", 62) and texts[None] == (passage, 0) and texts[1] == (None, 0)
     assert op10_substrings.cut_digests(documents(spark, rows).where("false")).count() == 0
+
+
+def test_substrings_repeat_an_id(spark):
+    """Texts of one id that differ: the copy of an earlier document goes, the text that stands nowhere else stays."""
+    p, q = (" ".join(f"{c}{k}" for k in range(60)) for c in "pq")
+    rows = [(1, p), (2, q), (2, p), (3, f"{q} end")]
+    found = sorted((r["id"], r["n_words"], r["n_removed"]) for r in op10_substrings.cut_digests(documents(spark, rows)).collect())
+    assert found == [(1, 60, 0), (2, 60, 0), (2, 60, 60), (3, 61, 60)]
+    assert sorted((r["doc_id"], r["text"]) for r in op10_substrings.cut(documents(spark, rows)).collect()) == [(1, p), (2, ""), (2, q), (3, "end")]
