@@ -35,7 +35,7 @@ SCALE = 1_000_000_000
 #: What stands between terms.
 BETWEEN = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
 #: Rows of counts that a worker gathers before it hands them on, and rows and bytes of counts in a chunk.
-HELD, ROWS, BYTES = 1_000_000, 65_536, 16 << 20
+HELD, ROWS, BYTES = 300_000, 65_536, 16 << 20
 #: Sources in a block.
 BLOCK = 64
 
