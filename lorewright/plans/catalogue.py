@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lorewright.plans import graph_plans, more_plans, retrieval_plans, text_plans  # noqa: F401
+from lorewright.plans import graph_plans, index_plans, more_plans, retrieval_plans, text_plans  # noqa: F401
 from lorewright.plans.base import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES", "flagship"]
