@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lorewright.plans.base import near_queries, query, table
+from lorewright.operators import communities
+from lorewright.plans.base import graph_tables, near_queries, query, table
 from lorewright.plans.more_plans import _place
 from lorewright.sources.vector_index import VectorIndex
 
@@ -18,3 +19,15 @@ def src6_index(spark, sf):
     VectorIndex.open(spark, path).insert(rows.where("id % 2 = 1"))
     found = VectorIndex.open(spark, path).search(near_queries(spark, sf), 10)
     return found.select("query_id", "rank", "id", "label", F.round("score", 5).alias("score"))
+
+
+@query("gr9_leiden")
+def gr9_leiden(spark, sf):
+    """Levels of communities among suppliers, customers, their nations and regions."""
+    nodes, edges = graph_tables(spark, sf)
+    c, n, r = (table(spark, sf, t) for t in ("customer", "nation", "region"))
+    people = c.join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_name").alias("src"), F.col("n_name").alias("dst"), F.lit(1.0).alias("weight"))
+    areas = n.join(F.broadcast(r), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_name").alias("src"), F.concat(F.lit("in "), "r_name").alias("dst"), F.lit(5.0).alias("weight"))
+    far = lambda k, by: (F.col(k) + F.lit(by)).cast("long").alias("node_ord")
+    nodes = nodes.select("id", "node_ord").union(c.select("c_name", far("c_custkey", 2_000_000_000_000))).union(r.select(F.concat(F.lit("in "), "r_name"), far("r_regionkey", 3_000_000_000_000)))
+    return communities.hierarchy(nodes, edges.select("src", "dst", "weight").union(people).union(areas))
