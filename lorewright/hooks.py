@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from lorewright import shared
 from lorewright.operators import graph
+from lorewright.sources.log import LoggedTable
 
 TextModel = Callable[[DataFrame], DataFrame]
 
@@ -105,3 +106,60 @@ def arrow_files(paths: DataFrame, embed: Callable[[bytes], list[float]]) -> Data
             yield pa.record_batch([b.column(0), pa.array([embed(x.as_py()) for x in b.column(1)], pa.list_(pa.float32()))], ["path", "vector"])
 
     return paths.select("path", "content").mapInArrow(run, "path string, vector array<float>")
+
+
+def attempt_rows(rows: DataFrame, prompt: str, complete: Callable[[list[str]], list[str]]) -> DataFrame:
+    """rows with raw and error: a batch that fails is tried in halves until the failing rows stand alone; theirs is the error's text (S5)."""
+
+    def tried(prompts: list[str]) -> list[tuple[str | None, str | None]]:
+        try:
+            answers = list(complete(prompts))
+            if len(answers) != len(prompts):
+                raise ValueError(f"{len(answers)} answers to {len(prompts)} prompts")
+            return [(a, None) for a in answers]
+        except Exception as e:  # whatever a model raises is the row's
+            if len(prompts) == 1:
+                return [(None, f"{type(e).__name__}: {e}")]
+            half = len(prompts) // 2
+            return tried(prompts[:half]) + tried(prompts[half:])
+
+    @F.pandas_udf("raw string, error string")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame(tried(list(b)) if len(b) else [], columns=["raw", "error"])
+
+    return rows.withColumn("lw_tried", run(prompt)).select(*rows.columns, "lw_tried.raw", "lw_tried.error")
+
+
+class FailedRows(RuntimeError):
+    """Rows failed where the policy is to stop."""
+
+
+def run_with_status(rows: DataFrame, key: str, prompt: str, complete: Callable[[list[str]], list[str]], status: LoggedTable, retries: int = 1, continue_on_error: bool = True) -> DataFrame:
+    """One pass over the rows that are neither done nor out of retries; the status table after it (S5).
+
+    status holds for each attempt key, attempt, state (done or failed), raw and error; a pass is one commit of it. With
+    continue_on_error off, a pass in which rows failed raises after its commit, so that what was done stays done.
+    """
+    past = status.read()
+    due = rows.withColumn("attempt", F.lit(1))
+    if past is not None:
+        state = past.groupBy(key).agg(F.max("attempt").alias("tried"), F.bool_or(F.col("state") == "done").alias("over"))
+        due = rows.join(state, key, "left").where(~F.coalesce("over", F.lit(False)) & (F.coalesce("tried", F.lit(0)) <= retries))
+        due = due.withColumn("attempt", F.coalesce("tried", F.lit(0)) + 1).drop("tried", "over")
+    made = attempt_rows(due.select(key, prompt, "attempt"), prompt, complete)
+    made = made.select(key, "attempt", F.when(F.col("error").isNull(), "done").otherwise("failed").alias("state"), "raw", "error")
+    number = max(status.log(), default=-1) + 1
+    status.append(made, number, key)
+    found = status.read()
+    if not continue_on_error:
+        failed = status.spark.read.parquet(f"{status.path}/{status.log()[number]}/rows").where("state = 'failed'").count()
+        if failed:
+            raise FailedRows(f"{failed} rows failed")
+    return found
+
+
+def outcome(status: DataFrame, key: str) -> DataFrame:
+    """key, state, attempts, raw and error of each row's last attempt."""
+    last = status.groupBy(key).agg(F.max_by(F.struct("state", "attempt", "raw", "error"), "attempt").alias("x"))
+    return last.select(key, "x.state", F.col("x.attempt").alias("attempts"), "x.raw", "x.error")

@@ -9,18 +9,50 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from lorewright import shared
 from lorewright.functions import text as T
 
 
+#: Values around a rank that are sorted at last; places of the summary that narrows them down, and its accuracy.
+FEW, GRID, ACCURACY = 10_000, 256, 20_000
+
+
 def percentile(values: DataFrame, key: list[str], column: str, q: float, out: str) -> DataFrame:
     """The value at rank round(q (n - 1)), halves to even, of each key's values in order; not interpolated (AG15).
 
-    Ranks come from a window and the row at the rank is kept, so that a key's values need not fit one row.
+    Selection by rounds: a mergeable summary of the values in a key's range gives a narrower range, whose values and those
+    below it are counted, until FEW are left around the rank or all of them are equal. Only these are sorted.
     """
-    w = Window.partitionBy(*key)
-    rows = values.where(F.col(column).isNotNull())
-    rows = rows.withColumns({"lw_rank": F.row_number().over(w.orderBy(column)) - 1, "lw_n": F.count("*").over(w)})
-    return rows.where(F.col("lw_rank") == F.rint(F.lit(q) * (F.col("lw_n") - 1)).cast("long")).select(*key, F.col(column).alias(out))
+    rows = values.where(F.col(column).isNotNull()).select(*key, F.col(column).alias("lw_v"))
+    same = lambda other: [F.col(f"r.{k}").eqNullSafe(F.col(f"{other}.{k}")) for k in key]
+    state = rows.groupBy(*key).agg(F.count("*").alias("lw_inside"), F.min("lw_v").alias("lw_lo"), F.max("lw_v").alias("lw_hi"))
+    state = state.withColumn("lw_rank", F.rint(F.lit(q) * (F.col("lw_inside") - 1)).cast("long"))
+    state = shared.materialize(state, "ranks")
+    if not state.where(F.col("lw_inside") > FEW).isEmpty():
+        rows = shared.materialize(rows, "values")
+    while True:
+        wide = state.where((F.col("lw_inside") > FEW) & (F.col("lw_lo") < F.col("lw_hi")))
+        if wide.isEmpty():
+            break
+        within = lambda s: rows.alias("r").join(shared.checked(s).alias("s"), [*same("s"), F.col("lw_v").between(F.col("lw_lo"), F.col("lw_hi"))])
+        grid = within(wide).groupBy(*[F.col(f"s.{k}").alias(k) for k in key], "lw_lo", "lw_hi", "lw_rank", "lw_inside").agg(F.percentile_approx("lw_v", [k / GRID for k in range(GRID + 1)], ACCURACY).alias("lw_grid"))
+        at = F.floor(F.col("lw_rank") * GRID / F.col("lw_inside")).cast("int")
+        grid = grid.select(*key, "lw_rank", F.col("lw_inside").alias("lw_before"), F.get("lw_grid", F.greatest(at - 1, F.lit(0))).alias("lw_a"), F.get("lw_grid", F.least(at + 2, F.lit(GRID))).alias("lw_b"), "lw_lo", "lw_hi")
+        counted = within(grid).groupBy(*[F.col(f"s.{k}").alias(k) for k in key], "lw_rank", "lw_before", "lw_a", "lw_b", "lw_lo", "lw_hi").agg(F.count_if(F.col("lw_v") < F.col("lw_a")).alias("lw_below"), F.count_if(F.col("lw_v").between(F.col("lw_a"), F.col("lw_b"))).alias("lw_in"))
+        holds = (F.col("lw_rank") >= F.col("lw_below")) & (F.col("lw_rank") < F.col("lw_below") + F.col("lw_in")) & (F.col("lw_in") < F.col("lw_before"))
+        # Where a few values make up the range, its ends may stay; then the values at the ends are settled by their counts.
+        narrow = counted.where(holds).select(*key, F.col("lw_in").alias("lw_inside"), F.col("lw_a").alias("lw_lo"), F.col("lw_b").alias("lw_hi"), (F.col("lw_rank") - F.col("lw_below")).alias("lw_rank"))
+        stuck = counted.where(~holds)
+        tally = within(stuck).groupBy(*[F.col(f"s.{k}").alias(k) for k in key], "lw_rank", "lw_v").agg(F.count("*").alias("lw_n"))
+        upto = F.sum("lw_n").over(Window.partitionBy(*key).orderBy("lw_v"))
+        settled = tally.withColumn("lw_to", upto).where((F.col("lw_rank") < F.col("lw_to")) & (F.col("lw_rank") >= F.col("lw_to") - F.col("lw_n")))
+        settled = settled.select(*key, F.col("lw_n").alias("lw_inside"), F.col("lw_v").alias("lw_lo"), F.col("lw_v").alias("lw_hi"), (F.col("lw_rank") - F.col("lw_to") + F.col("lw_n")).alias("lw_rank"))
+        done = state.where((F.col("lw_inside") <= FEW) | (F.col("lw_lo") >= F.col("lw_hi")))
+        state = shared.materialize(done.select(*key, "lw_inside", "lw_lo", "lw_hi", "lw_rank").unionByName(narrow).unionByName(settled), "ranks")
+    equal = state.where("lw_lo >= lw_hi").select(*key, F.col("lw_lo").alias(out))
+    rest = rows.alias("r").join(shared.checked(state.where("lw_lo < lw_hi")).alias("s"), [*same("s"), F.col("lw_v").between(F.col("lw_lo"), F.col("lw_hi"))])
+    rest = rest.select(*[F.col(f"s.{k}").alias(k) for k in key], "lw_v", "lw_rank").withColumn("lw_at", F.row_number().over(Window.partitionBy(*key).orderBy("lw_v")) - 1)
+    return equal.unionByName(rest.where(F.col("lw_at") == F.col("lw_rank")).select(*key, F.col("lw_v").alias(out)))
 
 
 def contains_any(text: Column, keywords: Column) -> Column:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+
+from lorewright.sources.log import LoggedTable
 
 
 def read_stream(spark: SparkSession, path: str, schema, files_per_trigger: int = 1000) -> DataFrame:
@@ -47,3 +50,79 @@ def windowed_counts(stream: DataFrame, time: str = "ts", length: str = "30 secon
 def sessions(stream: DataFrame, time: str = "ts", gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
     """Sessions of each user, closed by a gap."""
     return stream.withWatermark(time, late).groupBy("user_id", F.session_window(time, gap).alias("w")).agg(F.count("*").alias("n")).select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
+
+
+class SessionProcessor(StatefulProcessor):
+    """Sessions of a key in event time, kept as state and given when the watermark has passed their end (S2).
+
+    The state is a sorted list of open sessions (start, last, n), a few for each key, as the watermark closes what lies
+    behind it. A timer is set at each session's end; when it fires, sessions that end by then go out and leave the state.
+    """
+
+    def __init__(self, gap_ms: int):
+        self.gap_ms = gap_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.open = handle.getValueState("open", "sessions array<struct<start:bigint,last:bigint,n:bigint>>")
+
+    def _held(self) -> list[list[int]]:
+        return [[int(x[0]), int(x[1]), int(x[2])] for x in self.open.get()[0]] if self.open.exists() else []
+
+    def _keep(self, sessions: list[list[int]]) -> None:
+        if sessions:
+            self.open.update(([tuple(s) for s in sessions],))
+        elif self.open.exists():
+            self.open.clear()
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        sessions = self._held()
+        ends = {s[1] + self.gap_ms for s in sessions}
+        for pdf in rows:
+            sessions += [[int(t), int(t), 1] for t in pdf["ms"]]
+        merged: list[list[int]] = []
+        for s in sorted(sessions):
+            if merged and s[0] - merged[-1][1] < self.gap_ms:
+                merged[-1] = [merged[-1][0], max(merged[-1][1], s[1]), merged[-1][2] + s[2]]
+            else:
+                merged.append(s)
+        self._keep(merged)
+        new = {s[1] + self.gap_ms for s in merged}
+        for t in ends - new:
+            self.handle.deleteTimer(t)
+        for t in new - ends:
+            self.handle.registerTimer(t)
+        yield pd.DataFrame({"user_id": [], "start_ms": [], "end_ms": [], "n": []}, dtype="int64")
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now, sessions = expiredTimerInfo.getExpiryTimeInMs(), self._held()
+        over = [s for s in sessions if s[1] + self.gap_ms <= now]
+        self._keep([s for s in sessions if s[1] + self.gap_ms > now])
+        yield pd.DataFrame({"user_id": [key[0]] * len(over), "start_ms": [s[0] for s in over], "end_ms": [s[1] + self.gap_ms for s in over], "n": [s[2] for s in over]}, dtype="int64")
+
+    def close(self) -> None:
+        pass
+
+
+def stateful_sessions(stream: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
+    """user_id, start, end and n of sessions of a stream (user_id, ts) once the watermark has passed their end; later rows are left out, and counted by late_rows()."""
+    gap_ms = int(pd.Timedelta(gap).total_seconds() * 1000)
+    rows = stream.withWatermark("ts", late).select("user_id", "ts", F.unix_millis(F.col("ts").cast("timestamp_ltz")).alias("ms"))
+    found = rows.groupBy("user_id").transformWithStateInPandas(SessionProcessor(gap_ms), "user_id bigint, start_ms bigint, end_ms bigint, n bigint", "Append", "EventTime")
+    return found.select("user_id", F.timestamp_millis("start_ms").alias("start"), F.timestamp_millis("end_ms").alias("end"), "n")
+
+
+def late_rows(query: StreamingQuery) -> int:
+    """How many rows of a run came behind the watermark, and so take no part; of as many batches as the session keeps progress of."""
+    return sum(int(s["numRowsDroppedByWatermark"]) for p in query.recentProgress for s in p["stateOperators"])
+
+
+def run_available(stream: DataFrame, target: LoggedTable, checkpoint: str) -> StreamingQuery:
+    """Runs a stream over what is there, each batch's rows as one commit of the target, and waits for its end.
+
+    The state store is RocksDB's, which keeps a key's state on disk; the checkpoint holds what a restart needs.
+    """
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    running = stream.writeStream.foreachBatch(lambda batch, number: target.append(batch, number) and None).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+    running.awaitTermination()
+    return running
