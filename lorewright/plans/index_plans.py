@@ -121,10 +121,10 @@ def s5_failures(spark, sf):
 g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM k WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g),
 found AS (SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS "end", count(*) AS n FROM s GROUP BY user_id, k)
 SELECT user_id, start, "end", n FROM found WHERE "end" <= (SELECT max(date_trunc('millisecond', ts)) FROM e) - INTERVAL 1 HOUR
-UNION ALL SELECT NULL, NULL, NULL, count(*) FROM e WHERE late""",
+UNION ALL SELECT -1, NULL, NULL, count(*) FROM e WHERE late""",
 )
 def stream_state(spark, sf):
-    """Sessions of events that come week by week, some of the first week's three weeks late; the stream stops and goes on after each. The row without a user counts the late ones."""
+    """Sessions of events that come week by week, some of the first week's three weeks late; the stream stops and goes on after each. The row of user -1 counts the late ones."""
     path = _place(spark, "state")
     late = (F.col("event_id") % 50 == 0) & (F.col("ts") < F.lit("2024-01-08").cast("timestamp_ntz"))
     events = table(spark, sf, "events").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"), late.alias("late"), F.least(F.floor(F.date_diff(F.col("ts"), F.lit("2024-01-01").cast("date")) / 8), F.lit(3)).alias("week"))
@@ -135,4 +135,4 @@ def stream_state(spark, sf):
         stream = spark.readStream.schema("user_id long, ts timestamp").option("recursiveFileLookup", True).parquet(f"{path}/in")
         dropped += ingest.late_rows(ingest.run_available(ingest.stateful_sessions(stream), target, f"{path}/checkpoint"))
     rows = target.read().select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "n")
-    return rows.union(spark.createDataFrame([(None, None, None, dropped)], rows.schema))
+    return rows.union(spark.createDataFrame([(-1, None, None, dropped)], rows.schema))
