@@ -81,17 +81,26 @@ def entity_graph(queries: DataFrame, entity_vectors: DataFrame, nodes: DataFrame
     return resolve(best, chunks, "entity_graph", F.lit(0.0), F.col("score"), F.col("score"))
 
 
-def shared_words(queries: DataFrame, rows: DataFrame, key: list[str]) -> DataFrame:
+def shared_words(queries: DataFrame, rows: DataFrame, key: list[str], name: Column | None = None) -> DataFrame:
     """Per query and key that have a word in common or named: n_query, n_words, common (words of both), named (TX13, ST3).
 
-    queries: query_id, q (distinct words); rows: key, words (distinct), names (substrings of a name, or null). An equi-join on
-    words: each row's words are made once, and only rows with a query's word go on. Counts are partial sums, so that neither
-    a frequent word nor a long text gathers in one task. Keys are unique.
+    queries: query_id, q (distinct words); rows: key, words (distinct), and what `name` reads. An equi-join on words, and on the
+    first characters of words in names, which are then held against the name: each row's words are made once, and only rows
+    with a query's word go on. Counts are partial sums, so that neither a frequent word nor a long text gathers in one task.
+    Keys are unique.
     """
-    asked = shared.checked(queries.where(F.size("q") > 0).select("query_id", F.size("q").alias("n_query"), F.explode("q").alias("word")))
-    marked = lambda c, flag: F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda w: F.struct(w.alias("word"), F.lit(flag).alias("is_name")))
-    met = rows.where(F.size("words") > 0).select(*key, F.size("words").alias("n_words"), F.explode(F.concat(marked(F.col("words"), False), marked(F.col("names"), True))).alias("x"))
-    met = met.select(*key, "n_words", "x.word", "x.is_name").join(asked, "word")
+    asked = queries.where(F.size("q") > 0).select("query_id", F.size("q").alias("n_query"), F.explode("q").alias("word"))
+    met = rows.where(F.size("words") > 0)
+    entry = lambda gram, rest: F.struct(gram.alias("gram"), rest.alias("rest"))
+    words = F.transform("words", lambda w: entry(w, F.lit(None).cast("string")))
+    if name is None:
+        asked, found = asked.select("*", F.col("word").alias("gram"), F.lit(False).alias("is_name")), words
+    else:
+        longest = queries.agg(F.max(F.array_max(F.transform("q", F.length)))).first()[0] or 0
+        asked = asked.select("*", F.inline(F.array(F.struct(F.col("word").alias("gram"), F.lit(False).alias("is_name")), F.struct(T.first_gram(F.col("word")).alias("gram"), F.lit(True).alias("is_name")))))
+        found = F.concat(words, F.transform(T.name_grams(name, longest), lambda x: entry(x["gram"], x["rest"])))
+    met = met.select(*key, F.size("words").alias("n_words"), F.inline(found)).withColumn("is_name", F.col("rest").isNotNull())
+    met = met.join(shared.checked(asked), ["gram", "is_name"]).where(~F.col("is_name") | F.startswith("rest", "word"))
     return met.groupBy(*key, "query_id").agg(F.first("n_query").alias("n_query"), F.first("n_words").alias("n_words"), F.count_if(~F.col("is_name")).alias("common"), F.max("is_name").alias("named"))
 
 
@@ -99,7 +108,7 @@ def lexical_scores(queries: DataFrame, rows: DataFrame, key: list[str], name: st
     """key, query_id, score: the Jaccard overlap of the words, and 0.15 more if the name holds a query word; only above 0 (TX13)."""
     plain = T.plain_name(F.col(name))
     words = T.tokens(F.concat_ws(" ", plain, F.lower(F.coalesce(description, F.lit("")))))
-    found = shared_words(queries, rows.select(*key, words.alias("words"), T.name_parts(plain).alias("names")), key)
+    found = shared_words(queries, rows.select(*key, words.alias("words"), plain.alias("lw_plain")), key, F.coalesce("lw_plain", F.lit("")))
     score = F.col("common") / (F.col("n_query") + F.col("n_words") - F.col("common")) + F.when(F.col("named"), 0.15).otherwise(0.0)
     return found.select(*key, "query_id", score.alias("score"))
 
@@ -119,7 +128,7 @@ def visual_support(queries: DataFrame, frames: DataFrame, chunks: DataFrame, k:
     asked = queries.where("intent.is_visual_detail").select("query_id", T.tokens(F.col("query")).alias("q"))
     words = T.tokens(T.strip(F.concat_ws(" ", F.coalesce("vlm_output", F.lit("")), F.coalesce("transcript", F.lit("")))))
     key = ["video_name", "frame_key", "segment_idx"]
-    rows = shared_words(asked, frames.select(*key, words.alias("words"), F.lit(None).cast("array<string>").alias("names")), key)
+    rows = shared_words(asked, frames.select(*key, words.alias("words")), key)
     rows = rows.withColumn("score", F.col("common") / F.col("n_query"))
     best = top_k(rows, ["query_id", "video_name"], "score", ["frame_key"], k).where(T.strip(F.col("segment_idx")) != "")
     refs = chunks.select("video_name", "chunk_id", F.explode("video_segment_id").alias("ref"))
