@@ -10,7 +10,9 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import DoubleType, StringType
+
+from lorewright import shared
 
 #: Quotes that may enclose a name. Fixed values.
 QUOTES = ('"', "'", "“", "”", "‘", "’")
@@ -95,30 +97,80 @@ def alias_table(spark, aliases: dict[str, list[str]]) -> DataFrame:
     return spark.createDataFrame(sorted(rows.items()), "alias string, canonical string")
 
 
+#: Characters of a gram.
+GRAM = 2
+
+
+def _prefix(text: str, cutoff: float) -> Column:
+    """The first of a text's grams in the order of a hash: so many that a text as like as the cutoff must share one.
+
+    Two texts with a ratio of c have (1 - c) of their characters outside common blocks at most, and each of these breaks GRAM
+    grams at most; the rest are in both. Equal grams of one text are told apart by how many came before.
+    """
+    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - GRAM + 1, F.lit(1))), lambda i: F.substr(text, i, F.lit(GRAM)))
+    numbered = F.transform(grams, lambda g, i: F.xxhash64(g, F.size(F.filter(F.slice(grams, F.lit(1), i), lambda x: x == g))))
+    broken = F.floor(F.lit(2 * (1 - cutoff) / cutoff + 1e-9) * F.length(text)).cast("int") * GRAM
+    return F.slice(F.array_sort(numbered), 1, broken + 1)
+
+
+def _letters(text: str) -> Column:
+    """A text's letters, equal ones told apart by how many came before."""
+    each = F.transform(F.sequence(F.lit(1), F.length(text)), lambda i: F.substr(text, i, F.lit(1)))
+    return F.transform(each, lambda c, i: F.xxhash64(c, F.size(F.filter(F.slice(each, F.lit(1), i), lambda x: x == c))))
+
+
+def candidate_pairs(names: DataFrame, table: DataFrame, cutoff: float) -> DataFrame:
+    """lw_name and alias of all pairs that may be as like as the cutoff, by a join on the grams that such pairs must share.
+
+    Lengths are held against each other first, and the letters that both have after it, wherever they stand; names longer
+    than any alias allows are never cut into grams.
+    """
+    span = table.agg(F.min(F.length("alias")).alias("lo"), F.max(F.length("alias")).alias("hi")).first()
+    if span["hi"] is None:
+        return names.select("lw_name", F.lit("").alias("alias")).where("false")
+    far = (2 - cutoff) / cutoff
+    fits = F.length("lw_name").between(int(span["lo"] / far), int(span["hi"] * far) + 1)
+    left = names.where(fits).select("lw_name", _letters("lw_name").alias("x"), F.explode(_prefix("lw_name", cutoff)).alias("gram"))
+    right = table.select("alias", _letters("alias").alias("y"), F.explode(_prefix("alias", cutoff)).alias("gram"))
+    met = left.join(F.broadcast(right), "gram")  # a few grams for each alias of the configuration
+    a, b = F.length("lw_name"), F.length("alias")
+    least = cutoff * (a + b) - 1e-9
+    met = met.where(2 * F.least(a, b) >= least).where(2 * F.size(F.array_intersect("x", "y")) >= least)
+    return met.select("lw_name", "alias").distinct()
+
+
+@F.pandas_udf(DoubleType())
+def _ratio(names: pd.Series, aliases: pd.Series) -> pd.Series:
+    matcher, out, last = difflib.SequenceMatcher(), [], None
+    for name, alias in zip(names, aliases, strict=True):
+        if name != last:
+            matcher.set_seq2(name)
+            last = name
+        matcher.set_seq1(alias)
+        out.append(matcher.ratio())
+    return pd.Series(out, dtype="float64")
+
+
 def normalize_names(names: DataFrame, column: str, aliases: dict[str, list[str]], cutoff: float = 0.92, out: str = "name") -> DataFrame:
     """names with column `out`: the canonical name of an alias, of one equal but for diacritics, or of the closest one within the
-    cutoff; else the name in upper case; Unknown where it is empty (TX5, JN12).
+    cutoff (of equally close ones the greatest alias); else the name in upper case; Unknown where it is empty (TX5, JN12).
 
-    Two joins with the table of aliases, a configuration of bounded size; only names that neither join finds are compared
-    one by one.
+    Two joins with the table of aliases, a configuration of bounded size. Distinct names that neither finds meet only
+    aliases with which they share a gram that they must share, and only these pairs are compared letter by letter.
     """
     table = alias_table(names.sparkSession, aliases)
-    spelled = {r: c for c, others in aliases.items() for r in (c, *others)}
-    closest_of = {r.upper(): c.upper() for r, c in spelled.items()}
-
-    @F.pandas_udf(StringType())
-    def closest(values: pd.Series) -> pd.Series:
-        near = {v: difflib.get_close_matches(v, closest_of, 1, cutoff) for v in values.dropna().unique()}
-        return values.map(lambda v: closest_of[near[v][0]] if near[v] else None, na_action="ignore")
-
     bare = F.regexp_replace(F.regexp_replace(strip(nfkc(F.col(column))), '^"+|"+$', ""), "^'+|'+$", "")
     rows = names.withColumn("lw_name", F.upper(bare))
     for found, probe in (("lw_same", F.col("lw_name")), ("lw_plain", strip_diacritics(F.col("lw_name")))):
         rows = rows.withColumn("lw_probe", probe).join(F.broadcast(table.toDF("lw_probe", found)), "lw_probe", "left").drop("lw_probe")
     known = F.coalesce("lw_same", "lw_plain")
-    near = closest(F.when(known.isNull() & (F.col("lw_name") != ""), F.col("lw_name")))
+    unknown = rows.where(known.isNull() & (F.col("lw_name") != "")).select("lw_name").distinct()
+    near = candidate_pairs(unknown, table, cutoff).withColumn("ratio", _ratio("lw_name", "alias")).where(F.col("ratio") >= cutoff)
+    near = near.groupBy("lw_name").agg(F.max(F.struct("ratio", "alias")).alias("best")).select("lw_name", F.col("best.alias").alias("alias"))
+    near = near.join(F.broadcast(table.withColumnRenamed("canonical", "lw_near")), "alias").select("lw_name", "lw_near")
+    rows = rows.join(shared.checked(shared.materialize(near, "near-names")), "lw_name", "left")
     name = F.when(F.coalesce(F.col("lw_name"), F.lit("")) == "", "Unknown").otherwise(F.coalesce(known, "lw_near", "lw_name"))
-    return rows.withColumn("lw_near", near).withColumn(out, name).drop("lw_name", "lw_same", "lw_plain", "lw_near")
+    return rows.withColumn(out, name).drop("lw_name", "lw_same", "lw_plain", "lw_near")
 
 
 def clean_text_full(text: Column) -> Column:
