@@ -6,14 +6,13 @@ description, source_id, order. Ties are decided by the ordinals, which state the
 
 from __future__ import annotations
 
-from pyspark.ml.feature import Word2Vec
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorewright import shared
 from lorewright.functions import text as T
 from lorewright.functions import unicode as U
+from lorewright.operators import walks as node_walks
 from lorewright.schemas import SEP
 
 
@@ -288,7 +287,7 @@ def merge_into_global(current: tuple[DataFrame, DataFrame], new: tuple[DataFrame
 
 
 def label_communities(nodes: DataFrame, edges: DataFrame, rounds: int = 5) -> DataFrame:
-    """Clusters by label propagation, a substitute for hierarchical Leiden (GR9): each round a node takes its neighbours' most frequent label, the smallest of equals."""
+    """Clusters by label propagation, quicker and coarser than communities.hierarchy (GR9): each round a node takes its neighbours' most frequent label, the smallest of equals."""
     labels = nodes.select("id", F.col("id").alias("cluster"))
     near = shared.materialize(both_ways(edges.select("src", "dst")).where("node <> neighbour"), "neighbours")
     for _ in range(rounds):
@@ -299,22 +298,14 @@ def label_communities(nodes: DataFrame, edges: DataFrame, rounds: int = 5) -> Da
 
 
 def random_walks(nodes: DataFrame, edges: DataFrame, length: int = 6, walks: int = 2, seed: int = 7) -> DataFrame:
-    """Walks for node embeddings (GR10): each step goes to the neighbour whose hash with walk and step is the least."""
-    near = both_ways(edges.select("src", "dst")).where("node <> neighbour").select("node", "neighbour")
-    at = nodes.select(F.col("id").alias("node"), F.explode(F.sequence(F.lit(0), F.lit(walks - 1))).alias("walk")).withColumn("path", F.array("node")).withColumn("start", F.col("node"))
-    for step in range(1, length):
-        options = at.join(near, "node", "left").groupBy("start", "walk", "path").agg(F.min_by("neighbour", F.xxhash64("neighbour", "start", "walk", F.lit(step + seed))).alias("next"))
-        at = options.select(F.coalesce("next", F.element_at("path", -1)).alias("node"), "walk", F.when(F.col("next").isNull(), F.col("path")).otherwise(F.concat("path", F.array("next"))).alias("path"), "start")
-    return at.select("start", "walk", "path")
+    """First-order walks of operators.walks over edges that may have no weight (GR10)."""
+    weighted = edges if "weight" in edges.columns else edges.withColumn("weight", F.lit(1.0))
+    return node_walks.walks(nodes, weighted, length, walks, seed=seed)
 
 
 def node_vectors(walks: DataFrame, size: int = 32, window: int = 3, seed: int = 7) -> DataFrame:
-    """id and vector of every node on the walks, by skip-grams over their paths (GR10).
-
-    The driver holds the vectors while they are fitted: nodes times size floats, some 13 GB for 100 million nodes of 32.
-    """
-    fitted = Word2Vec(vectorSize=size, windowSize=window, minCount=1, maxIter=1, seed=seed, inputCol="path", outputCol="mean").fit(walks)
-    return fitted.getVectors().select(F.col("word").alias("id"), vector_to_array("vector", "float32").alias("vector"))
+    """id and vector of every node on the walks, trained in blocks (GR10)."""
+    return node_walks.vectors(walks, size, window, epochs=1, seed=seed)
 
 
 def snapshot(nodes: DataFrame, edges: DataFrame) -> DataFrame:

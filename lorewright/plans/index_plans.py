@@ -50,12 +50,6 @@ def gr10_node2vec(spark, sf):
     return walks.walks(*_area_graph(spark, sf), length=5, p=0.5, q=2.0)
 
 
-@query("gr10_vectors")
-def gr10_vectors(spark, sf):
-    """Vectors of all nodes, trained on their walks in blocks."""
-    return walks.vectors(walks.walks(*_area_graph(spark, sf), length=5), epochs=1)
-
-
 @query(
     "gr2_lookups",
     """WITH asked AS (SELECT s_name AS id FROM supplier WHERE s_suppkey % 7 = 0 UNION ALL SELECT n_name FROM nation WHERE n_nationkey % 5 = 0 UNION ALL SELECT r_name || ' nowhere' FROM region),

@@ -11,7 +11,7 @@ from lorewright.functions import text as T
 from lorewright.functions import unicode as U
 from lorewright.operators import answer, graph, sanitize
 from lorewright.plans.base import asked, extractions, graph_tables, query, table
-from lorewright.sources import tables
+from lorewright.sources import artefacts, tables
 
 
 def _place(spark, name: str) -> str:
@@ -37,15 +37,20 @@ def src1_json_store(spark, sf):
 @query("src3_graphml", """SELECT s_name AS src, n_name AS dst, round(abs(s_acctbal) / 1000, 3) AS weight, CAST(1 AS BIGINT) AS "order" FROM supplier JOIN nation ON s_nationkey = n_nationkey""")
 def src3_graphml(spark, sf):
     nodes, edges = graph_tables(spark, sf)
-    lines = tables.graphml_rows(nodes.select("id", F.lit("GEO").alias("entity_type"), F.lit("a & <b>").alias("description"), "source_id"), edges.withColumns({"description": F.lit('"d"'), "order": F.lit(1).cast("long")}))
-    return tables.read_graphml(spark, _written_text(lines.select("line"), "graphml"))[1].select("src", "dst", "weight", "order")
+    path = _place(spark, "graphml")
+    tables.write_graphml(nodes.select("id", F.lit("GEO").alias("entity_type"), F.lit("a & <b>").alias("description"), "source_id"), edges.withColumns({"description": F.lit('"d"'), "order": F.lit(1).cast("long")}), path)
+    return tables.read_graphml(spark, f"{path}/*")[1].select("src", "dst", "weight", "order")
 
 
-@query("src5_vectors", "SELECT CAST(vec_id AS VARCHAR) AS id, 64 AS embedding_dim, round(embedding[1], 5) AS first FROM embeddings")
+@query("src5_vectors", "SELECT CAST(vec_id AS VARCHAR) AS id, 64 AS embedding_dim, array_to_string(list_transform(embedding, lambda x: CAST(CAST(round(CAST(x AS DOUBLE) * 10000) AS BIGINT) AS VARCHAR)), ' ') AS vector FROM embeddings")
 def src5_vectors(spark, sf):
-    rows = table(spark, sf, "embeddings").agg(F.collect_list(F.struct(F.col("vec_id").cast("string").alias("__id__"), F.lit("e").alias("entity_name"), F.col("embedding").alias("__vector__"))).alias("data"))
-    path = _written_text(rows.select(F.to_json(F.struct(F.lit(64).alias("embedding_dim"), "data")).alias("value")), "vectors")
-    return tables.read_vectors(spark, path).select("id", "embedding_dim", F.round(F.get("vector", F.lit(0)).cast("double"), 5).alias("first"))
+    """Every component of every vector, through vector files of each label and task."""
+    artefacts.register(spark)
+    path = _place(spark, "vectors")
+    rows = table(spark, sf, "embeddings").select(F.concat(F.lit("v"), F.col("label").cast("string")).alias("video_name"), F.col("vec_id").cast("string").alias("id"), F.lit("e").alias("entity_name"), F.col("embedding").alias("vector"))
+    rows.write.format("lorewright").option("table", "vectors").mode("append").save(path)
+    told = F.array_join(F.transform("vector", lambda x: F.round(x.cast("double") * 10000).cast("long").cast("string")), " ")
+    return tables.read_vectors(spark, f"{path}/v*").select("id", "embedding_dim", told.alias("vector"))
 
 
 @query("src11_jsonl", "SELECT event_id, event_type FROM events")
@@ -57,8 +62,11 @@ def src11_jsonl(spark, sf):
 
 @query("src12_cases", "SELECT CAST(item_id AS VARCHAR) AS question, text AS answer_gold FROM benchmark")
 def src12_cases(spark, sf):
-    rows = table(spark, sf, "benchmark").agg(F.collect_list(F.struct(F.col("item_id").cast("string").alias("question"), F.col("text").alias("answer_gold"))).alias("cases"))
-    return tables.read_cases(spark, _written_text(rows.select(F.to_json(F.struct("cases")).alias("value")), "cases")).select("question", "answer_gold")
+    """A list of cases for each partition, a file each."""
+    path = _place(spark, "cases")
+    rows = table(spark, sf, "benchmark").groupBy(F.spark_partition_id().alias("part")).agg(F.collect_list(F.struct(F.col("item_id").cast("string").alias("question"), F.col("text").alias("answer_gold"))).alias("cases"))
+    rows.select("part", F.to_json(F.struct("cases")).alias("value")).write.partitionBy("part").text(path)
+    return tables.read_cases(spark, f"{path}/part=*").select("question", "answer_gold")
 
 
 @query("src13_registry", "SELECT r_name AS video_name, 'http://' || r_regionkey AS url FROM region WHERE r_regionkey <> 0")

@@ -92,11 +92,20 @@ def mv9_histograms(spark, sf):
     return table(spark, sf, "embeddings").select("vec_id", F.round(V.bhattacharyya(h(1), h(33)), 6).alias("d"))
 
 
-@query("mv7_select")
+@query(
+    "mv7_select",
+    """WITH t AS (SELECT vec_id, i, CAST(embedding AS DOUBLE[])[16 * i + 1:16 * i + 16] AS v FROM embeddings, range(4) AS r(i)), e AS (SELECT vec_id, i, k, v[k] AS x FROM t, range(1, 17) AS r(k)),
+m AS (SELECT vec_id, k, avg(x) AS x FROM e GROUP BY 1, 2), c AS (SELECT e.vec_id, e.i, sum(e.x * m.x) / sqrt(sum(e.x * e.x)) / sqrt(sum(m.x * m.x)) AS cos FROM e JOIN m USING (vec_id, k) GROUP BY 1, 2),
+o AS (SELECT vec_id, i, row_number() OVER (PARTITION BY vec_id ORDER BY cos DESC, i) AS r FROM c)
+SELECT vec_id, (SELECT string_agg(CAST(CAST(round(v[1] * 10000) AS BIGINT) AS VARCHAR), ' ' ORDER BY r) FROM o JOIN t USING (vec_id, i) WHERE o.vec_id = b.vec_id AND r <= 2) AS kept,
+  (SELECT string_agg(CAST(i AS VARCHAR), ' ' ORDER BY i) FROM t WHERE t.vec_id = b.vec_id AND len(list_filter(v, lambda x: x > 0)) >= 16 * 0.05) AS patches FROM embeddings b""",
+)
 def mv7_select(spark, sf):
     part = lambda k: F.slice("embedding", k, 16)
     tokens = F.array(part(1), part(17), part(33), part(49))
-    return table(spark, sf, "embeddings").select("vec_id", F.size(V.token_select(tokens)).alias("kept"), F.size(V.padding_select(tokens)).alias("patches"))
+    kept = F.array_join(F.transform(V.token_select(tokens), lambda t: F.round(F.get(t, F.lit(0)).cast("double") * 10000).cast("long").cast("string")), " ")
+    patches = F.array_join(F.transform(V.padding_select(tokens), lambda i: i.cast("string")), " ")
+    return table(spark, sf, "embeddings").select("vec_id", kept.alias("kept"), patches.alias("patches"))
 
 
 @query("mv10_mse", "SELECT vec_id, round(list_sum(list_transform(list_zip(CAST(embedding AS DOUBLE[])[1:32], CAST(embedding AS DOUBLE[])[33:64]), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) / 32, 6) AS mse FROM embeddings")
@@ -104,9 +113,16 @@ def mv10_mse(spark, sf):
     return table(spark, sf, "embeddings").select("vec_id", F.round(V.mean_squared_error(F.slice("embedding", 1, 32), F.slice("embedding", 33, 32)), 6).alias("mse"))
 
 
-@query("mv11_letterbox")
+@query(
+    "mv11_letterbox",
+    """WITH p AS (SELECT vec_id, k, (k // 224) * 16 // 224 AS y, (k % 224) * 16 // 224 AS x, CAST(embedding AS DOUBLE[]) AS v FROM embeddings, range(50176) AS r(k)),
+q AS (SELECT vec_id, k, CASE WHEN y BETWEEN 6 AND 9 THEN v[(y - 6) * 16 + x + 1] ELSE 0.0 END AS g FROM p) SELECT vec_id, count(*) AS pixels, round(sum(g), 4) AS total, round(sum(g * (k % 97)), 3) AS places FROM q GROUP BY 1""",
+)
 def mv11_letterbox(spark, sf):
-    return table(spark, sf, "embeddings").select("vec_id", F.size(V.letterbox(F.col("embedding").cast("array<double>"), F.lit(16), F.lit(4))).alias("pixels"))
+    """Every pixel goes into two sums, one of them by its place."""
+    boxed = table(spark, sf, "embeddings").select("vec_id", V.letterbox(F.col("embedding").cast("array<double>"), F.lit(16), F.lit(4)).alias("g"))
+    add = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
+    return boxed.select("vec_id", F.size("g").cast("long").alias("pixels"), F.round(add("g"), 4).alias("total"), F.round(add(F.transform("g", lambda x, k: x * (k % 97))), 3).alias("places"))
 
 
 @query("mv19_image_rerank", "SELECT vec_id, round(0.8 * embedding[1] - 0.2 * embedding[2] + CASE WHEN label = 0 THEN 0.2 ELSE 0.0 END, 5) AS s FROM (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS embedding FROM embeddings)")
@@ -427,10 +443,15 @@ def q11_hybrid(spark, sf):
     return retrieval.hybrid_segments(of(3), of(5), captions, F.contains(F.lower("verdict"), F.lit("yes"))).select("query_id", "segment_id")
 
 
-@query("tk8_regions", "WITH m AS (SELECT l_orderkey AS frame_key, l_linenumber % 2 AS r, l_returnflag || l_linestatus AS name, max(l_extendedprice) AS s FROM lineitem GROUP BY 1, 2, 3) SELECT frame_key, coalesce(arg_max(name, s) FILTER (r = 0), 'Unknown') AS main FROM m GROUP BY 1")
+@query(
+    "tk8_regions",
+    """WITH m AS (SELECT l_orderkey AS frame_key, l_linenumber % 2 AS r, l_returnflag || l_linestatus AS name, max(l_extendedprice) AS s FROM lineitem GROUP BY 1, 2, 3),
+f AS (SELECT frame_key, coalesce(first(name ORDER BY s DESC, name) FILTER (r = 0), 'Unknown') AS main, coalesce((list(name ORDER BY s DESC, name) FILTER (r = 1))[1:4], []) AS partners FROM m GROUP BY 1)
+SELECT frame_key, main, array_to_string(partners, ',') AS partners, array_to_string(CASE WHEN main = 'Unknown' THEN partners ELSE list_concat([main], list_filter(partners, lambda p: p <> main)) END, ',') AS entities FROM f""",
+)
 def tk8_regions(spark, sf):
     rows = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("frame_key"), F.when(F.col("l_linenumber") % 2 == 0, "middle").otherwise("partners").alias("region"), F.concat("l_returnflag", "l_linestatus").alias("name"), F.col("l_extendedprice").alias("score"))
-    return tables.best_regions(rows).select("frame_key", "main")
+    return tables.best_regions(rows).select("frame_key", "main", F.array_join("partners", ",").alias("partners"), F.array_join("entities", ",").alias("entities"))
 
 
 def _files(spark, sf):

@@ -2,12 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lorewright import schemas
 from lorewright.functions import text as T
 
+#: A GraphML file's keys, with what they belong to, and the lines around its nodes and edges. Fixed values.
+GRAPHML_KEYS = (("d0", "node", "entity_type", "string"), ("d1", "node", "description", "string"), ("d2", "node", "source_id", "string"), ("d3", "edge", "weight", "double"), ("d4", "edge", "description", "string"), ("d5", "edge", "source_id", "string"), ("d6", "edge", "order", "long"))
+GRAPHML_HEAD = [
+    "<?xml version='1.0' encoding='utf-8'?>",
+    '<graphml xmlns="http://graphml.graphdrawing.org/xmlns">',
+    *(f'<key id="{k}" for="{f}" attr.name="{n}" attr.type="{t}"/>' for k, f, n, t in GRAPHML_KEYS),
+    '<graph edgedefault="undirected">',
+]
+GRAPHML_END = ["</graph>", "</graphml>"]
 VIDEO_EXTENSIONS = (".mp4", ".mkv", ".avi", ".mov", ".webm")
 
 
@@ -159,17 +171,39 @@ def read_graphml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return nodes, edges.withColumns({"weight": F.col("weight").try_cast("double"), "order": F.col("order").try_cast("long")})
 
 
+def write_graphml(nodes: DataFrame, edges: DataFrame, path: str) -> None:
+    """A graph as GraphML files, a whole one for each partition of its nodes and of its edges (SRC4)."""
+    def wrap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        any_line = False
+        for batch in batches:
+            if batch.num_rows and not any_line:
+                any_line = True
+                yield pa.record_batch([pa.array(GRAPHML_HEAD)], ["value"])
+            yield pa.record_batch([batch.column(0)], ["value"])
+        if any_line:
+            yield pa.record_batch([pa.array(GRAPHML_END)], ["value"])
+
+    for part, name in ((1, "nodes"), (2, "edges")):
+        _graphml_lines(nodes, edges, part).mapInArrow(wrap, "value string").write.text(f"{path}/{name}")
+
+
 def graphml_rows(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Lines of one GraphML file in order (SRC4): line and at. Written as one text file where a single file is wanted."""
-    esc = lambda c: F.replace(F.replace(F.replace(F.replace(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")), F.lit('"'), F.lit("&quot;"))
-    cell = lambda key, c: F.concat(F.lit(f'<data key="{key}">'), esc(c), F.lit("</data>"))
-    heads = ["<?xml version='1.0' encoding='utf-8'?>", '<graphml xmlns="http://graphml.graphdrawing.org/xmlns">']
-    heads += [f'<key id="{k}" for="{f}" attr.name="{n}" attr.type="{t}"/>' for k, f, n, t in (("d0", "node", "entity_type", "string"), ("d1", "node", "description", "string"), ("d2", "node", "source_id", "string"), ("d3", "edge", "weight", "double"), ("d4", "edge", "description", "string"), ("d5", "edge", "source_id", "string"), ("d6", "edge", "order", "long"))]
     spark = nodes.sparkSession
     fixed = lambda at, lines: spark.createDataFrame([(at, str(k).zfill(4), line) for k, line in enumerate(lines)], "part int, at string, line string")
-    n = nodes.select(F.lit(1).alias("part"), F.col("id").alias("at"), F.concat(F.lit('<node id="'), esc("id"), F.lit('">'), cell("d0", "entity_type"), cell("d1", "description"), cell("d2", "source_id"), F.lit("</node>")).alias("line"))
-    e = edges.select(F.lit(2).alias("part"), F.concat_ws(" ", "src", "dst").alias("at"), F.concat(F.lit('<edge source="'), esc("src"), F.lit('" target="'), esc("dst"), F.lit('">'), cell("d3", "weight"), cell("d4", "description"), cell("d5", "source_id"), cell("d6", "order"), F.lit("</edge>")).alias("line"))
-    return fixed(0, [*heads, '<graph edgedefault="undirected">']).union(n).union(e).union(fixed(3, ["</graph>", "</graphml>"])).orderBy("part", "at")
+    n, e = (_graphml_lines(nodes, edges, part, placed=True) for part in (1, 2))
+    return fixed(0, GRAPHML_HEAD).union(n).union(e).union(fixed(3, GRAPHML_END)).orderBy("part", "at")
+
+
+def _graphml_lines(nodes: DataFrame, edges: DataFrame, part: int, placed: bool = False) -> DataFrame:
+    """Lines of a graph's nodes (part 1) or edges (part 2); placed: with part and at."""
+    esc = lambda c: F.replace(F.replace(F.replace(F.replace(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")), F.lit('"'), F.lit("&quot;"))
+    cell = lambda key, c: F.concat(F.lit(f'<data key="{key}">'), esc(c), F.lit("</data>"))
+    if part == 1:
+        rows = nodes.select(F.lit(1).alias("part"), F.col("id").alias("at"), F.concat(F.lit('<node id="'), esc("id"), F.lit('">'), cell("d0", "entity_type"), cell("d1", "description"), cell("d2", "source_id"), F.lit("</node>")).alias("line"))
+    else:
+        rows = edges.select(F.lit(2).alias("part"), F.concat_ws(" ", "src", "dst").alias("at"), F.concat(F.lit('<edge source="'), esc("src"), F.lit('" target="'), esc("dst"), F.lit('">'), cell("d3", "weight"), cell("d4", "description"), cell("d5", "source_id"), cell("d6", "order"), F.lit("</edge>")).alias("line"))
+    return rows if placed else rows.select("line")
 
 
 def image_index(spark: SparkSession, folder: str, embed) -> DataFrame:
