@@ -1,7 +1,7 @@
 """The engine's artefact folders as a Spark data source: spark.read.format("lorewright") (U5, SRC1, SRC3, SRC5).
 
-A root holds a folder for each video with its JSON stores, vector file and graph. Each folder is a partition of the reader,
-and filters on video_name choose folders before any file is opened. Files are reached through pyarrow's file systems, so
+A root holds a folder for each video with its JSON stores, vector file and graph. Each file is a partition of the
+reader, so that a large video is read by many tasks, and filters on video_name choose folders before any file is opened. Files are reached through pyarrow's file systems, so
 a root may be a path or any URI that these know. Options: path (the root), table (segments, chunks, vectors, nodes, edges).
 
 The writer stages a file for each video and task; its commit writes one manifest that names them, by a rename, and readers
@@ -73,9 +73,9 @@ def _rows(table: str, video: str, raw: bytes) -> Iterator[tuple]:
 
 
 @dataclass
-class Folder(InputPartition):
+class Artefact(InputPartition):
     video: str
-    files: list
+    file: str
 
 
 @dataclass
@@ -96,7 +96,7 @@ class ArtefactReader(DataSourceReader):
             else:
                 self.videos = wanted if self.videos is None else self.videos & wanted
 
-    def partitions(self) -> list[Folder]:
+    def partitions(self) -> list[Artefact]:
         from pyarrow import fs
 
         system, root = _fs(self.root)
@@ -113,12 +113,12 @@ class ArtefactReader(DataSourceReader):
             for info in system.get_file_info(fs.FileSelector(root)):
                 if info.type == fs.FileType.Directory and system.get_file_info(f"{info.path}/{name}").type == fs.FileType.File:
                     listed[info.base_name] = [f"{info.base_name}/{name}"]
-        return [Folder(v, files) for v, files in sorted(listed.items()) if self.videos is None or v in self.videos] or [Folder("", [])]
+        return [Artefact(v, f) for v, files in sorted(listed.items()) if self.videos is None or v in self.videos for f in files] or [Artefact("", "")]
 
-    def read(self, partition: Folder) -> Iterator[tuple]:
+    def read(self, partition: Artefact) -> Iterator[tuple]:
         system, root = _fs(self.root)
-        for file in partition.files:
-            yield from _rows(self.table, partition.video, _read_bytes(system, f"{root}/{file}"))
+        if partition.file:
+            yield from _rows(self.table, partition.video, _read_bytes(system, f"{root}/{partition.file}"))
 
 
 def _rendered(table: str, video: str, rows: list[Row]) -> bytes:
