@@ -9,6 +9,7 @@ from lorewright.functions import text as T
 from lorewright.functions import vectors as V
 from lorewright.operators import answer, chunking, evaluate, graph, retrieval
 from lorewright.plans.base import GRAPH_SQL, asked, graph_tables, near_queries, query, sql_tokens, table
+from lorewright.schemas import Settings
 from lorewright.sources import tables
 from lorewright.streaming import ingest
 
@@ -324,14 +325,23 @@ def jn3_graph_retrieval(spark, sf):
     return rows.select(F.explode(T.split_ids(F.col("ids"))).alias("chunk_id"), "score").groupBy("chunk_id").agg(F.round(F.max("score"), 6).alias("score"))
 
 
-@query("gr6_entity_graph")
+@query(
+    "gr6_entity_graph",
+    f"""WITH {GRAPH_SQL}, q AS (SELECT CAST(vec_id AS VARCHAR) AS query_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id % 100 = 0),
+s AS (SELECT query_id, vec_id, list_cosine_similarity(v, CAST(embedding AS DOUBLE[])) AS base FROM q, embeddings), t AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY base DESC, vec_id) <= {Settings.entities_k}),
+st AS (SELECT query_id, id, ids, base FROM t JOIN nodes ON lower(id) = 'supplier#' || lpad(CAST(vec_id AS VARCHAR), 9, '0')), nb AS (SELECT query_id, neighbour, source_id, least(1.0, base + ln(1 + CASE WHEN weight = 0 THEN 1 ELSE weight END) * 0.05) AS score FROM st JOIN ends ON node = st.id),
+x AS (SELECT query_id, unnest(ids) AS chunk_id, base AS score FROM st UNION ALL SELECT query_id, unnest(ids), score FROM nb JOIN nodes ON id = neighbour UNION ALL SELECT query_id, source_id, score FROM nb),
+m AS (SELECT query_id, chunk_id, max(score) AS score FROM x GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS arrival FROM m)
+SELECT query_id, arrival, chunk_id, 'entity_graph' AS source, 'text' AS chunk_text, 'v_0' AS segment_ids, round(score, 6) AS score_entity, round(score, 6) AS score_graph FROM r WHERE arrival <= {Settings.graph_k}""",
+)
 def gr6_entity_graph(spark, sf):
     e = table(spark, sf, "embeddings")
     vectors = e.select(F.lit("v").alias("video_name"), F.col("vec_id").alias("id"), F.concat(F.lit("supplier#"), F.lpad(F.col("vec_id").cast("string"), 9, "0")).alias("entity_name"), F.col("embedding").alias("vector"))
     nodes, edges = graph_tables(spark, sf)
     video = F.lit("v").alias("video_name")
     chunks = spark.range(60).select(video, F.concat(F.lit("c"), F.col("id").cast("string")).alias("chunk_id"), F.lit("text").alias("content"), F.array(F.lit("v_0")).alias("video_segment_id"))
-    return retrieval.entity_graph(near_queries(spark, sf), vectors, nodes.withColumn("video_name", video), edges.withColumn("video_name", video), chunks)
+    found = retrieval.entity_graph(near_queries(spark, sf), vectors, nodes.withColumn("video_name", video), edges.withColumn("video_name", video), chunks)
+    return found.select("query_id", "arrival", "chunk_id", "source", "chunk_text", F.array_join("segment_ids", ",").alias("segment_ids"), F.round("score_entity", 6).alias("score_entity"), F.round("score_graph", 6).alias("score_graph"))
 
 
 @query(
@@ -483,14 +493,24 @@ def src15_assets(spark, sf):
     return tables.check_assets(wanted, _files(spark, sf))
 
 
-@query("src4_graphml")
+@query(
+    "src4_graphml",
+    f"""WITH {GRAPH_SQL}, heads AS (SELECT unnest([{', '.join(chr(39) + line.replace(chr(39), chr(39) * 2) + chr(39) for line in tables.GRAPHML_HEAD)}]) AS line, unnest(range({len(tables.GRAPHML_HEAD)})) AS k)
+SELECT 0 AS part, lpad(CAST(k AS VARCHAR), 4, '0') AS at, line FROM heads
+UNION ALL SELECT 1, id, '<node id="' || id || '"><data key="d0">GEO</data><data key="d1">a &amp; b</data><data key="d2">' || array_to_string(ids, '&lt;SEP&gt;') || '</data></node>' FROM nodes
+UNION ALL SELECT 2, src || ' ' || dst, '<edge source="' || src || '" target="' || dst || '"><data key="d3">' || CAST(weight AS VARCHAR) || '</data><data key="d4">d</data><data key="d5">' || source_id || '</data><data key="d6">1</data></edge>' FROM edges
+UNION ALL SELECT 3, '0000', '</graph>' UNION ALL SELECT 3, '0001', '</graphml>'""",
+)
 def src4_graphml(spark, sf):
     nodes, edges = graph_tables(spark, sf)
     nodes = nodes.select("id", F.lit("GEO").alias("entity_type"), F.lit("a & b").alias("description"), "source_id")
     return tables.graphml_rows(nodes, edges.withColumns({"description": F.lit("d"), "order": F.lit(1).cast("long")}))
 
 
-@query("src2_export")
+@query(
+    "src2_export",
+    """SELECT source AS video_name, '{' || string_agg('"' || doc_id || '":{"text":' || to_json(text) || ',"lang":' || to_json(lang) || '}', ',' ORDER BY CAST(doc_id AS VARCHAR)) || '}' AS json FROM documents GROUP BY source""",
+)
 def src2_export(spark, sf):
     return tables.json_rows(table(spark, sf, "documents").select(F.col("source").alias("video_name"), F.col("doc_id").cast("string").alias("key"), "text", "lang"), "key")
 

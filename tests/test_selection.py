@@ -46,3 +46,21 @@ def test_lookup_reads_its_buckets(spark, tmp_path):
     assert "PartitionFilters: [" in plan and "bucket#" in plan.split("PartitionFilters: [")[1].split("]")[0] and "PushedFilters: [" in plan and "EqualTo(node,n5)" in plan.replace("In(node, [n5])", "EqualTo(node,n5)")
     assert len({f.split("bucket=")[1].split("/")[0] for f in found.inputFiles() if "bucket=" in f}) <= 16
     assert found.count() == len(near["n5"])
+
+
+def test_embeddings_as_by_hand(spark):
+    """Vectors of hashed words, component by component."""
+    import numpy as np
+    import xxhash
+
+    from lorewright import hooks
+
+    texts = ["one two two", "", None, "One é 日本", " a\tb "]
+    found = [r["vector"] for r in hooks.hashed_embedding(spark.createDataFrame([(t,) for t in texts], "text string"), "text", 16).collect()]
+    for text, vector in zip(texts, found, strict=True):
+        v = np.zeros(16)
+        for w in (text or "").lower().split():
+            h = xxhash.xxh3_64_intdigest(w)
+            v[h % 16] += 1 if h >= 1 << 63 else -1
+        n = np.linalg.norm(v)
+        assert np.allclose(vector, v / n if n else v, atol=1e-6)
