@@ -130,7 +130,9 @@ def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_c
     """
     spark = train.sparkSession
     bound_batches(spark)
-    rows = train.select(train[id_col].cast("string").alias("id"), train[text_col].alias("text"), train[lang_col].alias("lang")).where("text is not null and lang is not null")
+    # Rows without an id are drawn by their text.
+    drawn_by = F.coalesce(train[id_col].cast("string"), F.concat(F.lit("null "), F.md5(train[text_col].cast("binary"))))
+    rows = train.select(drawn_by.alias("id"), train[text_col].alias("text"), train[lang_col].alias("lang")).where("text is not null and lang is not null")
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_state(("langid",), dict)

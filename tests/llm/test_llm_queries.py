@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from compare import assert_same, sql_rows
 from pyspark.sql import functions as F
+from llm_rows import CLASHING
 from test_llm_operators import LIBRARY, cut_words, kept_lines, near_components, words
 
 from lorewright.llm import op04_langid, queries
@@ -78,3 +79,59 @@ def test_pipeline_runs(spark, small):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     found = corpus_pipeline.run(spark, small)
     assert found.count() > 0 and {"doc_id", "sequence_id", "offset", "ids"} <= set(found.columns)
+
+
+def kept_words(rows):
+    """Each document's words that stay where a passage of 20 words that started earlier goes."""
+    seen, out = set(), {}
+    for i, text in sorted(rows):
+        w = words(text)
+        gone = [False] * len(w)
+        for s in range(len(w) - 19):
+            window = tuple(w[s : s + 20])
+            if window in seen:
+                gone[s : s + 20] = [True] * 20
+            seen.add(window)
+        out[i] = b" ".join(x for x, g in zip(w, gone, strict=True) if not g).decode()
+    return out
+
+
+def packed_ids(found):
+    pieces = collections.defaultdict(list)
+    for p in found.collect():
+        pieces[p["doc_id"]].append((p["start"], bytes(p["ids"])))
+    return {i: b"".join(b for _, b in sorted(x)) for i, x in pieces.items()}
+
+
+def test_pipeline_as_a_chain(spark, small, tmp_path):
+    """From the documents that language ID keeps on, each stage by brute force on what the one before it kept; columns of other names change nothing."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    # Near copies, whose only lines are many edits apart, and passages of others within texts of their own.
+    long = [(i, t.split()) for i, t in texts(docs.where("lang = 'en'").orderBy("doc_id")) if len(t.split()) > 200][:8]
+    near_copies = [(5000 + i, " ".join(f"{w}x" if k % 60 == 59 else w for k, w in enumerate(ws))) for i, ws in long[:4]]
+    passages = [(6000 + i, " ".join([*long[0][1][30:70], *ws[100:112], "and", *ws[20:60], *long[0][1][5:12]])) for i, ws in long[4:]]
+    planted = spark.createDataFrame([(i, t, "en", "x", len(t)) for i, t in near_copies + passages], docs.schema)
+    docs = docs.union(planted)
+    docs.withColumns({c: F.lit("clash") for c in CLASHING}).write.parquet(f"{tmp_path}/documents.parquet")
+    kept = texts(dict(corpus_pipeline.STAGES)["language_id"](spark, docs, small))
+    lines = {i: t for i, t in kept_lines(kept).items() if words(t)}
+    near = [(i, lines[i]) for i, (_, c) in near_components(list(lines.items())).items() if i == c]
+    left = {i: t for i, t in kept_words(near).items() if t or not words(dict(near)[i])}
+    assert len(near) < len(lines) < docs.count() and any(left.get(i, "") != " ".join(t.split()) for i, t in near)
+    wanted = {i: np.array([*LIBRARY.encode(t, add_special_tokens=False).ids, 2], "<u4").tobytes() for i, t in left.items()}
+    assert packed_ids(corpus_pipeline.run(spark, str(tmp_path))) == wanted
+
+
+def test_pipeline_edges(spark, small, tmp_path):
+    """No documents; rows that repeat an id, nulls, and texts of white space."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    docs.where("false").write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+    some = docs.where("doc_id < 60")
+    odd = spark.createDataFrame([(None, "a null id, with a text in plain words", "en", None, 3), (901, None, None, None, None), (902, " \n ", "en", "x", 3)], docs.schema)
+    some.unionByName(some.where("doc_id < 5")).unionByName(odd).write.parquet(f"{tmp_path}/odd/documents.parquet")
+    found = corpus_pipeline.run(spark, f"{tmp_path}/odd")
+    ids = {r["doc_id"] for r in found.select("doc_id").distinct().collect()}
+    assert not {901, 902} & ids and len(ids) > 20
