@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but the last return the columns of
 documents, n_chars being that of the text as it then is. Between stages the rows are written as Parquet and read again.
+
+In every stage: null and empty texts, and texts without letters, go with language ID; rows with a null id are never copies
+of others and are packed like the rest; rows that repeat an id are treated as their stage's operator states; very long texts
+are handled whole; of equal documents, lines and passages the earliest stays; other columns are carried along untouched,
+whatever their names, up to packing; no documents give no pieces.
 """
 
 from __future__ import annotations

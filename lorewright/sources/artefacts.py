@@ -21,7 +21,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, Filter, In, InputPartition, WriterCommitMessage
 from pyspark.sql.types import Row, StructType
 
-#: Each table's columns and the file that holds it.
+#: Each table's columns and the file that holds it. Fixed values.
 TABLES = {
     "segments": ("video_name string, segment_idx string, time string, content string, transcript string", "kv_store_video_segments.json"),
     "chunks": ("video_name string, chunk_id string, tokens long, content string, chunk_order_index long, video_segment_id array<string>", "kv_store_text_chunks.json"),

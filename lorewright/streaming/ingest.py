@@ -122,7 +122,12 @@ def run_available(stream: DataFrame, target: LoggedTable, checkpoint: str) -> St
 
     The state store is RocksDB's, which keeps a key's state on disk; the checkpoint holds what a restart needs.
     """
-    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    running = stream.writeStream.foreachBatch(lambda batch, number: target.append(batch, number) and None).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
-    running.awaitTermination()
+    conf, name = stream.sparkSession.conf, "spark.sql.streaming.stateStore.providerClass"
+    before = conf.get(name)
+    conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        running = stream.writeStream.foreachBatch(lambda batch, number: target.append(batch, number) and None).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+        running.awaitTermination()
+    finally:
+        conf.set(name, before)
     return running

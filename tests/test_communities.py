@@ -108,7 +108,7 @@ def test_as_good_as_sequential(spark, monkeypatch, kind, small):
     """Within a task, and by rounds."""
     monkeypatch.setattr(communities, "SMALL", small)
     if kind == "planted":
-        n, edges = planted(5, inner=0.7, outer=0.01) if small else planted(5, groups=3, size=12, inner=0.7, outer=0.01)
+        n, edges = planted(5, inner=0.7, outer=0.01) if small else planted(5, groups=2, size=12, inner=0.7, outer=0.01)
     elif kind == "star":
         edges = [(0, k, 1) for k in range(1, 30)] + [(100, k, 1) for k in range(101, 125)] + [(0, 100, 1)]
     else:
