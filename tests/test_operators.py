@@ -371,3 +371,9 @@ def test_lcs():
             for j, y in enumerate(b):
                 table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
         assert evaluate.lcs_length(a, b) == table[-1][-1]
+
+
+def test_short_numbers_are_rendered_as_g(spark):
+    given = [0.25, 7.5, -3.0, 123456.5, 123457.5, 249999.75, 999999.0, 999999.25, 999999.5, 1000000.0, 1234565.0, 1499998.75, 6000029.0, -25000000.5, 1e15, 1.5e22, 0.0001, 0.00012345678, 0.00001, 0.0000999999999, 3e-12, 100000.0]
+    rows = spark.createDataFrame([(x,) for x in given], "x double").select("x", T.short_number(F.col("x")).alias("g")).collect()
+    assert {r["x"]: r["g"] for r in rows} == {x: f"{x:g}" for x in given}
