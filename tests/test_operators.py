@@ -377,3 +377,17 @@ def test_short_numbers_are_rendered_as_g(spark):
     given = [0.25, 7.5, -3.0, 123456.5, 123457.5, 249999.75, 999999.0, 999999.25, 999999.5, 1000000.0, 1234565.0, 1499998.75, 6000029.0, -25000000.5, 1e15, 1.5e22, 0.0001, 0.00012345678, 0.00001, 0.0000999999999, 3e-12, 100000.0]
     rows = spark.createDataFrame([(x,) for x in given], "x double").select("x", T.short_number(F.col("x")).alias("g")).collect()
     assert {r["x"]: r["g"] for r in rows} == {x: f"{x:g}" for x in given}
+
+
+def test_edge_weights_round_as_the_sql_does(spark, small, tmp_path):
+    """Three places of halves: the product is rounded, as DuckDB does it, not the decimal form (src4_graphml)."""
+    import duckdb
+
+    from lorewright.plans import base
+
+    halves = [(f"Supplier#{i:09d}", i, i % 25, round(i * 0.37 + 0.5, 0) + 0.5) for i in range(3_000)]
+    spark.createDataFrame(halves, "s_name string, s_suppkey long, s_nationkey int, s_acctbal double").write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.read.parquet(f"{small}/nation.parquet").write.parquet(f"{tmp_path}/nation.parquet")
+    found = {r["src"]: r["weight"] for r in base.graph_tables(spark, str(tmp_path))[1].collect()}
+    wanted = duckdb.connect().execute(f"SELECT s_name, round(abs(s_acctbal) / 1000, 3) FROM '{tmp_path}/supplier.parquet/*.parquet'").fetchall()
+    assert found == dict(wanted)
