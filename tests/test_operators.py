@@ -391,3 +391,14 @@ def test_edge_weights_round_as_the_sql_does(spark, small, tmp_path):
     found = {r["src"]: r["weight"] for r in base.graph_tables(spark, str(tmp_path))[1].collect()}
     wanted = duckdb.connect().execute(f"SELECT s_name, round(abs(s_acctbal) / 1000, 3) FROM '{tmp_path}/supplier.parquet/*.parquet'").fetchall()
     assert found == dict(wanted)
+
+
+def test_letterbox_gives_few_images_at_a_time():
+    """A batch of ten thousand small images isn't one of ten thousand large ones."""
+    import pandas as pd
+
+    given = pd.Series([[float(i)] * 8 for i in range(100)]), pd.Series([4] * 100), pd.Series([2] * 100)
+    pieces = list(V.letterbox.func(iter([given])))
+    assert max(len(p) for p in pieces) <= V.IMAGES
+    images = [g for p in pieces for g in p]
+    assert len(images) == 100 and all(len(g) == 224 * 224 and g.max() == i and g.sum() == i * 224 * 112 for i, g in enumerate(images))
