@@ -57,7 +57,7 @@ def tx1_clean_text(spark, sf):
 def tx1_clean_full(spark, sf):
     from lorewright.functions import unicode as U
 
-    return table(spark, sf, "documents").select("doc_id", U.clean_text_full(F.col("text")).alias("c")).select("doc_id", "c.*")
+    return U.with_clean(table(spark, sf, "documents").select("doc_id", "text"), c=F.col("text")).select("doc_id", "c.*")
 
 
 @query(

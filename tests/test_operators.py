@@ -402,3 +402,22 @@ def test_letterbox_gives_few_images_at_a_time():
     assert max(len(p) for p in pieces) <= V.IMAGES
     images = [g for p in pieces for g in p]
     assert len(images) == 100 and all(len(g) == 224 * 224 and g.max() == i and g.sum() == i * 224 * 112 for i, g in enumerate(images))
+
+
+def test_cleaning_normalises_each_text_once(spark, small, capfd):
+    """The Java method stands once in the plan, not at each of the cleaned text's mentions, and the result is the same."""
+    from lorewright.plans import catalogue
+
+    rows = spark.createDataFrame([("ﬁne<|start|> We need to go\r\n\n\n\n b\x00",), (None,), ("Analysis",)], "text string")
+    found = U.with_clean(rows, c=F.col("text"))
+    assert sorted(map(str, found.select("c").collect())) == sorted(map(str, rows.select(U.clean_text_full(F.col("text")).alias("c")).collect()))
+    plan = catalogue.QUERIES["tx1_clean_full"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("java_method") + plan.count("reflect(") == 1
+
+
+def test_marks_go_from_texts_of_any_script(spark):
+    import unicodedata
+
+    given = ["plain", "Pyké", "ȩ́x", "กุ", "ṩ ﬁ", "\U0001d165x", "日本が"]
+    rows = spark.createDataFrame([(t,) for t in given], "t string").select("t", U.strip_diacritics(F.col("t")).alias("s")).collect()
+    assert {r["t"]: r["s"] for r in rows} == {t: "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)) for t in given}
