@@ -312,21 +312,18 @@ def train_parameters(texts: DataFrame, model: Model, own: np.ndarray) -> Paramet
     def packed(part: int, seen: float, total: np.ndarray) -> pa.RecordBatch:
         return pa.record_batch([pa.array([part]), pa.array([float(seen)]), pa.array([total.astype(np.float32).tobytes()], pa.binary())], ["part", "seen", "flat"])
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, seen, total = 0, 0.0, 0.0
-        for batch in batches:
-            for k in range(batch.num_rows):
-                part, seen = batch.column(0)[k].as_py(), seen + batch.column(1)[k].as_py()
-                total = total + np.frombuffer(batch.column(2)[k].as_py(), np.float32).astype(np.float64)
-        if seen:
-            yield packed(part, seen, total)
+    def add(rows: pa.Table) -> pa.Table:
+        part, seen, total = rows["part"][0].as_py(), 0.0, 0.0
+        for weight, flat in zip(rows["seen"], rows["flat"], strict=True):
+            seen, total = seen + weight.as_py(), total + np.frombuffer(flat.as_py(), np.float32).astype(np.float64)
+        return pa.Table.from_batches([packed(part // GROUP, seen, total)])
 
     kind = "part bigint, seen double, flat binary"
     trained = materialize(texts.mapInArrow(run, kind), "lm-parts")
-    left = trained.count()
-    while left > GROUP:  # sums of up to GROUP partitions' parameters, until as many are left
+    left = trained.agg(F.coalesce(F.max("part") + 1, F.lit(0)).alias("n")).first()["n"]
+    while left > GROUP:  # a row for each GROUP partitions' parameters, however the rows are dealt to tasks, until few are left
         left = math.ceil(left / GROUP)
-        trained = materialize(trained.repartitionByRange(left, "part").mapInArrow(add, kind), "lm-sums")
+        trained = materialize(trained.groupBy(F.floor(F.col("part") / GROUP)).applyInArrow(add, kind), "lm-sums")
     sums = trained.collect()
     seen = sum(r["seen"] for r in sums)
     return start.like(sum(np.frombuffer(r["flat"], np.float32).astype(np.float64) for r in sums) / seen) if seen else start

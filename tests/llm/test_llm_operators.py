@@ -437,6 +437,19 @@ def test_every_token_is_trained_on(spark, small, monkeypatch):
     assert kept["lm-parts"].agg(F.sum("seen")).first()[0] == model.tokens
 
 
+def test_few_parameters_reach_the_driver(spark, small, monkeypatch):
+    """However many tasks range partitions are dealt to, at most GROUP rows of parameters are left, and their mean is that of the partitions."""
+    kept, write, deal = {}, op08_lm.materialize, type(spark.range(0)).repartitionByRange
+    monkeypatch.setattr(op08_lm, "GROUP", 2)
+    monkeypatch.setattr(op08_lm, "materialize", lambda df, name: kept.setdefault(name if name != "lm-sums" else len(kept), write(df, name)))
+    monkeypatch.setattr(type(spark.range(0)), "repartitionByRange", lambda self, n, *cols: deal(self, max(n, 7), *cols))
+    model, _ = op08_lm.fit(spark.read.parquet(f"{small}/documents.parquet").repartition(7))
+    parts, sums = kept["lm-parts"].collect(), list(kept.values())[-1].collect()
+    assert len(parts) == 7 and len(sums) <= 2 and sum(r["seen"] for r in sums) == model.tokens
+    mean = sum(np.frombuffer(r["flat"], np.float32).astype(np.float64) for r in parts) / model.tokens
+    assert model.parameters.flat() == pytest.approx(mean, rel=1e-3, abs=1e-5)
+
+
 def test_class_probabilities_are_normalised(spark, small):
     model, _ = op08_lm.fit(spark.read.parquet(f"{small}/documents.parquet"))
     context = np.array([5, 9, 200])
