@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
@@ -56,7 +56,9 @@ class SessionProcessor(StatefulProcessor):
     """Sessions of a key in event time, kept as state and given when the watermark has passed their end (S2).
 
     The state is a sorted list of open sessions (start, last, n), a few for each key, as the watermark closes what lies
-    behind it. A timer is set at each session's end; when it fires, sessions that end by then go out and leave the state.
+    behind it. A key has one timer, at its first session's end; when it fires, all sessions that the watermark has passed go
+    out and leave the state, and the timer moves to the next end. So a key is called at most twice in a batch, whatever the
+    number of its sessions.
     """
 
     def __init__(self, gap_ms: int):
@@ -66,39 +68,46 @@ class SessionProcessor(StatefulProcessor):
         self.handle = handle
         self.open = handle.getValueState("open", "sessions array<struct<start:bigint,last:bigint,n:bigint>>")
 
-    def _held(self) -> list[list[int]]:
-        return [[int(x[0]), int(x[1]), int(x[2])] for x in self.open.get()[0]] if self.open.exists() else []
+    def _held(self) -> list[tuple[int, int, int]]:
+        held = self.open.get()
+        return [(x[0], x[1], x[2]) for x in held[0]] if held else []
 
-    def _keep(self, sessions: list[list[int]]) -> None:
+    def _keep(self, sessions: list[tuple[int, int, int]]) -> None:
         if sessions:
-            self.open.update(([tuple(s) for s in sessions],))
-        elif self.open.exists():
+            self.open.update((sessions,))
+        else:
             self.open.clear()
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        sessions = self._held()
-        ends = {s[1] + self.gap_ms for s in sessions}
-        for pdf in rows:
-            sessions += [[int(t), int(t), 1] for t in pdf["ms"]]
-        merged: list[list[int]] = []
-        for s in sorted(sessions):
+    def _end(self, sessions: list[tuple[int, int, int]]) -> int | None:
+        """When the first session ends."""
+        return sessions[0][1] + self.gap_ms if sessions else None
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        held = self._held()
+        merged: list[tuple[int, int, int]] = []
+        for s in sorted([*held, *((r["ms"], r["ms"], 1) for r in rows)]):
             if merged and s[0] - merged[-1][1] < self.gap_ms:
-                merged[-1] = [merged[-1][0], max(merged[-1][1], s[1]), merged[-1][2] + s[2]]
+                merged[-1] = (merged[-1][0], max(merged[-1][1], s[1]), merged[-1][2] + s[2])
             else:
                 merged.append(s)
         self._keep(merged)
-        new = {s[1] + self.gap_ms for s in merged}
-        for t in ends - new:
-            self.handle.deleteTimer(t)
-        for t in new - ends:
-            self.handle.registerTimer(t)
-        yield pd.DataFrame({"user_id": [], "start_ms": [], "end_ms": [], "n": []}, dtype="int64")
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now, sessions = expiredTimerInfo.getExpiryTimeInMs(), self._held()
-        over = [s for s in sessions if s[1] + self.gap_ms <= now]
-        self._keep([s for s in sessions if s[1] + self.gap_ms > now])
-        yield pd.DataFrame({"user_id": [key[0]] * len(over), "start_ms": [s[0] for s in over], "end_ms": [s[1] + self.gap_ms for s in over], "n": [s[2] for s in over]}, dtype="int64")
+        before, now = self._end(held), self._end(merged)
+        if before != now:
+            if before is not None:
+                self.handle.deleteTimer(before)
+            if now is not None:
+                self.handle.registerTimer(now)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        passed, held = timerValues.getCurrentWatermarkInMs(), self._held()
+        over = [s for s in held if s[1] + self.gap_ms <= passed]
+        left = held[len(over) :]  # they are sorted, and so are their ends
+        if over:
+            self._keep(left)
+            if left:
+                self.handle.registerTimer(self._end(left))
+        return iter([Row(user_id=key[0], start_ms=s[0], end_ms=s[1] + self.gap_ms, n=s[2]) for s in over])
 
     def close(self) -> None:
         pass
@@ -108,7 +117,7 @@ def stateful_sessions(stream: DataFrame, gap: str = "30 minutes", late: str = "1
     """user_id, start, end and n of sessions of a stream (user_id, ts) once the watermark has passed their end; later rows are left out, and counted by late_rows()."""
     gap_ms = int(pd.Timedelta(gap).total_seconds() * 1000)
     rows = stream.withWatermark("ts", late).select("user_id", "ts", F.unix_millis(F.col("ts").cast("timestamp_ltz")).alias("ms"))
-    found = rows.groupBy("user_id").transformWithStateInPandas(SessionProcessor(gap_ms), "user_id bigint, start_ms bigint, end_ms bigint, n bigint", "Append", "EventTime")
+    found = rows.groupBy("user_id").transformWithState(SessionProcessor(gap_ms), "user_id bigint, start_ms bigint, end_ms bigint, n bigint", "Append", "EventTime")
     return found.select("user_id", F.timestamp_millis("start_ms").alias("start"), F.timestamp_millis("end_ms").alias("end"), "n")
 
 

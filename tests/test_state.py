@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from lorewright.sources.log import LoggedTable
@@ -43,3 +44,34 @@ def test_sessions_across_a_restart(spark, tmp_path):
     rows = [(u, at(m)) for f in files for u, m in f if (u, m) not in late]
     found = sorted((r["user_id"], r["start"], r["end"], r["n"]) for r in target.read().where(F.col("n") > 0).collect())
     assert found == expected(rows, dt.timedelta(minutes=30), at(540)) and (1, at(0), at(40), 2) in found
+
+
+def test_a_key_has_one_timer():
+    """A key with many sessions has one timer at a time, and one call gives all that the watermark has passed."""
+    gap, minute, timers, state = 30 * 60_000, 60_000, set(), []
+
+    class Open:
+        get = staticmethod(lambda: (state[0],) if state else None)
+        exists = staticmethod(lambda: bool(state))
+        update = staticmethod(lambda value: state.__setitem__(slice(None), [value[0]]))
+        clear = staticmethod(state.clear)
+
+    class Handle:
+        getValueState = staticmethod(lambda *of: Open)
+        registerTimer = staticmethod(timers.add)
+        deleteTimer = staticmethod(timers.remove)
+
+    class Now:
+        getCurrentWatermarkInMs = staticmethod(lambda: 1_000 * minute)
+        getExpiryTimeInMs = staticmethod(lambda: min(timers))
+
+    p = ingest.SessionProcessor(gap)
+    p.init(Handle)
+    list(p.handleInputRows((5,), iter([Row(ms=k * 100 * minute) for k in range(20)]), Now))
+    assert timers == {gap}
+    fired = min(timers)
+    out = list(p.handleExpiredTimer((5,), Now, Now))
+    timers.remove(fired)
+    assert [r["start_ms"] for r in out] == [k * 100 * minute for k in range(10)] and timers == {1_000 * minute + gap}
+    list(p.handleInputRows((5,), iter([Row(ms=1_010 * minute)]), Now))
+    assert timers == {1_010 * minute + gap} and len(state[0]) == 10
