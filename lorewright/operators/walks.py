@@ -1,9 +1,11 @@
 """Second-order random walks and skip-gram vectors of a graph's nodes (GR10).
 
-A step proposes one neighbour by its index, drawn from the node's degree, so that a walk on a hub meets one row of the
-adjacency, never all its neighbours. A proposal is accepted with its odds over the largest there can be: its weight over the
-node's largest, and 1 / p for the way back, 1 for a neighbour of the node before, 1 / q for any other. Those that are
-refused are drawn again, until all walks have moved; so steps have the exact odds. Draws are hashes of walk, step and try.
+A step proposes one neighbour with its weight's share. The neighbours' weights lie end to end, and a node has as many places of
+equal length on that line as neighbours; a draw on the line meets the neighbours that reach into its place, two of them on
+average, so that a walk on a hub never meets all its neighbours. A proposal is accepted with its odds over the largest there can be: 1 / p
+for the way back, 1 for a neighbour of the node before, 1 / q for any other. Those that are refused are drawn again, twice as
+often each time, until all walks have moved; so steps have the exact odds, and their rounds don't depend on how much the
+weights differ. Draws are hashes of walk, step and try.
 
 Vectors are trained on counts of pairs within a window, by negative sampling. Nodes are dealt in blocks; in a sub-epoch every
 block of centres meets one block of contexts, each a different one, so that tasks never share a vector and none holds more
@@ -16,37 +18,49 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorewright import shared
 
-#: Proposals that a walk makes before the refused ones are written and draw again; nodes in a block.
-TRIES, BLOCK = 4, 2_048
+#: Proposals that a walk makes before the refused ones are written and draw again, and that it makes at once at most; nodes in a block.
+TRIES, MOST_TRIES, BLOCK = 4, 64, 2_048
 #: Pairs whose gradients are taken together.
 BATCH = 256
 
 
 def adjacency(edges: DataFrame) -> DataFrame:
-    """node, at (from 0), neighbour, weight, and degree and most (largest weight) of the neighbour, for edges (src, dst, weight) both ways.
+    """node, at (from 0), neighbour, weight, low and high (weights before it, and with it), first and last (places it reaches into),
+    and degree and total (weight) of the neighbour, for edges (src, dst, weight) both ways.
 
     Parallel edges are one with their summed weight; loops and weights of zero or less don't count.
     """
     rows = edges.where("src <> dst and weight > 0").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), F.col("weight").cast("double").alias("weight"))
     rows = shared.materialize(rows.groupBy("a", "b").agg(F.sum("weight").alias("weight")), "pairs")
     both = rows.select(F.col("a").alias("node"), F.col("b").alias("neighbour"), "weight").union(rows.select("b", "a", "weight"))
-    # A node's places: sorted within ranges, then counted from where the range's own rows begin.
+    # A node's places: sorted within ranges, then counted from where the range's own rows begin. Weights are summed likewise.
     ranged = both.repartitionByRange(F.col("node"), F.col("neighbour")).sortWithinPartitions("node", "neighbour").withColumn("at", F.monotonically_increasing_id())
-    ranged = shared.materialize(ranged, "ranged")
-    part = F.shiftright("at", 33)
-    heads = ranged.groupBy("node", part.alias("part")).agg(F.min("at").alias("first"), F.count("*").alias("n"), F.max("weight").alias("most"))
-    nodes = heads.groupBy("node").agg(F.sum("n").alias("degree"), F.max("most").alias("most"), F.array_sort(F.collect_list(F.struct("part", "first", "n"))).alias("parts"))  # a range each
-    nodes = shared.materialize(nodes, "degrees")
-    before = F.aggregate(F.filter("parts", lambda x: x["part"] < F.shiftright("at", 33)), F.lit(0).cast("long"), lambda s, x: s + x["n"])
-    first = F.filter("parts", lambda x: x["part"] == F.shiftright("at", 33))[0]["first"]
-    placed = ranged.join(nodes.select("node", "parts"), "node").select("node", (before + F.col("at") - first).alias("at"), "neighbour", "weight")
-    out = placed.join(nodes.select(F.col("node").alias("neighbour"), "degree", "most"), "neighbour")
-    return shared.materialize(out.select("node", "at", "neighbour", "weight", "degree", "most"), "adjacency")
+    ranged = shared.materialize(ranged, "ranged").withColumn("part", F.shiftright("at", 33))
+    own = Window.partitionBy("part", "node").orderBy("at")  # no more rows than a range
+    summed = ranged.withColumn("high", F.sum("weight").over(own.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    summed = shared.materialize(summed.withColumn("low", F.coalesce(F.lag("high").over(own), F.lit(0.0))), "summed")
+    heads = summed.groupBy("node", "part").agg(F.min("at").alias("first"), F.count("*").alias("n"), F.max("high").alias("weight"))
+    parts = F.array_sort(F.collect_list(F.struct("part", "first", "n", "weight")))  # a range each
+    nodes = heads.groupBy("node").agg(F.sum("n").alias("degree"), parts.alias("parts"))
+    weights = lambda parts: F.aggregate(parts, F.lit(0.0), lambda s, x: s + x["weight"])
+    nodes = shared.materialize(nodes.withColumn("total", weights(F.col("parts"))), "degrees")
+    before = F.filter("parts", lambda x: x["part"] < F.col("part"))
+    first = F.filter("parts", lambda x: x["part"] == F.col("part"))[0]["first"]
+    at = F.aggregate(before, F.lit(0).cast("long"), lambda s, x: s + x["n"]) + F.col("at") - first
+    placed = summed.join(nodes, "node").select("node", at.alias("at"), "neighbour", "weight", (weights(before) + F.col("low")).alias("low"), (weights(before) + F.col("high")).alias("high"), "degree", "total")
+    reach = [_place(c, "degree", "total").alias(name) for c, name in (("low", "first"), ("high", "last"))]
+    placed = placed.select("node", "at", "neighbour", "weight", "low", "high", *reach)
+    return shared.materialize(placed.join(nodes.select(F.col("node").alias("neighbour"), "degree", "total"), "neighbour"), "adjacency")
+
+
+def _place(x: str, degree: str, total: str) -> Column:
+    """The place of x on the line of a node's weights; it never falls as x rises."""
+    return F.least(F.floor(F.col(x) * F.col(degree) / F.col(total)), F.col(degree) - 1)
 
 
 def _draw(*of: Column | str) -> Column:
@@ -57,33 +71,38 @@ def _draw(*of: Column | str) -> Column:
 def walks(nodes: DataFrame, edges: DataFrame, length: int = 6, walks: int = 2, p: float = 1.0, q: float = 1.0, seed: int = 7) -> DataFrame:
     """start, walk (from 0) and path (array of ids) of `walks` walks of `length` nodes from each node (id); a node without neighbours stands alone."""
     links = adjacency(edges)
-    ends = links.groupBy(F.col("neighbour").alias("id")).agg(F.first("degree").alias("degree"), F.first("most").alias("most"))
+    ends = links.groupBy(F.col("neighbour").alias("id")).agg(F.first("degree").alias("degree"), F.first("total").alias("total"))
+    line = links.select("node", F.explode(F.sequence("first", "last")).alias("place"), "low", "high", F.col("neighbour").alias("next"), F.col("degree").alias("next_degree"), F.col("total").alias("next_total"))
+    line = shared.materialize(line, "places")
     pairs = links.select(F.col("node").alias("before"), F.col("neighbour").alias("next"), F.lit(True).alias("near"))
     largest = max(1.0, 1 / p, 1 / q)
     at = nodes.select("id").join(ends, "id", "left")
-    at = at.select(F.col("id").alias("start"), F.explode(F.sequence(F.lit(0), F.lit(walks - 1))).alias("walk"), F.array("id").alias("path"), "degree", "most")
+    at = at.select(F.col("id").alias("start"), F.explode(F.sequence(F.lit(0), F.lit(walks - 1))).alias("walk"), F.array("id").alias("path"), "degree", "total")
     alone = shared.materialize(at.where("degree is null").select("start", "walk", "path"), "walks")
     at = shared.materialize(at.where("degree is not null"), "walks")
     for step in range(1, length):
-        done, waiting, tries = [], at, 0
+        done, waiting, tries, more = [], at, 0, TRIES
         while True:
-            proposed = waiting.select("*", F.explode(F.sequence(F.lit(tries), F.lit(tries + TRIES - 1))).alias("try"))
+            proposed = waiting.select("*", F.explode(F.sequence(F.lit(tries), F.lit(tries + more - 1))).alias("try"))
             key = [F.col("start"), F.col("walk"), F.lit(step), F.col("try"), F.lit(seed)]
-            proposed = proposed.select(F.col("start"), F.col("walk"), F.element_at("path", -1).alias("node"), F.try_element_at("path", F.lit(-2)).alias("before"), "most", "try", F.floor(_draw(*key) * F.col("degree")).alias("at"), _draw(*key, F.lit(1)).alias("u"))
-            offered = proposed.join(links.select("node", "at", F.col("neighbour").alias("next"), "weight", F.col("degree").alias("next_degree"), F.col("most").alias("next_most")), ["node", "at"])
-            offered = offered.join(pairs, ["before", "next"], "left")
-            odds = F.when(F.col("before").isNull(), largest).when(F.col("next") == F.col("before"), 1 / p).when(F.col("near"), 1.0).otherwise(1 / q)
-            taken = offered.where(F.col("u") < F.col("weight") / F.col("most") * odds / largest)
-            taken = taken.groupBy("start", "walk").agg(F.min_by(F.struct("next", "next_degree", "next_most"), "try").alias("to"))
+            proposed = proposed.select(F.col("start"), F.col("walk"), F.element_at("path", -1).alias("node"), F.try_element_at("path", F.lit(-2)).alias("before"), "try", "degree", "total", (_draw(*key) * F.col("total")).alias("x"), _draw(*key, F.lit(1)).alias("u"))
+            offered = proposed.withColumn("place", _place("x", "degree", "total")).join(line, ["node", "place"]).where("low <= x and x < high")
+            back = F.col("before").isNull() | (F.col("next") == F.col("before"))
+            if q != 1:  # else all but the way back are alike
+                # Only those that the odds of a neighbour of the node before, or of any other, may let through are looked up.
+                offered = offered.where(back | (F.col("u") < max(1.0, 1 / q) / largest)).join(pairs, ["before", "next"], "left")
+            odds = F.when(F.col("before").isNull(), largest).when(F.col("next") == F.col("before"), 1 / p).when(F.col("near") if q != 1 else F.lit(True), 1.0).otherwise(1 / q)
+            taken = offered.where(F.col("u") < odds / largest)
+            taken = taken.groupBy("start", "walk").agg(F.min_by(F.struct("next", "next_degree", "next_total"), "try").alias("to"))
             result = shared.materialize(waiting.join(taken, ["start", "walk"], "left"), "steps")
             moved = result.where("to is not null")
-            done.append(moved.select("start", "walk", F.concat("path", F.array("to.next")).alias("path"), F.col("to.next_degree").alias("degree"), F.col("to.next_most").alias("most")))
-            waiting, tries = result.where("to is null").drop("to"), tries + TRIES
+            done.append(moved.select("start", "walk", F.concat("path", F.array("to.next")).alias("path"), F.col("to.next_degree").alias("degree"), F.col("to.next_total").alias("total")))
+            waiting, tries, more = result.where("to is null").drop("to"), tries + more, min(2 * more, MOST_TRIES)
             if waiting.isEmpty():
                 break
         at = done[0]
-        for more in done[1:]:
-            at = at.union(more)
+        for rest in done[1:]:
+            at = at.union(rest)
         at = shared.materialize(at, "walks") if len(done) > 1 else at
     return at.select("start", "walk", "path").union(alone)
 

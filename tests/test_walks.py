@@ -48,6 +48,24 @@ def test_steps_have_the_exact_odds(spark):
             assert abs(second[a, b, c] / n - o / sum(odds.values())) < 4.5 * 0.5 / np.sqrt(n)
 
 
+def test_rounds_do_not_grow_with_the_weights(spark, monkeypatch):
+    """One neighbour in 200 is a million times as heavy as the others: draws are by weight, so few are refused."""
+    written, write = [], walks.shared.materialize
+    monkeypatch.setattr(walks.shared, "materialize", lambda df, name: written.append(name) or write(df, name))
+    nodes, edges = frames(spark, [("h", f"n{k}", 1e6 if k == 7 else 1.0) for k in range(200)], ["h"])
+    found = [r["path"] for r in walks.walks(nodes, edges, length=2, walks=2000).collect()]
+    assert written.count("steps") == 1 and len(found) == 2000 and sum(p[1] == "n7" for p in found) >= 1990
+
+
+def test_places_cover_the_line(spark):
+    """A node's neighbours lie end to end on its line, each in the places between its first and last, whatever their ranges."""
+    _, edges = frames(spark, [("h", f"n{k:03}", 0.1 * (k % 7 + 1) + 1e-9 * k) for k in range(400)], [])
+    rows = sorted((r for r in walks.adjacency(edges).collect() if r["node"] == "h"), key=lambda r: r["at"])
+    assert rows[0]["low"] == 0 and all(a["high"] == b["low"] for a, b in zip(rows, rows[1:], strict=False))
+    assert rows[0]["first"] == 0 and rows[-1]["last"] == 399 and all(a["last"] == b["first"] or a["last"] == 399 for a, b in zip(rows, rows[1:], strict=False))
+    assert all(abs(r["high"] - r["low"] - r["weight"]) < 1e-9 for r in rows)
+
+
 def test_pairs_within_the_window(spark):
     paths = spark.createDataFrame([(["a", "b", "c", "a", "d"],), (["x"],)], "path array<string>")
     path, wanted = ["a", "b", "c", "a", "d"], collections.Counter()
