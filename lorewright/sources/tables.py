@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -215,12 +216,18 @@ def image_index(spark: SparkSession, folder: str, embed) -> DataFrame:
     return found.select(F.concat_ws("_", part(3), part(2), part(1)).alias("id"), part(3).alias("name"), part(2).alias("category"), part(1).alias("filename"), "vector")
 
 
+#: Matches that a task takes on average, so that its memory doesn't grow with their number.
+TASK_MATCHES = 200_000
+
+
 def best_regions(matches: DataFrame, partners: int = 4) -> DataFrame:
-    """A frame's main name (the best score in the middle) and partners (the first distinct names by score) (TK8). matches: frame_key, region, name, score."""
-    w = Window.partitionBy("frame_key", "region").orderBy(F.desc("score"), "name")
-    ranked = matches.withColumn("r", F.row_number().over(w))
-    firsts = ranked.groupBy("frame_key", "region", "name").agg(F.min("r").alias("r"))
-    firsts = firsts.withColumn("k", F.row_number().over(Window.partitionBy("frame_key", "region").orderBy("r")))
+    """A frame's main name (the best score in the middle) and partners (the first distinct names by score) (TK8). matches: frame_key, region, name, score.
+
+    The rows are dealt once, by frame, to as many tasks as their number asks for; a name's best score is found before names are ranked.
+    """
+    dealt = matches.repartition(max(1, math.ceil(matches.count() / TASK_MATCHES)), "frame_key")
+    best = dealt.groupBy("frame_key", "region", "name").agg(F.max("score").alias("score"))
+    firsts = best.withColumn("k", F.row_number().over(Window.partitionBy("frame_key", "region").orderBy(F.desc("score"), "name"))).where(F.col("k") <= max(partners, 1))
     main = F.max(F.when((F.col("region") == "middle") & (F.col("k") == 1), F.col("name")))
     others = F.transform(F.array_sort(F.collect_list(F.when((F.col("region") == "partners") & (F.col("k") <= partners), F.struct("k", "name")))), lambda x: x["name"])
     rows = firsts.groupBy("frame_key").agg(F.coalesce(main, F.lit("Unknown")).alias("main"), others.alias("partners"))

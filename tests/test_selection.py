@@ -64,3 +64,22 @@ def test_embeddings_as_by_hand(spark):
             v[h % 16] += 1 if h >= 1 << 63 else -1
         n = np.linalg.norm(v)
         assert np.allclose(vector, v / n if n else v, atol=1e-6)
+
+
+def test_regions_are_dealt_by_their_number(spark, monkeypatch):
+    """Tasks grow with the matches, and main names and partners are those of sorting each frame's matches."""
+    import random
+
+    from lorewright.sources import tables
+
+    draw = random.Random(3)
+    rows = [(draw.randrange(60), draw.choice(["middle", "partners", "left"]), f"n{draw.randrange(9)}", draw.choice([None, 0.0, 1.0, 2.5, 2.5, 7.0])) for _ in range(900)]
+    monkeypatch.setattr(tables, "TASK_MATCHES", 50)
+    found = tables.best_regions(spark.createDataFrame(rows, "frame_key int, region string, name string, score double"))
+    assert "hashpartitioning(frame_key" in (plan := found._jdf.queryExecution().toString()) and ", 18)" in plan
+    for r in found.collect():
+        ranked = {g: list(dict.fromkeys(n for _, n in sorted((-s if s is not None else 1.0, n) for f, region, n, s in rows if f == r["frame_key"] and region == g))) for g in ("middle", "partners")}
+        main = (ranked["middle"] or ["Unknown"])[0]
+        assert r["main"] == main and r["partners"] == ranked["partners"][:4]
+        assert r["entities"] == list(dict.fromkeys(([main] if main != "Unknown" else []) + ranked["partners"][:4]))
+    assert {r["frame_key"] for r in found.collect()} == {f for f, *_ in rows}
