@@ -21,6 +21,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -33,6 +34,8 @@ from lorewright.functions import vectors as V
 CODES = 256
 #: Rows of the sample whose nearest ones tell how many cells a search has to probe.
 TRIED = 2_000
+#: Pairs of a query and a row that a task of a search holds before it sorts out the best (some 16 MB).
+KEPT = 400_000
 
 
 def lloyd(x: np.ndarray, k: int, rounds: int = 12, seed: int = 7) -> np.ndarray:
@@ -202,22 +205,48 @@ class VectorIndex:
         stored = self.rows().where(F.col("cell").isin(cells))
         centroids, books = self.centroids, self.books
 
-        @F.pandas_udf("double")
-        def approximate(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-            for q, cell, codes in batches:
-                picked = np.frombuffer(b"".join(codes), np.uint8).reshape(len(codes), -1)
-                x = centroids[cell.to_numpy()] + np.concatenate([b[picked[:, j]] for j, b in enumerate(books)], 1)
-                yield pd.Series((x * np.stack(q.to_numpy())).sum(1))
-
-        near = stored.select("id", "codes", "cell").join(shared.checked(probed), "cell")
-        near = near.select("query_id", "q", "cell", "id", approximate("q", "cell", "codes").alias("near"))
+        def approximate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """query_id, of (a hash of q), cell, id and near of each query's best `rerank` rows of this task, sorted out whenever KEPT rows are held."""
+            held: list[pa.Table] = []
+            size = 0
+            for batch in batches:
+                q, codes = _matrix(batch.column(1)), np.frombuffer(b"".join(batch.column(5).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+                x = centroids[batch.column(3).to_numpy()] + np.concatenate([b[codes[:, j]] for j, b in enumerate(books)], 1)
+                held.append(pa.table([batch.column(0), batch.column(2), batch.column(3), batch.column(4), pa.array((x * q).sum(1))], ["query_id", "of", "cell", "id", "near"]))
+                size += batch.num_rows
+                if size >= KEPT:
+                    best = _best(held, rerank)
+                    size = best.num_rows
+                    held = [best] if 2 * size < KEPT else []
+                    if not held:  # too many queries to hold their best
+                        size = 0
+                        yield from best.to_batches()
+            if size:
+                yield from _best(held, rerank).to_batches()
+
+        near = stored.select("cell", "id", "codes").join(shared.checked(probed), "cell").select("query_id", "q", F.xxhash64("q").alias("of"), "cell", "id", "codes")
+        kind = near.schema["id"].dataType.simpleString()
+        near = near.mapInArrow(approximate, f"query_id string, of bigint, cell int, id {kind}, near double")
         best = Window.partitionBy("query_id").orderBy(F.desc("near"), "id")
-        found = near.withColumn("place", F.row_number().over(best)).where(F.col("place") <= rerank).select("query_id", "q", "cell", "id")
+        found = near.withColumn("place", F.row_number().over(best)).where(F.col("place") <= rerank).select("query_id", "of", "cell", "id")
+        asked = probed.select(F.col("query_id").alias("asked"), "q", F.xxhash64("q").alias("of")).dropDuplicates(["asked", "of"])
+        found = found.join(asked, (F.col("asked").eqNullSafe(F.col("query_id"))) & (asked["of"] == found["of"])).select("query_id", "q", "cell", "id")
         found = shared.materialize(found, "index-found")
         rows = stored.drop("codes", "stamp").join(shared.checked(found), ["cell", "id"]).withColumn("score", V.dot(F.col("q"), F.col("vector")))
         final = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
         return rows.drop("q", "vector", "cell").withColumn("rank", F.row_number().over(final)).where(F.col("rank") <= k)
 
 
+def _best(held: list[pa.Table], rerank: int) -> pa.Table:
+    """Each query's `rerank` rows with the largest near, of equal ones those with the least ids."""
+    rows = pa.concat_tables(held).combine_chunks()
+    rows = rows.take(pc.sort_indices(rows, [("query_id", "ascending"), ("near", "descending"), ("id", "ascending")]))
+    query = rows["query_id"].combine_chunks().dictionary_encode("encode")
+    query = (query.chunk(0) if isinstance(query, pa.ChunkedArray) else query).indices.to_numpy()
+    at = np.arange(len(query))
+    first = np.maximum.accumulate(np.where(np.append(True, query[1:] != query[:-1]), at, 0))
+    return rows.filter(pa.array(at - first < rerank))
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy().reshape(len(column), -1).astype(np.float64)

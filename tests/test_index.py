@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lorewright.plans import catalogue
+from lorewright.sources import vector_index
 from lorewright.sources.vector_index import VectorIndex, lloyd
 
 
@@ -111,3 +112,22 @@ def test_nearest_by_blocks_is_brute_force_with_ties(spark, monkeypatch):
             monkeypatch.setattr(retrieval, "HELD", held)
             got = retrieval.nearest(queries, vectors, k, threshold).select("query_id", "video_name", "id", "entity_name", "score", "rank").collect()
             assert {tuple(r) for r in got} == wanted and len(got) == len(wanted)
+
+
+def test_tasks_sort_out_the_best(spark, tmp_path, monkeypatch):
+    """Pairs are sorted out within tasks, and whatever a task may hold, the same rows are found."""
+    rows = spark.range(600).select("id", F.transform(F.sequence(F.lit(1), F.lit(8)), lambda k: (F.pmod(F.xxhash64("id", k), F.lit(97)) - 48).cast("double")).alias("vector"))
+    index = vector_index.VectorIndex.build(rows, f"{tmp_path}/index", parts=4)
+    asked = rows.where("id % 40 = 0").select(F.col("id").cast("string").alias("query_id"), "vector")
+    found = {}
+    for kept in (40, 1_000_000):
+        monkeypatch.setattr(vector_index, "KEPT", kept)
+        found[kept] = sorted((r["query_id"], r["rank"], r["id"]) for r in index.search(asked, 5, probes=1_000, rerank=600).collect())
+    exact = {r["query_id"]: np.array(r["vector"]) for r in asked.collect()}
+    x = np.array([r["vector"] for r in rows.orderBy("id").collect()])
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    for q, v in exact.items():
+        score = unit @ (v / np.linalg.norm(v))
+        mine = [i for k, _, i in found[40] if k == q]
+        assert np.allclose(np.sort(score[mine])[::-1], np.sort(score)[::-1][:5], atol=1e-6)
+    assert found[40] == found[1_000_000] and len(found[40]) == 75
