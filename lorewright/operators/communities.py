@@ -12,7 +12,12 @@ Weights are sums per pair of a node and a community, so hubs cost what their nei
 scope (a whole graph, or a community that is split again) stand beside its nodes. Every round is written before the next.
 
 Scopes of at most SMALL links, by count, are each settled within one task, node after node; there may be any number of them,
-as where many communities are split at once. Larger ones take the rounds above.
+as where many communities are split at once. From larger ones the nodes with one link are taken first: such a node never loses
+by being with its neighbour, whatever the partition, so it goes where that one goes, and its link stays as a loop. What is left
+is settled in one task if it is small now, else by the rounds above.
+
+Tables of nodes, links and moves are joined by sorting, whatever their size: as broadcasts they would pass through the driver
+in every round.
 """
 
 from __future__ import annotations
@@ -31,6 +36,11 @@ LEAST, SHARES = 1e-12, 5
 SMALL = 50_000
 
 
+def _by_sort(df: DataFrame) -> DataFrame:
+    """A side of a join that is never broadcast, even if it is small."""
+    return df.hint("merge")
+
+
 def _leaves(c: str, seed: int) -> Column:
     """The colour of a community: whether nodes may leave it in this round, or else enter it."""
     return F.pmod(F.xxhash64(c, F.lit(seed)), F.lit(2)) == 0
@@ -51,10 +61,10 @@ def _moves(nodes: DataFrame, links: DataFrame, alone: bool, seed: int) -> DataFr
     alone: only nodes that are a community by themselves.
     """
     of = nodes.select(F.col("node").alias("y"), F.col("c").alias("cy"))
-    near = links.join(of, "y").groupBy(F.col("x").alias("node"), "cy").agg(F.sum("w").alias("w"))
+    near = links.join(_by_sort(of), "y").groupBy(F.col("x").alias("node"), "cy").agg(F.sum("w").alias("w"))
     sizes = nodes.groupBy("c").agg(F.sum("k").alias("ks"), F.count("*").alias("n"))
-    mine = nodes.join(sizes, "c")
-    rows = near.join(mine.where("n = 1") if alone else mine, "node").join(sizes.select(F.col("c").alias("cy"), F.col("ks").alias("ky")), "cy")
+    mine = nodes.join(_by_sort(sizes), "c")
+    rows = near.join(_by_sort(mine.where("n = 1") if alone else mine), "node").join(_by_sort(sizes.select(F.col("c").alias("cy"), F.col("ks").alias("ky"))), "cy")
     other = F.col("cy") != F.col("c")
     score = F.struct((F.col("w") - F.col("k") * F.col("ky") / F.col("total")).alias("s"), (-F.col("cy")).alias("c"))
     open_ = _leaves("c", seed) & ~_leaves("cy", seed)
@@ -78,7 +88,7 @@ def _accepted(moves: DataFrame, seed: int) -> DataFrame:
             level, through = F.when(fits, s).otherwise(level), F.when(fits, F.col(f"t{s}")).otherwise(through)
         return found.select(F.col("c").alias(column), level.alias(f"level_{column}"), (through + F.col("top.k")).alias(f"weight_{column}"), (-F.col("top.node")).alias(f"top_{column}"))
 
-    both = rows.join(side("a"), "a").join(side("b"), "b")
+    both = rows.join(_by_sort(side("a")), "a").join(_by_sort(side("b")), "b")
     first = (F.col("top_a") == F.col("node")) & (F.col("top_b") == F.col("node"))
     together = (F.col("share") >= F.col("level_a")) & (F.col("share") >= F.col("level_b")) & (F.col("gain") - F.col("k") * (F.col("weight_a") + F.col("weight_b")) / F.col("total") > LEAST)
     return both.where(first | together).select("node", "b")
@@ -92,7 +102,7 @@ def settle(nodes: DataFrame, links: DataFrame, seed: int, alone: bool = False, r
         if not left["gaining"]:
             break
         if left["open"]:
-            moved = nodes.join(_accepted(moves, seed + r), "node", "left").withColumn("c", F.coalesce("b", "c")).drop("b")
+            moved = nodes.join(_by_sort(_accepted(moves, seed + r)), "node", "left").withColumn("c", F.coalesce("b", "c")).drop("b")
             nodes = shared.materialize(moved, "communities")
     return nodes
 
@@ -172,21 +182,49 @@ def leiden(nodes: DataFrame, edges: DataFrame, seed: int = 7) -> DataFrame:
     Edges between scopes don't count, neither do weights of zero or less; a loop adds to its node's degree only.
     """
     links = edges.where("weight > 0").select("scope", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.col("weight").cast("double").alias("w"))
-    links = shared.materialize(links.groupBy("scope", "a", "b").agg(F.sum("w").alias("w")), "links")
+    few, many, _ = _by_size(shared.materialize(links.groupBy("scope", "a", "b").agg(F.sum("w").alias("w")), "links"))
+    found = few.groupBy("scope").applyInPandas(_leiden_here(seed), "node long, c long")
+    if many is not None:
+        hairs = shared.materialize(_hairs(many), "hairs")
+        few, many, large = _by_size(shared.materialize(_trimmed(many, hairs), "links"))
+        core = few.groupBy("scope").applyInPandas(_leiden_here(seed), "node long, c long")
+        if many is not None:
+            core = core.unionByName(_by_rounds(nodes.join(shared.checked(large), "scope", "left_semi"), many, seed))
+        core = shared.materialize(core, "core")
+        whole = core.unionByName(hairs.join(_by_sort(core.withColumnRenamed("node", "to")), "to").select("node", "c"))
+        names = whole.groupBy("c").agg(F.min("node").alias("least"))
+        found = found.unionByName(whole.join(_by_sort(names), "c").select("node", F.col("least").alias("c")))
+    return nodes.select("node", "scope").join(_by_sort(found), "node", "left").select("node", "scope", F.coalesce("c", "node").alias("c"))
+
+
+def _by_size(links: DataFrame) -> tuple[DataFrame, DataFrame | None, DataFrame]:
+    """Links of scopes that one task settles, those of larger ones (none if there is no such scope), and the larger scopes."""
     large = shared.materialize(links.groupBy("scope").count().where(F.col("count") > SMALL).select("scope"), "large")
     few = links.join(shared.checked(large), "scope", "left_anti")
-    found = few.groupBy("scope").applyInPandas(_leiden_here(seed), "node long, c long")
-    if not large.isEmpty():
-        found = found.unionByName(_by_rounds(nodes.join(shared.checked(large), "scope", "left_semi"), links.join(shared.checked(large), "scope", "left_semi"), seed))
-    return nodes.select("node", "scope").join(found, "node", "left").select("node", "scope", F.coalesce("c", "node").alias("c"))
+    return few, None if large.isEmpty() else links.join(shared.checked(large), "scope", "left_semi"), large
+
+
+def _hairs(links: DataFrame) -> DataFrame:
+    """node and to: nodes with one link and no loop, and whom they are linked to; of two such nodes the greater is with the lesser."""
+    ends = links.select("scope", F.col("a").alias("node"), F.col("b").alias("to")).union(links.where("a <> b").select("scope", "b", "a"))
+    single = ends.groupBy("scope", "node").agg(F.count("*").alias("n"), F.min("to").alias("to")).where("n = 1 and to <> node").select("node", "to")
+    two = _by_sort(single.select(F.col("node").alias("to"), F.col("to").alias("back")))
+    return single.join(two, "to", "left").where("back is null or node > to").select("node", "to")
+
+
+def _trimmed(links: DataFrame, hairs: DataFrame) -> DataFrame:
+    """The links without hairs, whose own links are loops of the nodes that they are with."""
+    for end in ("a", "b"):
+        links = links.join(_by_sort(hairs.withColumnsRenamed({"node": end, "to": "with"})), end, "left").withColumn(end, F.coalesce("with", end)).drop("with")
+    return links.groupBy("scope", "a", "b").agg(F.sum("w").alias("w"))
 
 
 def _by_rounds(nodes: DataFrame, links: DataFrame, seed: int, levels: int = 20) -> DataFrame:
     """node and c of the nodes that have links (scope, a, b, w)."""
     ends = links.select("scope", F.col("a").alias("node"), "w").union(links.select("scope", F.col("b"), "w"))
-    own = ends.groupBy("scope", "node").agg(F.sum("w").alias("k")).join(nodes.select("node"), "node", "left_semi")
+    own = ends.groupBy("scope", "node").agg(F.sum("w").alias("k")).join(_by_sort(nodes.select("node")), "node", "left_semi")
     totals = links.groupBy("scope").agg((2 * F.sum("w")).alias("total"))
-    own = own.join(totals, "scope")
+    own = own.join(shared.checked(shared.materialize(totals, "totals")), "scope")
     level = shared.materialize(own.select("node", "scope", "k", "total", F.col("node").alias("c")), "communities")
     two = links.where("a <> b").select("a", "b", "w")
     two = shared.materialize(two.select(F.col("a").alias("x"), F.col("b").alias("y"), "w").union(two.select("b", "a", "w")), "links")
@@ -194,23 +232,23 @@ def _by_rounds(nodes: DataFrame, links: DataFrame, seed: int, levels: int = 20)
     for _ in range(levels):
         level = settle(level, two, seed)
         of = level.select("node", F.col("c").alias("p"))
-        inside = two.join(of.withColumnsRenamed({"node": "x", "p": "px"}), "x").join(of.withColumnsRenamed({"node": "y", "p": "py"}), "y").where("px = py").select("x", "y", "w")
+        inside = two.join(_by_sort(of.withColumnsRenamed({"node": "x", "p": "px"})), "x").join(_by_sort(of.withColumnsRenamed({"node": "y", "p": "py"})), "y").where("px = py").select("x", "y", "w")
         inside = shared.materialize(inside, "links")
         refined = settle(level.withColumn("c", F.col("node")), inside, seed + 17, alone=True)
-        refined = shared.materialize(refined.select("node", F.col("c").alias("r")).join(of, "node"), "refined")
+        refined = shared.materialize(refined.select("node", F.col("c").alias("r")).join(_by_sort(of), "node"), "refined")
         size = refined.agg(F.count("*").alias("before"), F.count_distinct("r").alias("after")).first()
-        members = members.drop("p").withColumnRenamed("part", "of").join(refined.withColumnRenamed("node", "of"), "of")
+        members = members.drop("p").withColumnRenamed("part", "of").join(_by_sort(refined.withColumnRenamed("node", "of")), "of")
         members = shared.materialize(members.select("node", F.col("r").alias("part"), "p"), "members")
         if size["after"] == size["before"]:
             break
         # The next graph: refined communities as nodes, each in the community that it was refined from.
-        level = level.drop("c").join(refined, "node").groupBy(F.col("r").alias("node"), "scope", "total", F.col("p").alias("c")).agg(F.sum("k").alias("k"))
+        level = level.drop("c").join(_by_sort(refined), "node").groupBy(F.col("r").alias("node"), "scope", "total", F.col("p").alias("c")).agg(F.sum("k").alias("k"))
         level = shared.materialize(level.select("node", "scope", "k", "total", "c"), "communities")
         to = refined.select("node", "r")
-        two = two.join(to.withColumnsRenamed({"node": "x", "r": "rx"}), "x").join(to.withColumnsRenamed({"node": "y", "r": "ry"}), "y").where("rx <> ry")
+        two = two.join(_by_sort(to.withColumnsRenamed({"node": "x", "r": "rx"})), "x").join(_by_sort(to.withColumnsRenamed({"node": "y", "r": "ry"})), "y").where("rx <> ry")
         two = shared.materialize(two.groupBy(F.col("rx").alias("x"), F.col("ry").alias("y")).agg(F.sum("w").alias("w")), "links")
     names = members.groupBy("p").agg(F.min("node").alias("c"))
-    return members.join(names, "p").select("node", "c")
+    return members.join(_by_sort(names), "p").select("node", "c")
 
 
 def modularity(members: DataFrame, edges: DataFrame) -> float:
@@ -230,21 +268,21 @@ def hierarchy(nodes: DataFrame, edges: DataFrame, max_size: int = 10, seed: int
     Clusters are named by level and their least node_ord.
     """
     numbers = nodes.select("id", F.col("node_ord").cast("long").alias("node"))
-    pairs = edges.join(numbers.withColumnsRenamed({"id": "src", "node": "a"}), "src").join(numbers.withColumnsRenamed({"id": "dst", "node": "b"}), "dst")
+    pairs = edges.join(_by_sort(numbers.withColumnsRenamed({"id": "src", "node": "a"})), "src").join(_by_sort(numbers.withColumnsRenamed({"id": "dst", "node": "b"})), "dst")
     pairs = shared.materialize(pairs.select("a", "b", F.col("weight").cast("double").alias("weight")), "edges")
     scopes = numbers.select("node", F.lit(0).cast("long").alias("scope"))
     out = None
     for level in range(max_levels):
         own = scopes.select("node", "scope")
-        inside = pairs.join(own.withColumnsRenamed({"node": "a"}), "a").join(own.withColumnsRenamed({"node": "b", "scope": "other"}), "b").where("scope = other")
+        inside = pairs.join(_by_sort(own.withColumnsRenamed({"node": "a"})), "a").join(_by_sort(own.withColumnsRenamed({"node": "b", "scope": "other"})), "b").where("scope = other")
         found = leiden(scopes, inside.select("scope", "a", "b", "weight"), seed + level)
         sizes = found.groupBy("scope", "c").agg(F.count("*").alias("n"))
         falls = sizes.groupBy("scope").agg(F.count("*").alias("parts"))
-        found = found.join(sizes, ["scope", "c"]).join(falls, "scope")
+        found = found.join(_by_sort(sizes), ["scope", "c"]).join(_by_sort(falls), "scope")
         found = shared.materialize(found if level == 0 else found.where("parts > 1"), "clusters")
         if found.isEmpty():
             break
-        rows = found.join(numbers, "node").select("id", F.lit(level).alias("level"), F.concat(F.lit(f"{level}-"), F.col("c").cast("string")).alias("cluster"))
+        rows = found.join(_by_sort(numbers), "node").select("id", F.lit(level).alias("level"), F.concat(F.lit(f"{level}-"), F.col("c").cast("string")).alias("cluster"))
         out = rows if out is None else out.unionByName(rows)
         scopes = shared.materialize(found.where(F.col("n") > max_size).select("node", F.col("c").alias("scope")), "scopes")
         if scopes.isEmpty():

@@ -159,3 +159,30 @@ def test_levels_feed_the_community_schema(spark):
     members = communities.hierarchy(nodes, links, max_size=5)
     rows = graph.community_schema(members, nodes, links).where(F.col("level") == 0).collect()
     assert len(rows) == 4 and all(len(r["nodes"]) == 6 and r["chunk_ids"] == ["c0", "c1", "c2"] for r in rows)
+
+
+def test_nodes_of_one_link_take_no_rounds(spark, monkeypatch):
+    """In scopes that are too large for a task, they go where their neighbours do before any round."""
+    monkeypatch.setattr(communities, "SMALL", 10)
+
+    def none(*_, **__):
+        raise AssertionError("rounds")
+
+    monkeypatch.setattr(communities, "settle", none)
+    edges = [(50, k, 2) for k in range(20)] + [(60, k, 1) for k in range(61, 90)] + [(50, 60, 1), (91, 90, 3), (92, 93, 1), (93, 92, 1), (94, 95, 1), (94, 94, 1)]
+    near = graph_of([(a, b, w) for a, b, w in edges if a != b])
+    of, _ = found_by_spark(spark, sorted(near), edges)
+    assert of == {**{k: 0 for k in (*range(20), 50)}, **{k: 60 for k in range(60, 90)}, 90: 90, 91: 90, 92: 92, 93: 92, 94: 94, 95: 94}
+
+
+def test_rounds_send_no_table_through_the_driver(spark, monkeypatch):
+    plans = []
+    write, settle = communities.shared.materialize, communities.settle
+    monkeypatch.setattr(communities.shared, "materialize", lambda df, name: plans.append((name, df._jdf.queryExecution().executedPlan().toString())) or write(df, name))
+    monkeypatch.setattr(communities, "settle", lambda *a, **k: settle(*a, **{**k, "rounds": 1}))
+    nodes = spark.createDataFrame([(a, 0) for a in range(4)], "node long, scope long")
+    links = spark.createDataFrame([(0, a, b, 1.0) for a, b in itertools.combinations(range(4), 2)], "scope long, a long, b long, w double")
+    communities._by_rounds(nodes, links, 7, levels=1)
+    assert {"moves", "communities", "refined", "members"} <= {n for n, _ in plans}
+    # Only the scopes' totals are broadcast, by count, where the first communities are made.
+    assert sum(p.count("BroadcastHashJoin") for _, p in plans) <= 1
