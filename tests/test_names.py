@@ -3,6 +3,8 @@
 import difflib
 import random
 
+from pyspark.sql import functions as F
+
 from lorewright.functions import unicode as U
 
 
@@ -47,3 +49,21 @@ def test_as_comparing_all_pairs(spark):
 def test_without_aliases(spark):
     rows = spark.createDataFrame([("a",), (None,), ("",)], "raw string")
     assert sorted(r["name"] for r in U.normalize_names(rows, "raw", {"X": []}).collect()) == ["A", "Unknown", "Unknown"]
+
+
+def test_entity_keys_step_by_step(spark):
+    """The same keys as in one expression, each name normalised once a step; names resolve by them whatever their length."""
+    from lorewright.operators import graph
+
+    names = ['"“Pyké’s Hook”"', " \u00a0'Ａ &amp; B'\u2003\n", "Straße\u0301", "Ἀχιλλεύς x", "", "''", "é" * 70 + "a", None, "a b\u2028", "\u0085 q", "x" * 63, "x" * 64, "\"x" + "x" * 63 + '"', "y z " * 40, "Y-Z " * 40]
+    rows = spark.createDataFrame(list(enumerate(names)), "node_ord long, name string").repartition(2)
+    one = {r[0]: r[1] for r in rows.select("node_ord", U.entity_key(F.col("name"))).collect()}
+    assert {r["node_ord"]: r["key"] for r in U.with_entity_key(rows, "name", "key").collect()} == one
+    plan = U.with_entity_key(rows, "name", "key")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("reflect(") + plan.count("java_method(") == 3
+    nodes = rows.where("name is not null").select(F.col("name").alias("id"), "node_ord", F.lit("PERSON").alias("entity_type"), F.lit("d").alias("description"), F.lit("s").alias("source_id"))
+    found = graph.resolve_entities(nodes, spark.createDataFrame([], "src string, dst string"), U.entity_key, U.unquote)[0].collect()
+    firsts = {}
+    for k, v in sorted(one.items()):
+        firsts.setdefault(v or f"none {k}", k)
+    assert {r["node_ord"] for r in found} == {k for v, k in firsts.items() if names[k] is not None} and len(found) == len({r["node_ord"] for r in found})
