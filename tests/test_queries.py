@@ -70,3 +70,11 @@ def test_library_stands_without_the_optional_part(tmp_path):
     shutil.copy(root / "__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 90 and not any(k.startswith('op') or k == 'pipeline' for k in q)"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path)})
+
+
+@pytest.mark.parametrize("name", ["gr7_global", "q2_visual"])
+def test_words_of_a_text_are_made_once(spark, small, name):
+    """A filter on a text's words isn't moved below the projection that makes them."""
+    plan = catalogue.QUERIES[name](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    made = [line for line in plan.split("\n") if "regexp_extract_all" in line and "concat_ws" in line]
+    assert len(made) == 1
