@@ -2,8 +2,8 @@
 
 A folder holds the model (cell centroids, a codebook for each part of the residual), the rows by cell, and the ids that a
 later insertion replaced. A row keeps its codes and its unit vector; a search reads the codes of the probed cells only
-(a static partition filter and two columns), takes each query's best `rerank` by the approximate product, and reads the
-vectors of these for the exact cosine.
+(a static partition filter and two columns), takes each query's best `rerank` by the approximate product, block of queries
+by slice of rows, and reads the vectors of these for the exact cosine.
 
 Cells grow with the square root of the rows, so that the model stays small beside them (31,623 cells of 64 floats, 8 MB, for
 a billion rows); it is what a worker is given. Centroids and codebooks are fitted on a random sample of `sample` rows or 32
@@ -15,7 +15,7 @@ length or hold null or non-finite components are left out. Rows are written in f
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -34,8 +34,13 @@ from lorewright.functions import vectors as V
 CODES = 256
 #: Rows of the sample whose nearest ones tell how many cells a search has to probe.
 TRIED = 2_000
-#: Pairs of a query and a row that a task of a search holds before it sorts out the best (some 16 MB).
-KEPT = 400_000
+#: Queries and rows that meet in a group of a search at most, rows that a group takes at a time, and pairs that it holds
+#: before it sorts out the best (some 10 MB).
+ASKED, ROWS, STEP, KEPT = 512, 1 << 18, 4_096, 400_000
+#: Rows found and components of queries that are broadcast at most (some 5 MB each); beyond it joins shuffle.
+FEW_FOUND, FEW_FLOATS = 50_000, 1 << 20
+#: How far a matrix product may be from the sum in the order of the elements.
+MARGIN = 1e-9
 
 
 def lloyd(x: np.ndarray, k: int, rounds: int = 12, seed: int = 7) -> np.ndarray:
@@ -186,55 +191,110 @@ class VectorIndex:
         self._write(good, stamp)
 
     def probes(self, queries: DataFrame, probes: int) -> DataFrame:
-        """query_id, q (unit vector) and cell: the cells with the nearest centroids, for each query."""
+        """query_id, q (unit vector) and cells: those with the nearest centroids, for each query."""
         centroids = self.centroids
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 near = np.argsort(-(_matrix(batch.column(1)) @ centroids.T), axis=1, kind="stable")[:, :probes]
-                again = pa.array(np.repeat(np.arange(batch.num_rows), near.shape[1]))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(again), batch.column(1).take(again), pa.array(near.ravel().astype(np.int32))], ["query_id", "q", "cell"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(near.astype(np.int32)), pa.list_(pa.int32()))], ["query_id", "q", "cells"])
 
         asked = usable(queries.select("query_id", "vector"), centroids.shape[1])
-        return asked.mapInArrow(run, "query_id string, q array<float>, cell int")
+        return asked.mapInArrow(run, "query_id string, q array<float>, cells array<int>")
 
     def search(self, queries: DataFrame, k: int, probes: int | None = None, rerank: int = 200) -> DataFrame:
-        """query_id, rank, score (exact cosine) and the columns of the k best rows found for each query (query_id, vector)."""
-        probed = shared.materialize(self.probes(queries, probes or self.reach), "probes")
-        cells = sorted(r["cell"] for r in probed.select("cell").distinct().collect())  # cells, at most those of the model
-        stored = self.rows().where(F.col("cell").isin(cells))
-        centroids, books = self.centroids, self.books
+        """query_id, rank, score (exact cosine) and the columns of the k best rows found for each query (query_id, vector).
 
-        def approximate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            """query_id, of (a hash of q), cell, id and near of each query's best `rerank` rows of this task, sorted out whenever KEPT rows are held."""
-            held: list[pa.Table] = []
-            size = 0
-            for batch in batches:
-                q, codes = _matrix(batch.column(1)), np.frombuffer(b"".join(batch.column(5).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
-                x = centroids[batch.column(3).to_numpy()] + np.concatenate([b[codes[:, j]] for j, b in enumerate(books)], 1)
-                held.append(pa.table([batch.column(0), batch.column(2), batch.column(3), batch.column(4), pa.array((x * q).sum(1))], ["query_id", "of", "cell", "id", "near"]))
-                size += batch.num_rows
-                if size >= KEPT:
-                    best = _best(held, rerank)
-                    size = best.num_rows
-                    held = [best] if 2 * size < KEPT else []
-                    if not held:  # too many queries to hold their best
-                        size = 0
-                        yield from best.to_batches()
-            if size:
-                yield from _best(held, rerank).to_batches()
-
-        near = stored.select("cell", "id", "codes").join(shared.checked(probed), "cell").select("query_id", "q", F.xxhash64("q").alias("of"), "cell", "id", "codes")
-        kind = near.schema["id"].dataType.simpleString()
-        near = near.mapInArrow(approximate, f"query_id string, of bigint, cell int, id {kind}, near double")
+        Blocks of queries meet slices of rows' codes, each pair of them in a group of its own, and a group gives each query's
+        best `rerank` rows. Neither pairs nor vectors beyond FEW_FOUND and FEW_FLOATS pass through the driver.
+        """
+        probed = shared.materialize(self.probes(queries, probes or self.reach).withColumn("lw_no", F.monotonically_increasing_id()), "probes")
+        cells = sorted(r["cell"] for r in probed.select(F.explode("cells").alias("cell")).distinct().collect())  # cells, at most those of the model
+        stored = self.rows().where(F.col("cell").isin(cells))
+        asked, n = probed.count(), stored.count()
+        side = math.ceil(math.sqrt(int(self.spark.conf.get("spark.sql.shuffle.partitions"))))  # about a group for each partition
+        blocks = max(1, -(-asked // max(1, min(ASKED, KEPT // rerank))), min(side, asked))
+        slices = max(1, -(-n // ROWS), min(side, n // 1_000))
+
+        block = lambda key, of: F.pmod(F.xxhash64(*key), F.lit(of)).cast("int")
+        each = lambda of: F.explode(F.sequence(F.lit(0), F.lit(of - 1)))
+        left = probed.select(block(["lw_no"], blocks).alias("block"), each(slices).alias("slice"), "lw_no", "query_id", "q", "cells")
+        right = stored.select(each(blocks).alias("block"), block(["cell", "id"], slices).alias("slice"), "cell", "id", "codes")
+        out = type(stored.schema)([probed.schema["lw_no"], probed.schema["query_id"], stored.schema["cell"], stored.schema["id"]]).add("near", "double")
+        near = left.groupBy("block", "slice").cogroup(right.groupBy("block", "slice")).applyInArrow(_meet(self.centroids, self.books, rerank, KEPT), out)
         best = Window.partitionBy("query_id").orderBy(F.desc("near"), "id")
-        found = near.withColumn("place", F.row_number().over(best)).where(F.col("place") <= rerank).select("query_id", "of", "cell", "id")
-        asked = probed.select(F.col("query_id").alias("asked"), "q", F.xxhash64("q").alias("of")).dropDuplicates(["asked", "of"])
-        found = found.join(asked, (F.col("asked").eqNullSafe(F.col("query_id"))) & (asked["of"] == found["of"])).select("query_id", "q", "cell", "id")
+        found = near.withColumn("place", F.row_number().over(best)).where(F.col("place") <= rerank).select("lw_no", "query_id", "cell", "id")
         found = shared.materialize(found, "index-found")
-        rows = stored.drop("codes", "stamp").join(shared.checked(found), ["cell", "id"]).withColumn("score", V.dot(F.col("q"), F.col("vector")))
+        light = lambda rows, few: F.broadcast(rows) if few else rows.hint("merge")  # noqa: E731  # else files that compress well count as small
+        rows = stored.drop("codes", "stamp").join(light(found, asked * rerank <= FEW_FOUND), ["cell", "id"])
+        rows = rows.join(light(probed.select("lw_no", "q"), asked * self.centroids.shape[1] <= FEW_FLOATS), "lw_no").withColumn("score", V.dot(F.col("q"), F.col("vector")))
         final = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-        return rows.drop("q", "vector", "cell").withColumn("rank", F.row_number().over(final)).where(F.col("rank") <= k)
+        return rows.drop("q", "vector", "cell", "lw_no").withColumn("rank", F.row_number().over(final)).where(F.col("rank") <= k)
+
+
+def _meet(centroids: np.ndarray, books: list[np.ndarray], rerank: int, kept: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """For a block of queries and a slice of rows: lw_no, query_id, cell, id and near of each query's best `rerank` rows in its cells."""
+
+    def run(asked: pa.Table, rows: pa.Table) -> pa.Table:
+        asked, rows = asked.combine_chunks(), rows.combine_chunks()
+        cell = rows["cell"].to_numpy()
+        codes = np.frombuffer(b"".join(rows["codes"].to_pylist()), np.uint8).reshape(len(cell), len(books))
+        q = _matrix(asked["q"].combine_chunks()) if len(asked) else np.empty((0, centroids.shape[1]))
+        probed = np.zeros((len(centroids), len(q)), bool)
+        for i, mine in enumerate(asked["cells"]):
+            probed[mine.values.to_numpy(), i] = True
+        bound = np.full(len(q), -np.inf)
+        held = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+        pending = 0
+
+        def vectors(at: np.ndarray) -> np.ndarray:
+            return centroids[cell[at]] + np.concatenate([b[codes[at, j]] for j, b in enumerate(books)], 1)
+
+        def compact() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            who, at, near = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.lexsort((-near, who))
+            last = order[_ranks(who[order]) == rerank - 1]
+            bound[who[last]] = near[last]
+            best = near >= bound[who] - MARGIN
+            return who[best], at[best], near[best]
+
+        use = _least_copies(rows["id"], cell, codes, rerank)  # by cell
+        for lo in range(0, len(use), STEP):
+            mine = use[lo : lo + STEP]
+            x, own = vectors(mine), cell[mine]
+            cuts = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+            for a, b in zip(cuts, [*cuts[1:], len(mine)], strict=True):
+                who = np.flatnonzero(probed[own[a]])
+                near = q[who] @ x[a:b].T
+                i, j = np.nonzero(near >= bound[who, None] - MARGIN)
+                held.append((who[i], mine[a + j], near[i, j]))
+                pending += len(i)
+                if pending > kept:
+                    held, pending = [compact()], 0
+        who, at, _ = compact()
+        near = np.concatenate([np.empty(0), *((vectors(at[lo : lo + STEP]) * q[who[lo : lo + STEP]]).sum(1) for lo in range(0, len(at), STEP))])  # the same wherever a row is
+        best = pa.table([asked["lw_no"].take(who), asked["query_id"].take(who), pa.array(cell[at], pa.int32()), rows["id"].take(at), near], ["lw_no", "query_id", "cell", "id", "near"])
+        return _best([best], rerank) if len(best) else best
+
+    return run
+
+
+def _ranks(keys: np.ndarray) -> np.ndarray:
+    """Places, from 0, of sorted keys among equal ones."""
+    at = np.arange(len(keys))
+    return at - np.maximum.accumulate(np.where(np.append(True, keys[1:] != keys[:-1])[: len(keys)], at, 0))
+
+
+def _least_copies(ids: pa.ChunkedArray, cell: np.ndarray, codes: np.ndarray, most: int) -> np.ndarray:
+    """Rows by cell; of those of equal cell and codes, which are equally near to all queries, only the `most` of the least ids."""
+    place = np.empty(len(cell), np.int64)
+    place[pc.sort_indices(ids).to_numpy()] = np.arange(len(cell))
+    words = np.zeros((len(cell), -(-codes.shape[1] // 8) * 8), np.uint8)
+    words[:, : codes.shape[1]] = codes
+    words = words.view(np.uint64)
+    order = np.lexsort((place, *words.T, cell))
+    new = np.append(True, (cell[order][1:] != cell[order][:-1]) | (words[order][1:] != words[order][:-1]).any(1))[: len(cell)]
+    return order[_ranks(np.cumsum(new)) < most]
 
 
 def _best(held: list[pa.Table], rerank: int) -> pa.Table:
@@ -243,9 +303,7 @@ def _best(held: list[pa.Table], rerank: int) -> pa.Table:
     rows = rows.take(pc.sort_indices(rows, [("query_id", "ascending"), ("near", "descending"), ("id", "ascending")]))
     query = rows["query_id"].combine_chunks().dictionary_encode("encode")
     query = (query.chunk(0) if isinstance(query, pa.ChunkedArray) else query).indices.to_numpy()
-    at = np.arange(len(query))
-    first = np.maximum.accumulate(np.where(np.append(True, query[1:] != query[:-1]), at, 0))
-    return rows.filter(pa.array(at - first < rerank))
+    return rows.filter(pa.array(_ranks(query) < rerank))
 
 
 def _matrix(column: pa.Array) -> np.ndarray:

@@ -131,3 +131,38 @@ def test_tasks_sort_out_the_best(spark, tmp_path, monkeypatch):
         mine = [i for k, _, i in found[40] if k == q]
         assert np.allclose(np.sort(score[mine])[::-1], np.sort(score)[::-1][:5], atol=1e-6)
     assert found[40] == found[1_000_000] and len(found[40]) == 75
+
+
+def test_search_sends_few_rows_through_the_driver(spark, tmp_path, monkeypatch):
+    """Neither rows for each probed cell nor many found rows are broadcast; the best by codes are those of brute force, copies by id."""
+    draw = np.random.default_rng(11)
+    base = draw.normal(size=(900, 16))
+    vectors = {i: base[0 if i % 3 == 0 else i].tolist() for i in range(900)}  # a third are copies of one, more than are ranked again
+    rows = spark.createDataFrame(list(vectors.items()), "id long, vector array<double>")
+    index = VectorIndex.build(rows, str(tmp_path / "index"), parts=4, cells=20)
+    sent = []
+    real = F.broadcast
+
+    def told(df):
+        sent.append(df.count() * sum(16 if kind == "array<float>" else 1 for _, kind in df.dtypes))
+        return real(df)
+
+    monkeypatch.setattr(F, "broadcast", told)
+    asked = rows.where("id < 400").select(F.col("id").cast("string").alias("query_id"), "vector")
+    for part, rerank, most in ((asked, 150, 400 * 18), (asked.where("query_id % 40 = 0"), 150, 10 * 150 * 4)):
+        sent.clear()
+        found = index.search(part, 12, probes=20, rerank=rerank)
+        got = {}
+        for r in found.orderBy("query_id", "rank").collect():
+            got.setdefault(int(r["query_id"]), []).append(r["id"])
+        assert all(n <= most for n in sent), sent
+        assert "SortMergeJoin" in found._jdf.queryExecution().executedPlan().toString() or len(got) <= 10
+        stored = index.rows().orderBy("id").collect()
+        x = np.array([r["vector"] for r in stored], np.float64)
+        coded = np.array([index.centroids[r["cell"]] + np.concatenate([b[c] for b, c in zip(index.books, r["codes"], strict=True)]) for r in stored])
+        for q, ids in got.items():
+            near = np.round(coded @ x[q], 9)
+            best = np.lexsort((np.arange(900), -near))[:rerank]
+            wanted = best[np.lexsort((best, -np.round(x[best] @ x[q], 9)))][:12]
+            assert ids == wanted.tolist()
+        assert len(got) == part.count()
